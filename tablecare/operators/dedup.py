@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ KEEP_CHOICES = ("first", "last")
 _RANK = "__rank__"
 
 
-def needs_row_order(df_columns: Sequence[str], columns: Sequence[str]) -> bool:
+def needs_row_order(df_columns: Iterable[str], columns: Sequence[str]) -> bool:
     """Whole-row keys need no order: the copies cannot be told apart."""
     return bool(columns) and set(columns) != set(df_columns)
 

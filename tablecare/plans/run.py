@@ -103,8 +103,9 @@ def _wants_row_order(df: DataFrame, steps: Sequence[Step]) -> bool:
     for number, step in enumerate(steps, start=1):
         if step.key == "dedup_rows" and not step.params.get("order_by"):
             keys = step.params.get("columns") or ()
-            if shape.open_splits or needs_row_order(list(shape.types), keys):
-                return bool(keys)
+            # with a split of unknown width the list of columns is not complete
+            if keys and (shape.open_splits or needs_row_order(shape.types, keys)):
+                return True
         check_step(shape, step, number, len(steps))
     return False
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import types as T
 
 from tablecare.functions.columns import col, visible
 from tablecare.functions.text import as_text, iso_seconds
+from tablecare.sinks.publish import publish
+from tablecare.sources.charset import allow_charset
 from tablecare.sources.formats import SEPARATORS, check_format, detect_format
 
 _DATETIMES = (T.TimestampType, T.TimestampNTZType)
@@ -68,27 +70,32 @@ def write_table(
         return
     if single_file:
         table = table.coalesce(1)
-    mode = "overwrite" if overwrite else "errorifexists"
+    publish(
+        df.sparkSession,
+        path,
+        overwrite,
+        lambda folder: _writer(table, fmt, encoding).save(folder),
+    )
+
+
+def _writer(table: DataFrame, fmt: str, encoding: str | None) -> DataFrameWriter:
     if fmt == "parquet":
-        table.write.mode(mode).parquet(path)
-        return
+        return table.write.format("parquet")
     table = whole_seconds(table)
     if fmt == "jsonl":
-        writer = table.write.mode(mode).option("ignoreNullFields", "false")
-        if encoding:
-            writer = writer.option("encoding", encoding)
-        writer.json(path)
-        return
-    writer = (
-        _plain_fractions(table)
-        .write.mode(mode)
-        .option("header", "true")
-        .option("sep", SEPARATORS[fmt])
-        .option("escape", '"')
-        # the writer would trim edge spaces by default
-        .option("ignoreLeadingWhiteSpace", "false")
-        .option("ignoreTrailingWhiteSpace", "false")
-    )
+        writer = table.write.format("json").option("ignoreNullFields", "false")
+    else:
+        writer = (
+            _plain_fractions(table)
+            .write.format("csv")
+            .option("header", "true")
+            .option("sep", SEPARATORS[fmt])
+            .option("escape", '"')
+            # the writer would trim edge spaces by default
+            .option("ignoreLeadingWhiteSpace", "false")
+            .option("ignoreTrailingWhiteSpace", "false")
+        )
     if encoding:
+        allow_charset(table.sparkSession, encoding)
         writer = writer.option("encoding", encoding)
-    writer.csv(path)
+    return writer

@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from tablecare.functions.columns import ROW_ORDER, col, visible
 from tablecare.functions.text import count_outside_quotes
-from tablecare.sources.files import Paths, as_list, list_files, split_bytes, text_order
+from tablecare.sources.charset import allow_charset
+from tablecare.sources.files import (
+    Paths,
+    as_list,
+    list_files,
+    literal_path,
+    split_bytes,
+    text_order,
+)
 from tablecare.sources.typing import (
     TYPING_ROWS,
     apply_types,
@@ -122,7 +130,7 @@ def _window(
     for file in leading:
         if chosen and size + file["length"] > _WINDOW_BYTES:
             break
-        chosen.append(file["path"])
+        chosen.append(literal_path(file["path"]))
         size += file["length"]
     rows = rows_of(chosen)
     if len(chosen) > 1:
@@ -158,6 +166,8 @@ def read_delimited(
     if late not in LATE_CHOICES or fallback not in FALLBACK_CHOICES:
         raise ValueError(f"late is one of {LATE_CHOICES}, fallback of {FALLBACK_CHOICES}")
     groups = charsets or {encoding: as_list(path)}
+    for charset in groups:
+        allow_charset(spark, charset)
     everything = [p for paths in groups.values() for p in paths]
     lead_charset, lead_paths = next(iter(groups.items()))
     if multiline is None:

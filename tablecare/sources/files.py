@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,11 @@ def list_files(spark: SparkSession, path: Paths, recursive: bool = False) -> Dat
     return reader.load(as_list(path)).select("path", "length")
 
 
+def literal_path(path: str) -> str:
+    """A listed path for Spark to open as it is, not as a glob pattern."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
+
+
 def split_bytes(spark: SparkSession) -> int:
     """Largest piece of a file Spark gives to one task."""
     text = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")

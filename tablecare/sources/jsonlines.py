@@ -2,29 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecare.functions.columns import ROW_ORDER, col
+from tablecare.functions.columns import ROW_ORDER
+from tablecare.sources.charset import allow_charset
 from tablecare.sources.files import Paths, as_list, text_order
 
 _KEY_LINES = 100
 
 
-def _first_seen(spark: SparkSession, path: Paths, options: dict[str, str]) -> list[str]:
+def _reader(
+    spark: SparkSession, encoding: str | None, recursive: bool
+) -> DataFrameReader:
+    reader = spark.read.option("mode", "FAILFAST")
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
+    if encoding:
+        allow_charset(spark, encoding)
+        reader = reader.option("encoding", encoding).option("lineSep", "\n")
+    return reader
+
+
+def _first_seen(records: DataFrame) -> list[str]:
     """Keys in the order the leading records show them."""
-    lines = spark.read.options(**options).text(as_list(path))
-    filled = lines.where(F.length(F.trim("value")) > 0)
-    keys = filled.select(F.json_object_keys("value")).take(_KEY_LINES)
+    keys = records.select(F.json_object_keys("value")).take(_KEY_LINES)
     return list(dict.fromkeys(k for row in keys for k in (row[0] or [])))
 
 
+def _merged(schemas: list[T.StructType]) -> T.StructType:
+    """One schema for several file groups; where they differ, text."""
+    types: dict[str, T.DataType] = {}
+    for field in (f for schema in schemas for f in schema):
+        known = types.setdefault(field.name, field.dataType)
+        if known != field.dataType:
+            types[field.name] = T.StringType()
+    return T.StructType([T.StructField(n, t) for n, t in types.items()])
+
+
 def read_json_lines(
     spark: SparkSession,
     path: Paths,
     schema: T.StructType | str | None = None,
     encoding: str | None = None,
+    charsets: dict[str, list[str]] | None = None,
     recursive: bool = False,
     sampling_ratio: float | None = None,
 ) -> DataFrame:
@@ -32,20 +56,28 @@ def read_json_lines(
 
     Without ``schema`` Spark reads the data once to learn it. Date-like text
     stays text, nested values become arrays and structs. Columns keep the order
-    of their first appearance.
+    of their first appearance. ``charsets`` maps a charset to the paths written
+    in it and replaces ``path``/``encoding``.
     """
-    options = {"recursiveFileLookup": "true"} if recursive else {}
-    reader = spark.read.options(**options).option("mode", "FAILFAST")
-    if encoding:
-        reader = reader.option("encoding", encoding).option("lineSep", "\n")
-    if sampling_ratio is not None:
-        reader = reader.option("samplingRatio", str(sampling_ratio))
-    if schema is not None:
-        df = reader.schema(schema).json(as_list(path))
-        names = df.columns
-    else:
-        df = reader.json(as_list(path))
-        seen = [] if encoding else _first_seen(spark, path, options)
-        names = [n for n in seen if n in df.columns]
-        names += [n for n in df.columns if n not in names]
-    return df.select(*[col(n) for n in names], text_order().alias(ROW_ORDER))
+    groups = charsets or {encoding: as_list(path)}
+    readers = {c: _reader(spark, c, recursive) for c in groups}
+    if schema is None:
+        if sampling_ratio is not None:
+            for reader in readers.values():
+                reader.option("samplingRatio", str(sampling_ratio))
+        found = [readers[c].json(paths).schema for c, paths in groups.items()]
+        merged = found[0] if len(found) == 1 else _merged(found)
+        charset, paths = next(iter(groups.items()))
+        # key order only: reading bytes as UTF-8 would garble other charsets
+        lines = readers[charset].text(paths) if charset in (None, "UTF-8") else None
+        seen = _first_seen(lines) if lines is not None else []
+        names = [n for n in seen if n in merged.names]
+        names += [n for n in merged.names if n not in names]
+        schema = T.StructType([merged[n] for n in names])
+    return reduce(
+        DataFrame.unionByName,
+        [
+            readers[c].schema(schema).json(paths).withColumn(ROW_ORDER, text_order())
+            for c, paths in groups.items()
+        ],
+    )
