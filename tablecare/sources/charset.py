@@ -123,22 +123,22 @@ def charset_census(
         )
         files = files.join(verdicts, "path", "left")
         possible = F.coalesce(F.col("fitting"), possible)
+    none = F.array().cast("array<string>")
     utf16 = ~F.col("utf8") & F.col("marked") & F.col("zeros")
     known = F
     for pattern, charset in (overrides or {}).items():
         known = known.when(F.col("path").like(pattern), F.lit(charset))
     known = known.when(F.col("utf8"), F.lit("UTF-8")).when(utf16, F.lit("UTF-16"))
-    possible = F.when(F.col("utf8") | utf16, F.array().cast("array<string>")).otherwise(
-        possible
-    )
-    return files.select("path", "utf8", possible.alias("possible")).select(
-        "path",
-        "utf8",
-        "possible",
-        known.otherwise(
-            F.coalesce(F.get("possible", F.lit(0)), F.lit("UTF-8"))
-        ).alias("charset"),
-        (F.size("possible") > 1).alias("ambiguous"),
+    return (
+        files.withColumn(
+            "possible", F.when(F.col("utf8") | utf16, none).otherwise(possible)
+        )
+        .withColumn(
+            "charset",
+            known.otherwise(F.coalesce(F.get("possible", F.lit(0)), F.lit("UTF-8"))),
+        )
+        .withColumn("ambiguous", F.size("possible") > 1)
+        .select("path", "utf8", "possible", "charset", "ambiguous")
     )
 
 

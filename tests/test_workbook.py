@@ -1,0 +1,193 @@
+"""Workbook folders in and out."""
+
+import zipfile
+from datetime import date, datetime
+from decimal import Decimal
+
+import pytest
+
+from tablecare import read_table, write_table
+from tablecare.sinks.workbook import write_workbooks
+from tablecare.sources.workbook import list_sheets, read_workbooks
+
+MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def make(path, sheets, shared=(), formats=(), date1904=False):
+    """A workbook as office programs write it: shared strings, styled dates."""
+    with zipfile.ZipFile(path, "w") as book:
+        entries = "".join(
+            f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>'
+            for i, n in enumerate(sheets, 1)
+        )
+        book.writestr(
+            "xl/workbook.xml",
+            f'<workbook xmlns="{MAIN}" xmlns:r="{OFFICE}"><workbookPr '
+            f'date1904="{int(date1904)}"/><sheets>{entries}</sheets></workbook>',
+        )
+        links = "".join(
+            f'<Relationship Id="rId{i}" Type="{OFFICE}/worksheet" '
+            f'Target="worksheets/sheet{i}.xml"/>'
+            for i in range(1, len(sheets) + 1)
+        )
+        book.writestr("xl/_rels/workbook.xml.rels", f"<Relationships>{links}</Relationships>")
+        strings = "".join(f"<si>{s}</si>" for s in shared)
+        book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{MAIN}">{strings}</sst>')
+        codes = "".join(
+            f'<numFmt numFmtId="{200 + i}" formatCode="{c}"/>' for i, c in enumerate(formats)
+        )
+        styles = "".join(f'<xf numFmtId="{200 + i}"/>' for i in range(len(formats)))
+        book.writestr(
+            "xl/styles.xml",
+            f'<styleSheet xmlns="{MAIN}"><numFmts>{codes}</numFmts><cellXfs>'
+            f'<xf numFmtId="0"/><xf numFmtId="14"/>{styles}</cellXfs></styleSheet>',
+        )
+        for i, rows in enumerate(sheets.values(), 1):
+            body = "".join(f"<row>{r}</row>" for r in rows)
+            book.writestr(
+                f"xl/worksheets/sheet{i}.xml",
+                f'<worksheet xmlns="{MAIN}"><sheetData>{body}</sheetData></worksheet>',
+            )
+
+
+def text(value, at=""):
+    return f'<c r="{at}" t="inlineStr"><is><t>{value}</t></is></c>'
+
+
+def number(value, style=0, at=""):
+    return f'<c r="{at}" s="{style}"><v>{value}</v></c>'
+
+
+def kinds(df):
+    return {f.name: f.dataType.simpleString() for f in df.schema}
+
+
+def test_cell_kinds(spark, tmp_path):
+    header = "".join(text(n) for n in ["i", "f", "b", "s", "d", "t", "mix", "err"])
+    make(
+        tmp_path / "a.xlsx",
+        {
+            "First": [
+                "",
+                header,
+                number(1)
+                + number("2.50")
+                + '<c t="b"><v>1</v></c><c t="s"><v>0</v></c>'
+                + number(44642, 1)
+                + number(44642.4277739930556, 2)
+                + number(1)
+                + '<c t="e"><v>#REF!</v></c>',
+                number(2) + number(3) + '<c t="b"><v>0</v></c><c t="s"><v>1</v></c>'
+                + "<c/><c/>" + text("x"),
+            ],
+            "Second": [text("other"), number(7)],
+        },
+        shared=["<t>  plain </t>", "<r><t>ri</t></r><r><t>ch</t></r><rPh><t>no</t></rPh>"],
+        formats=["yyyy\\-mm\\-dd&quot; at &quot;hh:mm:ss.000", "[Red]0.0&quot; days&quot;"],
+    )
+    df = read_table(spark, str(tmp_path / "a.xlsx"))
+    assert kinds(df) == {
+        "i": "bigint",
+        "f": "double",
+        "b": "boolean",
+        "s": "string",
+        "d": "timestamp_ntz",
+        "t": "timestamp_ntz",
+        "mix": "string",
+        "err": "string",
+    }
+    moment = datetime(2022, 3, 22, 10, 15, 59, 673000)
+    assert [tuple(r) for r in df.collect()] == [
+        (1, 2.5, True, "  plain ", datetime(2022, 3, 22), moment, "1", None),
+        (2, 3.0, False, "rich", None, None, "x", None),
+    ]
+    second = read_table(spark, str(tmp_path / "a.xlsx"), sheet="Second")
+    assert [tuple(r) for r in second.collect()] == [(7,)]
+    sheets = list_sheets(spark, str(tmp_path)).orderBy("position")
+    assert [r["sheet"] for r in sheets.collect()] == ["First", "Second"]
+
+
+def test_a_format_with_letters_in_quotes_is_no_date(spark, tmp_path):
+    make(
+        tmp_path / "a.xlsx",
+        {"S": [text("n"), number(5, 3)]},
+        formats=["0.0", "[Red]0.0&quot; days&quot;"],
+    )
+    assert read_table(spark, str(tmp_path / "a.xlsx")).first()["n"] == 5
+
+
+def test_1904_calendar(spark, tmp_path):
+    make(tmp_path / "a.xlsx", {"S": [text("d"), number(1, 1)]}, date1904=True)
+    assert read_table(spark, str(tmp_path / "a.xlsx")).first()["d"] == datetime(1904, 1, 2)
+
+
+def test_folder_with_different_layouts(spark, tmp_path):
+    make(tmp_path / "a.xlsx", {"S": [text("id") + text("name"), number(1) + text("x")]})
+    make(
+        tmp_path / "b.xlsx",
+        {"S": [text("name") + text("id") + text("late"), number(9, at="B2") + text("y", "C2")]},
+    )
+    df = read_table(spark, str(tmp_path), "xlsx")
+    assert kinds(df) == {"id": "bigint", "name": "string", "late": "string"}
+    assert sorted(map(tuple, df.collect())) == [(1, "x", None), (9, None, "y")]
+
+
+def test_unreadable_workbooks_fail(spark, tmp_path):
+    (tmp_path / "bad.xlsx").write_bytes(b"this is no workbook")
+    with pytest.raises(Exception, match="bad.xlsx is not a readable workbook"):
+        read_table(spark, str(tmp_path / "bad.xlsx"))
+    make(tmp_path / "ok.xlsx", {"S": [text("a")]})
+    with pytest.raises(Exception, match="no sheet 'T'"):
+        read_workbooks(spark, str(tmp_path / "ok.xlsx"), sheet="T")
+
+
+def test_everything_written_comes_back(spark, table, tmp_path):
+    df = table(
+        "s string, i bigint, x double, b boolean, d date, t timestamp_ntz, m decimal(9,2)",
+        (
+            '<&> "q" _x0041_ \r\n\t  ',
+            -(2**40),
+            2.25,
+            True,
+            date(2020, 2, 29),
+            datetime(1999, 12, 31, 23, 59, 59, 999000),
+            Decimal("1.50"),
+        ),
+        (None, None, None, None, None, None, None),
+        ("", 1, -1e-7, False, date(1970, 1, 1), datetime(1970, 1, 1), Decimal("2.00")),
+    )
+    out = str(tmp_path / "o.xlsx")
+    write_table(df, out, single_file=True)
+    back = read_table(spark, out)
+    assert kinds(back)["t"] == "timestamp_ntz" and kinds(back)["i"] == "bigint"
+    first, second = back.collect()  # an all-null row is no row in a sheet
+    assert tuple(first) == (
+        '<&> "q" _x0041_ \r\n\t  ',
+        -(2**40),
+        2.25,
+        True,
+        datetime(2020, 2, 29),
+        datetime(1999, 12, 31, 23, 59, 59, 999000),
+        1.5,
+    )
+    assert tuple(second)[:3] == ("", 1, -1e-7)
+
+
+def test_many_files(spark, tmp_path):
+    out = str(tmp_path / "o.xlsx")
+    df = spark.range(1000, numPartitions=3).selectExpr("id", "cast(id as string) as s")
+    write_workbooks(df, out, rows_per_file=100)
+    parts = sorted(p.name for p in (tmp_path / "o.xlsx").iterdir() if p.suffix == ".xlsx")
+    assert len(parts) == 12 and parts[0] == "part-00000-00000.xlsx"
+    back = read_table(spark, out)
+    assert back.count() == 1000 and back.selectExpr("sum(id)").first()[0] == 499_500
+    with pytest.raises(FileExistsError):
+        write_workbooks(df, out)
+
+
+def test_empty_table_keeps_its_header(spark, table, tmp_path):
+    out = str(tmp_path / "o.xlsx")
+    write_table(table("a int, b string"), out)
+    back = read_table(spark, out)
+    assert back.columns == ["a", "b"] and back.count() == 0
