@@ -13,6 +13,8 @@ from tablecare.session import configure
 from tablecare.sinks.table import whole_seconds
 from tablecare.sources.formats import SEPARATORS, check_format
 
+_EVENT_TIME = "__event_time__"
+
 
 def read_stream(
     spark: SparkSession,
@@ -52,10 +54,12 @@ def dedup_first(
     """Keep the first arrival of each key, and remember a key for ``delay``.
 
     State is bounded by the watermark: a key may return after its watermark has
-    passed. ``event_time`` must be a timestamp column.
+    passed. Datetimes without a zone count as UTC.
     """
-    timed = df.withWatermark(event_time, delay)
-    return timed.dropDuplicatesWithinWatermark(list(columns))
+    # a watermark needs a timestamp with zone, which our datetimes are not
+    timed = df.withColumn(_EVENT_TIME, col(event_time).cast("timestamp"))
+    timed = timed.withWatermark(_EVENT_TIME, delay)
+    return timed.dropDuplicatesWithinWatermark(list(columns)).drop(_EVENT_TIME)
 
 
 def write_stream(

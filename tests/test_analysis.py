@@ -1,0 +1,81 @@
+"""Profiles and previews."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablecare import preview, profile, read_table
+
+
+def by_name(df):
+    return {r["column_name"]: tuple(r)[1:] for r in df.collect()}
+
+
+def test_profile(spark):
+    df = spark.sql(
+        """select * from values
+        (1, 1.5D, true, date'2020-01-01', timestamp_ntz'2020-01-01 00:00:00',
+         '2022-03-22', 'x', array(1), cast(1 as decimal(12,2)), null, 'Mar 1, 2019'),
+        (2, null, false, null, null, 'Mar 1, 2019', null, null, null, null, ' '),
+        (3, 2.5D, null, null, null, 'Sept 5 2021', '', null, null, null, ''),
+        (4, 2.5D, null, null, null, 'not a date at all!?!', 'z', null, null, null, null)
+        as t(i, f, b, d, t, dates, words, l, m, `n.u`, few)"""
+    )
+    assert by_name(profile(df)) == {
+        "i": ("int", 0, False),
+        "f": ("dec", 1, False),
+        "b": ("t/f", 2, False),
+        "d": ("day", 3, False),
+        "t": ("dt", 3, False),
+        "dates": ("str", 0, True),
+        "words": ("str", 1, False),
+        "l": ("oth", 3, False),
+        "m": ("dec", 3, False),
+        "n.u": ("oth", 4, False),
+        "few": ("str", 1, False),  # three filled values are needed
+    }
+
+
+def test_profile_keeps_column_order(spark):
+    df = spark.range(1).selectExpr(*[f"'x' as c{i:02d}" for i in range(40)])
+    assert [r["column_name"] for r in profile(df).collect()] == df.columns
+
+
+def test_sampled_dates(spark, tmp_path):
+    """The first 200 filled values decide, in file order."""
+    head = ["2020-01-02"] * 110 + ["x"] * 90
+    tail = ["x"] * 300
+    lines = "".join(f"{i},{v}\n{i},\n" for i, v in enumerate(head + tail))
+    (tmp_path / "a.csv").write_text("n,d\n" + lines)
+    df = read_table(spark, str(tmp_path / "a.csv"), row_order=True)
+    assert by_name(profile(df, date_sample=200))["d"] == ("str", 500, True)
+    assert by_name(profile(df))["d"] == ("str", 500, False)
+    assert by_name(profile(df.drop("d"), date_sample=200)) == {"n": ("int", 0, False)}
+    keyed = df.select("n", "d")
+    assert by_name(profile(keyed, date_sample=200, order_by=["n"]))["d"][2] is True
+    with pytest.raises(ValueError, match="order"):
+        profile(keyed, date_sample=200)
+
+
+def test_preview_is_stable_and_distinct(spark):
+    df = spark.range(2000).withColumnRenamed("id", "n")
+    first = [r["n"] for r in preview(df, ["n"]).collect()]
+    again = [r["n"] for r in preview(df.repartition(7), ["n"]).collect()]
+    other = [r["n"] for r in preview(df, ["n"], seed=7).collect()]
+    assert len(set(first)) == 250 and first == again and first == sorted(first)
+    assert set(first) != set(other)
+
+
+def test_small_tables_show_everything_in_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("v\n" + "".join(f"{i * 7 % 100}\n" for i in range(100)))
+    df = read_table(spark, str(tmp_path / "a.csv"), row_order=True)
+    assert [r["v"] for r in preview(df).collect()] == [i * 7 % 100 for i in range(100)]
+    with pytest.raises(ValueError, match="key"):
+        preview(df.select("v"))
+
+
+def test_preview_does_not_favour_repeated_values(spark, tmp_path):
+    """Copies of a row are different rows of the source."""
+    (tmp_path / "a.csv").write_text("v\n" + "same\n" * 300 + "".join(f"r{i}\n" for i in range(300)))
+    df = read_table(spark, str(tmp_path / "a.csv"), row_order=True)
+    shown = preview(df).where(F.col("v") == "same").count()
+    assert 80 < shown < 170
