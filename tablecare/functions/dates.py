@@ -28,105 +28,117 @@ from pyspark.sql import types as T
 
 from tablecare.functions.text import as_text, trim_collapse
 
-_MONTH = (
+_MONTH_NAMES = (
     r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?"
-    r"|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?"
+    r"|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 )
+# a full month name or its abbreviation, of which the first letters are caught
+_MONTH = rf"(?={_MONTH_NAMES}(?![a-z]))([a-z]{{3}})[a-z]*\.?"
 # (position + 2) / 3 is the month number
 _MONTH_LETTERS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 _WEEKDAY = (
     r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?[.,]? "
 )
-_ZONE_TEXT = r"(?:z|utc|gmt|[+-]\d{1,2}(?::?\d{2})?)"
+_ZONE = r"(?:z|utc|gmt|[+-]\d{1,2}(?::?\d{2})?)"
 _TIME = (
     r"\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?"
-    rf"(?: ?[ap]\.?m\.?(?: ?(?:z|utc|gmt))?| ?{_ZONE_TEXT})?"
+    rf"(?: ?[ap]\.?m\.?(?: ?(?:z|utc|gmt))?| ?{_ZONE})?"
 )
 _REST = rf"(?:(?:t|,? (?:at )?)({_TIME}))?$"
+_DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
 
 # One pattern per shape, with the replacement that reorders it to `y-M-d time`.
-_YMD = rf"(?i)^(\d{{4}})([-/.])(\d{{1,2}})\2(\d{{1,2}}){_REST}"
-_YMD_ORDER = "$1-$3-$4 $5"
-_COMPACT = r"(?i)^(\d{4})(\d{2})(\d{2})(?:t(\d{2})(\d{2})(\d{2})z?)?$"
-_COMPACT_ORDER = "$1-$2-$3 $4:$5:$6"
-_MDY = rf"(?i)^(0?[1-9]|1[0-2])([-/.])(\d{{1,2}})\2(\d{{4}}){_REST}"
-_MDY_ORDER = "$4-$1-$3 $5"
-_DMY = rf"(?i)^(\d{{1,2}})([-/.])(0?[1-9]|1[0-2])\2(\d{{4}}){_REST}"
-_DMY_ORDER = "$4-$3-$1 $5"
-
-
-def _month_first(month: str) -> str:
-    return rf"(?i)^{month}[ -]?(\d{{1,2}})(?:st|nd|rd|th)?(?:, ?| |-)(\d{{4}}){_REST}"
-
-
-def _day_first(month: str) -> str:
-    day = r"(\d{1,2})(?:st|nd|rd|th)?(?: of)?"
-    return rf"(?i)^{day}[ -]?{month}(?:, ?| |-)(\d{{4}}){_REST}"
-
-
-_LETTERS = r"([a-z]{3})[a-z]*\.?"  # after the full names have been checked
+# A reordered text matches none of the other patterns any more.
+_YMD = (rf"(?i)^(\d{{4}})([-/.])(\d{{1,2}})\2(\d{{1,2}}){_REST}", "$1-$3-$4 $5")
+_COMPACT = (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+_COMPACT_TIME = (
+    r"(?i)^(\d{4})(\d{2})(\d{2})t(\d{2})(\d{2})(\d{2})z?$",
+    "$1-$2-$3 $4:$5:$6",
+)
+_MDY = (rf"(?i)^(0?[1-9]|1[0-2])([-/.])(\d{{1,2}})\2(\d{{4}}){_REST}", "$4-$1-$3 $5")
+_DMY = (rf"(?i)^(\d{{1,2}})([-/.])(0?[1-9]|1[0-2])\2(\d{{4}}){_REST}", "$4-$3-$1 $5")
+_MONTH_DAY = (rf"(?i)^{_MONTH}[ -]?{_DAY}(?:, ?| |-)(\d{{4}}){_REST}", "$3-$1-$2 $4")
+_DAY_MONTH = (
+    rf"(?i)^{_DAY}(?: of)?[ -]?{_MONTH}(?:, ?| |-)(\d{{4}}){_REST}",
+    "$3-$2-$1 $4",
+)
 
 _HALF_DAY = r"(?i) ?([ap])\.?m\.?(?: ?(?:z|utc|gmt))?$"
 _HALF_DAY_FORMAT = "y-M-d h:mm[:ss][.SSSSSSSSS] a"
 
 
-def _with_month_number(spread: Column) -> Column:
-    """``2019-Mar-1`` to ``2019-3-1``."""
-    letters = F.lower(F.substring(spread, 6, 3))
-    position = F.instr(F.lit(_MONTH_LETTERS), letters)
-    number = ((position + 2) / 3).cast("int").cast("string")
-    return F.concat(F.left(spread, F.lit(5)), number, F.substring(spread, 9, 64))
+def _rewrite(text: Column, *shapes: tuple[str, str]) -> Column:
+    for pattern, order in shapes:
+        text = F.regexp_replace(text, pattern, order)
+    return text
+
 
+# In the three layers below every branch of a CASE uses the layer before, as a
+# condition or as a value. That lets Spark compute each layer once per row.
 
-def _canonical(cleaned: Column, day_first: bool) -> Column:
-    """``y-M-d[ time]`` text of the first shape that fits, else null."""
-    named = F.regexp_replace(cleaned, _WEEKDAY, "")
-    month_first = F.regexp_replace(named, _month_first(_LETTERS), "$3-$1-$2 $4")
-    day_named = F.regexp_replace(named, _day_first(_LETTERS), "$3-$2-$1 $4")
-    numeric = [(_MDY, _MDY_ORDER), (_DMY, _DMY_ORDER)]
-    if day_first:
-        numeric.reverse()
 
-    def fits(text: Column, pattern: str) -> Column:
-        return text.rlike(pattern)
+def _spread(cleaned: Column, day_first: bool) -> Column:
+    """``y-M-d[ time]`` or ``y-Mon-d[ time]`` of the shape that fits.
 
-    shaped = (
-        F.when(fits(cleaned, _YMD), F.regexp_replace(cleaned, _YMD, _YMD_ORDER))
+    Cheap tests pick the one or two shapes that are possible; text that fits
+    none of them stays as it is and is refused by ``_cast``.
+    """
+    numeric = (_DMY, _MDY) if day_first else (_MDY, _DMY)
+    word = ~F.ascii(cleaned).between(ord("0"), ord("9"))
+    return (
+        F.when(cleaned.rlike(r"^\d{4}-\d{1,2}-\d{1,2}(?:[T ]|$)"), cleaned)
         .when(
-            fits(named, _month_first(f"({_MONTH})")), _with_month_number(month_first)
+            word & cleaned.rlike(r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)"),
+            _rewrite(cleaned, (_WEEKDAY, ""), _MONTH_DAY, _DAY_MONTH),
         )
-        .when(fits(named, _day_first(f"({_MONTH})")), _with_month_number(day_named))
+        .when(word, _rewrite(cleaned, _MONTH_DAY))
+        .when(cleaned.rlike(r"^\d{4}[-/.]"), _rewrite(cleaned, _YMD))
+        .when(cleaned.rlike(r"^\d{1,2}[-/.]\d"), _rewrite(cleaned, *numeric))
+        .when(cleaned.rlike(r"^\d{8}"), _rewrite(cleaned, _COMPACT, _COMPACT_TIME))
+        .otherwise(_rewrite(cleaned, _DAY_MONTH))
     )
-    for pattern, order in numeric:
-        shaped = shaped.when(
-            fits(cleaned, pattern), F.regexp_replace(cleaned, pattern, order)
-        )
-    compact = F.regexp_replace(cleaned, _COMPACT, _COMPACT_ORDER)
-    return shaped.when(fits(cleaned, _COMPACT), F.rtrim(compact, F.lit(": ")))
+
+
+def _canonical(spread: Column) -> Column:
+    """``2019-Mar-1`` to ``2019-3-1``; everything else as it is."""
+    position = F.instr(F.lit(_MONTH_LETTERS), F.lower(F.substring(spread, 6, 3)))
+    number = ((position + 2) / 3).cast("int").cast("string")
+    swapped = F.concat(F.left(spread, F.lit(5)), number, F.substring(spread, 9, 64))
+    letter = F.substring(spread, 6, 1) >= "A"
+    return F.when(letter, swapped).otherwise(spread)
 
 
 def _cast(canonical: Column) -> Column:
-    """Timestamp of ``y-M-d[ time[zone]]`` text; impossible dates are null."""
+    """Timestamp of ``y-M-d[ time[zone]]`` text; anything else is null."""
     half_day = F.try_to_timestamp(
         F.upper(F.regexp_replace(canonical, _HALF_DAY, " $1m")),
         F.lit(_HALF_DAY_FORMAT),
     )
     # the cast wants seconds before a zone, and minutes in an offset
-    zoned = F.regexp_replace(canonical, r"(?i) ?(?:z|utc|gmt)$", "Z")
-    zoned = F.regexp_replace(zoned, r"( \d{1,2}:\d{2}) ?(Z|[+-][\d:]+)$", "$1:00$2")
-    zoned = F.regexp_replace(zoned, r"([+-]\d{1,2})$", "$1:00")
+    zoned = _rewrite(
+        canonical,
+        (r"(?i) ?(?:z|utc|gmt)$", "Z"),
+        (r"([ T]\d{1,2}:\d{2}) ?(Z|[+-][\d:]+)$", "$1:00$2"),
+        (r"([+-]\d{1,2})$", "$1:00"),
+    )
+    date = r"^\d{4}-\d{1,2}-\d{1,2}"
     return (
-        F.when(canonical.rlike(r"^\d+-\d+-\d+ ?$"), canonical.try_cast("timestamp"))
-        .when(canonical.rlike(_HALF_DAY), half_day)
-        .when(canonical.rlike(rf"(?i) ?{_ZONE_TEXT}$"), zoned.try_cast("timestamp"))
-        .otherwise(canonical.try_cast("timestamp"))
+        F.when(
+            canonical.rlike(rf"{date}(?:[T ](?:\d{{1,2}}:\d{{2}}[\d:.]*)?)?$"),
+            canonical.try_cast("timestamp"),
+        )
+        .when(canonical.rlike(rf"(?i){date}[T ].*m\.?(?: ?(?:z|utc|gmt))?$"), half_day)
+        .when(
+            canonical.rlike(rf"(?i){date}[T ][\d:.]+ ?{_ZONE}$"),
+            zoned.try_cast("timestamp"),
+        )
     )
 
 
 def _parse_text(text: Column, day_first: bool, formats: Sequence[str]) -> Column:
     cleaned = trim_collapse(text)
-    attempts = [_cast(_canonical(cleaned, day_first))]
+    attempts = [_cast(_canonical(_spread(cleaned, day_first)))]
     attempts += [F.try_to_timestamp(cleaned, F.lit(f)) for f in formats]
     return F.coalesce(*attempts)
 
@@ -146,7 +158,8 @@ def parse_datetime(
         moment = c.cast("timestamp")
     else:
         moment = _parse_text(as_text(c, dtype), day_first, formats)
-    return F.date_trunc("MILLISECOND", moment).cast("timestamp_ntz")
+    # milliseconds since 1970, rounded down also before it
+    return F.timestamp_millis(F.unix_millis(moment)).cast("timestamp_ntz")
 
 
 def parse_date(

@@ -8,9 +8,7 @@ from pyspark.sql import types as T
 
 # Unicode white space: plain \s would miss the no-break space and its kin.
 _EDGES = r"(?U)^\s+|\s+$"
-# A run that differs from one plain space. Single spaces, by far the most
-# common case, are left alone instead of being replaced by themselves.
-_RUNS = r"(?U)\s{2,}|[^\S ]"
+_RUNS = r"(?U)\s+"
 
 # Doubles whose text Spark writes with an exponent although their plain decimal
 # form is short: 1e-5 <= |x| < 1e16. decimal(38,22) holds this range exactly.
