@@ -41,8 +41,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         return 1
     print(*[s.line() for s in report.steps], sep="\n")
     print(
-        f"{len(steps)} step(s), {report.rows_in} rows in, {report.rows_out} rows "
-        f"written to {report.destination}",
+        f"{len(steps)} step(s), {report.rows_out} rows written to {report.destination}",
         file=sys.stderr,
     )
     return 0

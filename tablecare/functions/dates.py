@@ -1,4 +1,4 @@
-"""Dates and datetimes out of messy text, as one built-in expression.
+"""Dates and datetimes out of messy text, with built-in expressions only.
 
 A value is first cleaned, then rewritten to ``y-M-d[ time]`` by the first shape
 that fits, then cast. Only fully matched shapes reach the cast: unguarded, Spark
@@ -22,12 +22,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablecare.functions.columns import col, dtype_of, replace_columns
 from tablecare.functions.text import as_text, trim_collapse
 
+_TEXT = "__text__"
+
 _MONTH_NAMES = (
     r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?"
     r"|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
@@ -64,6 +67,9 @@ _DAY_MONTH = (
     "$3-$2-$1 $4",
 )
 
+# No shape has more than ten words, however much white space is between them.
+_FEW_WORDS = r"(?U)^\s*+(?:\S++\s++){0,10}+\S*+$"
+
 _HALF_DAY = r"(?i) ?([ap])\.?m\.?(?: ?(?:z|utc|gmt))?$"
 _HALF_DAY_FORMAT = "y-M-d h:mm[:ss][.SSSSSSSSS] a"
 
@@ -74,10 +80,6 @@ def _rewrite(text: Column, *shapes: tuple[str, str]) -> Column:
     return text
 
 
-# In the three layers below every branch of a CASE uses the layer before, as a
-# condition or as a value. That lets Spark compute each layer once per row.
-
-
 def _spread(cleaned: Column, day_first: bool) -> Column:
     """``y-M-d[ time]`` or ``y-Mon-d[ time]`` of the shape that fits.
 
@@ -136,37 +138,45 @@ def _cast(canonical: Column) -> Column:
     )
 
 
-def _parse_text(text: Column, day_first: bool, formats: Sequence[str]) -> Column:
-    cleaned = trim_collapse(text)
-    attempts = [_cast(_canonical(_spread(cleaned, day_first)))]
-    attempts += [F.try_to_timestamp(cleaned, F.lit(f)) for f in formats]
-    return F.coalesce(*attempts)
+def _brief(text: Column) -> Column:
+    """Prose is turned away after its first words instead of being cleaned whole."""
+    return F.when((F.octet_length(text) <= 64) | text.rlike(_FEW_WORDS), text)
+
+
+def _milliseconds(moment: Column) -> Column:
+    """Datetime without zone, rounded down to milliseconds also before 1970."""
+    return F.timestamp_millis(F.unix_millis(moment)).cast("timestamp_ntz")
 
 
-def parse_datetime(
-    c: Column,
-    dtype: T.DataType,
+def with_datetime(
+    df: DataFrame,
+    column: str,
     day_first: bool = False,
     formats: Sequence[str] = (),
-) -> Column:
-    """Any column as a UTC datetime without zone, cut to milliseconds.
+) -> DataFrame:
+    """Replace a column of any type by its UTC datetime, cut to milliseconds.
 
     ``formats`` are extra Spark datetime patterns, tried after the shapes above.
     The session time zone must be UTC (see ``session.configure``).
+
+    The text passes through several projections. Each uses the one before more
+    than once, so Spark keeps them apart and computes each once per row; written
+    as one expression, the layers would multiply to a tree of thousands of nodes.
     """
+    dtype = dtype_of(df, column)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        moment = c.cast("timestamp")
-    else:
-        moment = _parse_text(as_text(c, dtype), day_first, formats)
-    # milliseconds since 1970, rounded down also before it
-    return F.timestamp_millis(F.unix_millis(moment)).cast("timestamp_ntz")
-
-
-def parse_date(
-    c: Column,
-    dtype: T.DataType,
-    day_first: bool = False,
-    formats: Sequence[str] = (),
-) -> Column:
-    """Any column as its UTC calendar date."""
-    return parse_datetime(c, dtype, day_first, formats).cast("date")
+        return replace_columns(
+            df, {column: _milliseconds(col(column).cast("timestamp"))}
+        )
+    c = col(column)
+    if formats:
+        df = df.withColumn(_TEXT, trim_collapse(as_text(c, dtype)))
+    others = [F.try_to_timestamp(F.col(_TEXT), F.lit(f)) for f in formats]
+    for layer in (
+        trim_collapse(_brief(as_text(c, dtype))),
+        _spread(c, day_first),
+        _canonical(c),
+        _milliseconds(F.coalesce(_cast(c), *others)),
+    ):
+        df = replace_columns(df, {column: layer})
+    return df.drop(_TEXT)

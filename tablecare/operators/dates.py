@@ -6,21 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from tablecare.functions.columns import col, dtype_of, replace_columns
-from tablecare.functions.dates import parse_date, parse_datetime
+from tablecare.functions.columns import col, replace_columns
+from tablecare.functions.dates import with_datetime
 
 
 def date_normalize(
     df: DataFrame, column: str, day_first: bool = False, formats: Sequence[str] = ()
 ) -> DataFrame:
     """Replace ``column`` by its UTC datetime in milliseconds; unreadable is null."""
-    parsed = parse_datetime(col(column), dtype_of(df, column), day_first, formats)
-    return replace_columns(df, {column: parsed})
+    return with_datetime(df, column, day_first, formats)
 
 
 def date_only(
     df: DataFrame, column: str, day_first: bool = False, formats: Sequence[str] = ()
 ) -> DataFrame:
     """Replace ``column`` by its UTC calendar date; unreadable is null."""
-    parsed = parse_date(col(column), dtype_of(df, column), day_first, formats)
-    return replace_columns(df, {column: parsed})
+    parsed = with_datetime(df, column, day_first, formats)
+    return replace_columns(parsed, {column: col(column).cast("date")})

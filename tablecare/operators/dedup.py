@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +15,6 @@ KEEP_CHOICES = ("first", "last")
 _RANK = "__rank__"
 
 
-def needs_row_order(df_columns: Iterable[str], columns: Sequence[str]) -> bool:
-    """Whole-row keys need no order: the copies cannot be told apart."""
-    return bool(columns) and set(columns) != set(df_columns)
-
-
 def _order_columns(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
     if order_by:
         return [col(c) for c in order_by]
@@ -49,7 +44,7 @@ def dedup_rows(
     names = visible(df)
     keys = list(dict.fromkeys(columns)) or names
     _check_keys(df, keys)
-    if not needs_row_order(names, keys):
+    if set(keys) == set(names):
         return _distinct_rows(df, names, keep)
     order = _order_columns(df, order_by)
     if keep == "last":
@@ -65,6 +60,7 @@ def dedup_rows(
 
 
 def _distinct_rows(df: DataFrame, names: list[str], keep: str) -> DataFrame:
+    """Copies of whole rows cannot be told apart, so no order is needed."""
     if not hidden(df):
         return df.dropDuplicates()
     pick = F.min if keep == "first" else F.max

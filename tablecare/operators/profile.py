@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecare.functions.columns import ROW_ORDER, col, dtype_of, hidden, visible
-from tablecare.functions.dates import parse_datetime
-from tablecare.functions.text import strip_edges
+from tablecare.functions.dates import with_datetime
 
 # Fixed values of the date-candidate rule.
 DATE_SAMPLE = 200
@@ -44,62 +43,83 @@ def _is_text(df: DataFrame, name: str) -> bool:
     return isinstance(dtype_of(df, name), T.StringType)
 
 
-def _filled(name: str) -> Column:
+def _filled(text: Column) -> Column:
     # at least one character that is not white space
-    return col(name).rlike(r"(?U)\S")
+    return text.rlike(r"(?U)\S")
 
 
-def _parses(name: str) -> Column:
-    return parse_datetime(col(name), T.StringType()).isNotNull()
+def _judged(df: DataFrame) -> DataFrame:
+    """Whether ``text`` is filled, and its date if it is one, in its place."""
+    filled = df.withColumn("filled", _filled(F.col("text")))
+    # blanks become null, which passes through date parsing without any work
+    return with_datetime(
+        filled.withColumn("text", F.when(F.col("filled"), F.col("text"))), "text"
+    )
 
 
-def _candidate(values: Column, parsed: Column) -> Column:
-    return (values >= DATE_MIN_VALUES) & (parsed / values >= DATE_MIN_RATIO)
+def _date_flag() -> Column:
+    """Whether enough of the filled values in a group are dates."""
+    values, dates = F.count_if("filled"), F.count("text")
+    return (values >= DATE_MIN_VALUES) & (dates / values >= DATE_MIN_RATIO)
 
 
 def profile(
     df: DataFrame, date_sample: int | None = None, order_by: Sequence[str] = ()
 ) -> DataFrame:
-    """Type class, null count and date flag of every column.
+    """Type class, null count and date flag of every column, in table order.
 
-    By default one aggregate reads the table once and judges dates on all
-    values. With ``date_sample`` only the first so many filled values of each
-    text column count, in ``order_by`` or source order.
+    The table is read once: its cells are counted by column before anything is
+    shuffled, and the generated code does not grow with the number of columns.
+    By default dates are judged on all values. With ``date_sample`` only the
+    first so many filled values of each text column count, in ``order_by`` or
+    source order.
     """
-    names = visible(df)
+    spark, names = df.sparkSession, visible(df)
     if not names:
-        return df.sparkSession.createDataFrame([], PROFILE_SCHEMA)
+        return spark.createDataFrame([], PROFILE_SCHEMA)
     text = [n for n in names if _is_text(df, n)]
     judged = text if date_sample is None else []
-    counts = []
-    for i, name in enumerate(names):
-        counts.append(F.count_if(col(name).isNull()).alias(f"nulls_{i}"))
-        if name in judged:
-            counts.append(F.count_if(_filled(name)).alias(f"values_{i}"))
-            counts.append(F.count_if(_parses(name)).alias(f"parsed_{i}"))
-    row = [
-        F.struct(
-            F.lit(name).alias("column_name"),
-            F.lit(type_class(dtype_of(df, name))).alias("type_class"),
-            F.col(f"nulls_{i}").alias("null_count"),
-            (
-                F.coalesce(
-                    _candidate(F.col(f"values_{i}"), F.col(f"parsed_{i}")), F.lit(False)
-                )
-                if name in judged
-                else F.lit(False)
-            ).alias("date_candidate"),
-        )
-        for i, name in enumerate(names)
+    # null stays null; what is not judged becomes a blank, which counts nowhere
+    cells = [
+        col(n) if n in judged else F.when(col(n).isNotNull(), F.lit("")) for n in names
     ]
-    profiled = df.agg(*counts).select(F.inline(F.array(*row)))
-    if date_sample is None or not text:
-        return profiled
-    flags = _sampled_flags(df, text, date_sample, order_by)
+    # one row of blanks, so that columns of an empty table are there as well
+    blanks = spark.range(1).select(F.array_repeat(F.lit(""), len(names)).alias("c"))
+    cell = F.posexplode("c").alias("position", "text")
+    found = (
+        _judged(df.select(F.array(*cells).alias("c")).union(blanks).select(cell))
+        .groupBy("position")
+        .agg(
+            # a null cell is neither filled nor blank
+            F.count_if(F.col("filled").isNull()).alias("null_count"),
+            _date_flag().alias("date_candidate"),
+        )
+    )
+    described = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("column_name"),
+                F.lit(type_class(dtype_of(df, n))).alias("type_class"),
+            )
+            for n in names
+        ]
+    )
+    result = found.withColumn("is", F.get(described, F.col("position"))).select(
+        "position", "is.*", "null_count", "date_candidate"
+    )
+    if date_sample is not None and text:
+        flags = _sampled_flags(df, text, date_sample, order_by)
+        result = result.drop("date_candidate").join(flags, "column_name", "left")
+    # as many rows as the table has columns
     return (
-        profiled.drop("date_candidate")
-        .join(flags, "column_name", "left")
-        .withColumn("date_candidate", F.coalesce("date_candidate", F.lit(False)))
+        result.coalesce(1)
+        .sortWithinPartitions("position")
+        .select(
+            "column_name",
+            "type_class",
+            "null_count",
+            F.coalesce("date_candidate", F.lit(False)).alias("date_candidate"),
+        )
     )
 
 
@@ -112,14 +132,9 @@ def _sampled_flags(
     order = [col(c) for c in order_by] or [F.col(ROW_ORDER)]
 
     def leading(name: str) -> DataFrame:
-        ordered = df.where(_filled(name)).orderBy(*order).limit(sample)
-        return ordered.select(
-            F.lit(name).alias("column_name"), strip_edges(col(name)).alias("value")
-        )
+        ordered = df.where(_filled(col(name))).orderBy(*order).limit(sample)
+        return ordered.select(F.lit(name).alias("column_name"), col(name).alias("text"))
 
     values = reduce(DataFrame.unionByName, [leading(n) for n in text])
-    return values.groupBy("column_name").agg(
-        _candidate(F.count("value"), F.count_if(_parses("value"))).alias(
-            "date_candidate"
-        )
-    )
+    flags = _judged(values).groupBy("column_name")
+    return flags.agg(_date_flag().alias("date_candidate"))

@@ -23,6 +23,7 @@ from tablecare.functions.text import (
 )
 
 MAX_WIDTH = 1000
+_PIECES = "__pieces__"
 
 
 def _text(df: DataFrame, column: str) -> Column:
@@ -86,6 +87,8 @@ def split_column(
             )
         )
         parts = F.when(F.size(parts) > width, too_long).otherwise(parts)
+    # the array in a projection of its own: built once for all its pieces
+    split = append_columns(df, keep, [parts.alias(_PIECES)])
     return append_columns(
-        df, keep, [F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)]
+        split, keep, [F.get(_PIECES, F.lit(i)).alias(n) for i, n in enumerate(names)]
     )

@@ -11,8 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tablecare.functions.columns import ROW_ORDER, col, dtype_of, visible
-from tablecare.operators.dedup import needs_row_order
+from tablecare.functions.columns import ROW_ORDER, col, visible
 from tablecare.operators.text import split_width
 from tablecare.plans.operations import (
     OPERATIONS,
@@ -97,17 +96,12 @@ def clean(df: DataFrame, recipe: str | Sequence[Step]) -> DataFrame:
     return cleaned.drop(ROW_ORDER)
 
 
-def _wants_row_order(df: DataFrame, steps: Sequence[Step]) -> bool:
-    """Whether some deduplication picks one of several different rows."""
-    shape = Shape.of(df)
-    for number, step in enumerate(steps, start=1):
-        if step.key == "dedup_rows" and not step.params.get("order_by"):
-            keys = step.params.get("columns") or ()
-            # with a split of unknown width the list of columns is not complete
-            if keys and (shape.open_splits or needs_row_order(shape.types, keys)):
-                return True
-        check_step(shape, step, number, len(steps))
-    return False
+def _wants_row_order(steps: Sequence[Step]) -> bool:
+    """Whether some deduplication may pick one of several different rows."""
+    return any(
+        s.key == "dedup_rows" and s.params.get("columns") and not s.params.get("order_by")
+        for s in steps
+    )
 
 
 @dataclass(frozen=True)
@@ -115,7 +109,7 @@ class RunReport:
     run_id: str
     destination: str
     steps: tuple[Step, ...]
-    rows_in: int
+    rows_in: int | None  # not counted if that took another pass over text files
     rows_out: int
     null_counts: dict[str, int]
 
@@ -131,16 +125,21 @@ def _touched(steps: Sequence[Step]) -> set[str]:
 
 
 def _write_observed(
-    source: DataFrame, steps: tuple[Step, ...], write: Callable[[DataFrame], None]
-) -> tuple[int, int, dict[str, int]]:
+    source: DataFrame,
+    steps: tuple[Step, ...],
+    write: Callable[[DataFrame], None],
+    count_source: bool,
+) -> tuple[int | None, int, dict[str, int]]:
     """Write and count in the same job: no further pass over the data."""
     shuffles = any(s.key == "dedup_rows" for s in steps)
     seen_in, seen_out = Observation(), Observation()
-    # metrics of a shuffle stage may be counted again when it is repeated after
-    # the loss of an executor, so rows in front of one get a count of their own
-    rows_in = source.count() if shuffles else None
+    rows_in = None
     if not shuffles:
         source = source.observe(seen_in, F.count(F.lit(1)).alias("rows"))
+    elif count_source:
+        # metrics of a shuffle stage may be counted again when it is repeated
+        # after the loss of an executor, so this takes a count of its own
+        rows_in = source.count()
     result = _fold(source, steps)[0]
     touched = [c for c in visible(result) if c in _touched(steps)]
     nulls = [
@@ -148,7 +147,7 @@ def _write_observed(
     ]
     write(result.observe(seen_out, F.count(F.lit(1)).alias("rows"), *nulls))
     found = seen_out.get
-    if rows_in is None:
+    if not shuffles:
         rows_in = seen_in.get["rows"]
     return (
         rows_in,
@@ -173,7 +172,7 @@ def run_recipe(
     Nothing is written unless every step fits the table. Text is read with
     optimistic types: only if a late value breaks them is the job run again,
     with all columns as text. ``lineage`` is a Parquet table that gets one row
-    per run.
+    per run. Other options are those of the source.
     """
     configure(spark)
     steps = as_steps(recipe)
@@ -187,15 +186,16 @@ def run_recipe(
         options.setdefault("late", "fail")
 
     def attempt(options: dict) -> tuple[tuple[Step, ...], tuple]:
-        table = read_table(spark, source, source_format, row_order=True, **options)
+        table = read_table(
+            spark, source, source_format, _wants_row_order(steps), **options
+        )
         check_steps(Shape.of(table), steps)
-        if not _wants_row_order(table, steps):
-            table = table.drop(ROW_ORDER)
         resolved = _fold(table, steps)[1]
         return resolved, _write_observed(
             table,
             resolved,
             lambda df: write_table(df, destination, destination_format, overwrite),
+            count_source=lineage is not None or source_format == "parquet",
         )
 
     try:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecare.functions.columns import ROW_ORDER, col, visible
+from tablecare.functions.columns import ROW_ORDER, col
 from tablecare.functions.text import count_outside_quotes
 from tablecare.sources.charset import allow_charset
 from tablecare.sources.files import (
@@ -92,16 +92,18 @@ def _raw(
     multiline: bool,
     encoding: str | None,
     recursive: bool,
+    row_order: bool,
 ) -> DataFrame:
-    """All-text rows with their order; a row with surplus fields fails the job."""
+    """All-text rows; a row with more fields than the header fails the job."""
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, _CORRUPT])
     rows = (
         _reader(spark, separator, multiline, encoding, recursive)
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .schema(schema)
         .csv(as_list(path))
-        .withColumn(ROW_ORDER, text_order())
     )
+    if row_order:
+        rows = rows.withColumn(ROW_ORDER, text_order())
     # short rows land in the corrupt column as well; they are padded with null
     surplus = count_outside_quotes(F.col(_CORRUPT), separator) >= len(names)
     first = F.coalesce(col(names[0]), F.lit(""))
@@ -122,7 +124,7 @@ def _header(reader, path: Paths) -> list[str]:
 
 
 def _window(
-    spark: SparkSession, files: DataFrame, rows_of, limit: int = TYPING_ROWS
+    spark: SparkSession, files: DataFrame, rows_of, splittable: bool, limit: int
 ) -> DataFrame:
     """The leading rows in path order, read from the leading files only."""
     leading = files.orderBy("path").limit(_WINDOW_FILES).collect()
@@ -135,9 +137,11 @@ def _window(
     rows = rows_of(chosen)
     if len(chosen) > 1:
         return rows.orderBy(ROW_ORDER).limit(limit).drop(ROW_ORDER)
-    # one file: Spark takes from its first split on and stops when it has enough
-    names = visible(rows)
-    taken = rows.select(*[col(n) for n in names]).take(limit)
+    if not splittable or size <= split_bytes(spark):
+        return rows.limit(limit).drop(ROW_ORDER)
+    # one file in many splits: ``take`` reads from the first one on and stops
+    # when it has enough, where ``limit`` would read some of every split
+    taken = rows.drop(ROW_ORDER).take(limit)
     return spark.createDataFrame(taken, rows.drop(ROW_ORDER).schema)
 
 
@@ -145,6 +149,7 @@ def read_delimited(
     spark: SparkSession,
     path: Paths,
     separator: str,
+    row_order: bool = False,
     types: str | dict[str, str] = "infer",
     late: str = "scan",
     fallback: str = "file",
@@ -154,7 +159,7 @@ def read_delimited(
     recursive: bool = False,
     typing_rows: int = TYPING_ROWS,
 ) -> DataFrame:
-    """Read delimited text with a header line, typed and with its row order.
+    """Read delimited text with a header line.
 
     ``types`` is ``"infer"``, ``"string"`` or a type name per column.
     ``late`` says how values that contradict inferred types are found: ``"scan"``
@@ -179,17 +184,26 @@ def read_delimited(
         _reader(spark, separator, multiline, lead_charset, recursive), lead_paths
     )
 
-    def rows_of(charset, paths, deep=recursive):
-        return _raw(spark, paths, names, separator, multiline, charset, deep)
+    def rows_of(charset, paths, deep, order):
+        return _raw(spark, paths, names, separator, multiline, charset, deep, order)
 
-    rows = reduce(DataFrame.unionByName, [rows_of(c, p) for c, p in groups.items()])
+    rows = reduce(
+        DataFrame.unionByName,
+        [rows_of(c, paths, recursive, row_order) for c, paths in groups.items()],
+    )
     if types == "string":
         return rows
     if isinstance(types, dict):
         return apply_types(fail_on_late(rows, types), types)
     files = list_files(spark, lead_paths if charsets else everything, recursive)
     inferred = infer_types(
-        _window(spark, files, lambda p: rows_of(lead_charset, p, False), typing_rows)
+        _window(
+            spark,
+            files,
+            lambda paths: rows_of(lead_charset, paths, False, True),
+            not multiline,
+            typing_rows,
+        )
     )
     if late == "fail":
         return apply_types(fail_on_late(rows, inferred), inferred)

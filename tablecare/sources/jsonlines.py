@@ -46,13 +46,14 @@ def _merged(schemas: list[T.StructType]) -> T.StructType:
 def read_json_lines(
     spark: SparkSession,
     path: Paths,
+    row_order: bool = False,
     schema: T.StructType | str | None = None,
     encoding: str | None = None,
     charsets: dict[str, list[str]] | None = None,
     recursive: bool = False,
     sampling_ratio: float | None = None,
 ) -> DataFrame:
-    """Read JSON lines with row order; a malformed line fails the job.
+    """Read JSON lines; a malformed line fails the job.
 
     Without ``schema`` Spark reads the data once to learn it. Date-like text
     stays text, nested values become arrays and structs. Columns keep the order
@@ -74,10 +75,11 @@ def read_json_lines(
         names = [n for n in seen if n in merged.names]
         names += [n for n in merged.names if n not in names]
         schema = T.StructType([merged[n] for n in names])
+    order = {ROW_ORDER: text_order()} if row_order else {}
     return reduce(
         DataFrame.unionByName,
         [
-            readers[c].schema(schema).json(paths).withColumn(ROW_ORDER, text_order())
+            readers[c].schema(schema).json(paths).withColumns(order)
             for c, paths in groups.items()
         ],
     )

@@ -10,16 +10,18 @@ from tablecare.sources.delimited import read_delimited
 from tablecare.sources.files import Paths, as_list, parquet_order
 from tablecare.sources.formats import SEPARATORS, check_format, detect_format
 from tablecare.sources.jsonlines import read_json_lines
+from tablecare.sources.workbook import read_workbooks
 
 
 def read_parquet(
-    spark: SparkSession, path: Paths, recursive: bool = False
+    spark: SparkSession, path: Paths, row_order: bool = False, recursive: bool = False
 ) -> DataFrame:
-    """Types as stored, with row order."""
+    """Types as stored."""
     reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    return reader.parquet(*as_list(path)).withColumn(ROW_ORDER, parquet_order())
+    df = reader.parquet(*as_list(path))
+    return df.withColumn(ROW_ORDER, parquet_order()) if row_order else df
 
 
 def read_table(
@@ -38,13 +40,10 @@ def read_table(
     configure(spark)
     fmt = check_format(fmt) if fmt else detect_format(as_list(path)[0])
     if fmt in SEPARATORS:
-        df = read_delimited(spark, path, SEPARATORS[fmt], **options)
-    elif fmt == "jsonl":
-        df = read_json_lines(spark, path, **options)
-    elif fmt == "parquet":
-        df = read_parquet(spark, path, **options)
-    else:
-        from tablecare.sources.workbook import read_workbooks
-
-        df = read_workbooks(spark, path, **options)
-    return df if row_order else df.drop(ROW_ORDER)
+        return read_delimited(spark, path, SEPARATORS[fmt], row_order, **options)
+    reader = {
+        "jsonl": read_json_lines,
+        "parquet": read_parquet,
+        "xlsx": read_workbooks,
+    }[fmt]
+    return reader(spark, path, row_order, **options)

@@ -287,6 +287,7 @@ def _infer(rows: DataFrame, names: list[str]) -> dict[str, str]:
 def read_workbooks(
     spark: SparkSession,
     path: Paths,
+    row_order: bool = False,
     sheet: str | None = None,
     types: str | dict[str, str] = "infer",
     recursive: bool = False,
@@ -309,10 +310,10 @@ def read_workbooks(
         types = _infer(rows, names)
     elif types == "string":
         types = {}
-    return rows.select(
-        *[
-            F.get("cells", F.lit(i)).cast(types.get(name, "string")).alias(name)
-            for i, name in enumerate(names)
-        ],
-        F.struct("path", "row").alias(ROW_ORDER),
-    )
+    columns = [
+        F.get("cells", F.lit(i)).cast(types.get(name, "string")).alias(name)
+        for i, name in enumerate(names)
+    ]
+    if row_order:
+        columns.append(F.struct("path", "row").alias(ROW_ORDER))
+    return rows.select(*columns)

@@ -52,6 +52,16 @@ DATES = [
     ("3/22/2022", datetime(2022, 3, 22)),
     ("22/3/2022", datetime(2022, 3, 22)),
     ("3/4/2022 11:15:59.25 AM", datetime(2022, 3, 4, 11, 15, 59, 250000)),
+    ("Mar 1," + " " * 500 + "2019", datetime(2019, 3, 1)),
+    (
+        "Tuesday,  1st of March, 2019 at 10:00:00 p.m. UTC",
+        datetime(2019, 3, 1, 22),
+    ),
+    (
+        "\t".join(["Tuesday,", "1st", "of", "March,", "2019", "at", "10:00:00"]) + " " * 80,
+        datetime(2019, 3, 1, 10),
+    ),
+    ("2020-01-02 and a long story that goes on for more than sixty-four bytes", None),
     # impossible, partial or relative values are not dates
     ("2022-02-30", None),
     ("2022-13-01", None),
