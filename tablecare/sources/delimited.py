@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from tablecare.functions.columns import ROW_ORDER, col
@@ -41,17 +42,14 @@ def _reader(
     multiline: bool,
     encoding: str | None,
     recursive: bool,
-):
+) -> DataFrameReader:
     reader = (
-        spark.read.option("header", "true")
-        .option("sep", separator)
+        spark.read.option("sep", separator)
         .option("quote", '"')
         .option("escape", '"')
         # a sentinel that never occurs, so that quoted "" stays an empty string
         .option("nullValue", "\u0000")
         .option("multiLine", str(multiline).lower())
-        # headers of all files must agree; never map columns by position alone
-        .option("enforceSchema", "false")
     )
     if encoding:
         reader = reader.option("encoding", encoding)
@@ -60,6 +58,29 @@ def _reader(
     return reader
 
 
+@dataclass(frozen=True)
+class Header:
+    """Column names, and whether they are exactly what the header line says."""
+
+    names: list[str]
+    exact: bool
+
+
+def _header(reader: DataFrameReader, path: Paths) -> Header:
+    """Names from the first record; empty and repeated ones get names of their own."""
+    record = reader.csv(as_list(path)).first()
+    if record is None:
+        raise ValueError(f"no header line found in {path}")
+    names: list[str] = []
+    for i, cell in enumerate(record, start=1):
+        name = base = cell or f"unnamed_{i}"
+        copies = 0
+        while name in names:
+            name, copies = f"{base}_duplicated_{copies}", copies + 1
+        names.append(name)
+    return Header(names, exact=names == list(record))
+
+
 def _needs_multiline(
     spark: SparkSession, path: Paths, encoding: str | None, recursive: bool
 ) -> bool:
@@ -85,19 +106,19 @@ def _needs_multiline(
 
 
 def _raw(
-    spark: SparkSession,
+    reader: DataFrameReader,
     path: Paths,
-    names: list[str],
+    header: Header,
     separator: str,
-    multiline: bool,
-    encoding: str | None,
-    recursive: bool,
     row_order: bool,
 ) -> DataFrame:
     """All-text rows; a row with more fields than the header fails the job."""
+    names = header.names
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, _CORRUPT])
     rows = (
-        _reader(spark, separator, multiline, encoding, recursive)
+        reader.option("header", "true")
+        # headers of all files must agree; never map columns by position alone
+        .option("enforceSchema", str(not header.exact).lower())
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .schema(schema)
         .csv(as_list(path))
@@ -106,23 +127,15 @@ def _raw(
         rows = rows.withColumn(ROW_ORDER, text_order())
     # short rows land in the corrupt column as well; they are padded with null
     surplus = count_outside_quotes(F.col(_CORRUPT), separator) >= len(names)
-    first = F.coalesce(col(names[0]), F.lit(""))
     error = F.raise_error(
         F.concat(
             F.lit(f"a row has more than {len(names)} fields; its first field is: "),
-            first,
+            F.coalesce(col(names[0]), F.lit("")),
         )
     )
     return rows.where(F.when(surplus, error).otherwise(F.lit(True))).drop(_CORRUPT)
 
 
-def _header(reader, path: Paths) -> list[str]:
-    names = reader.csv(as_list(path)).columns
-    if not names:
-        raise ValueError(f"no header line found in {path}")
-    return names
-
-
 def _window(
     spark: SparkSession, files: DataFrame, rows_of, splittable: bool, limit: int
 ) -> DataFrame:
@@ -180,12 +193,13 @@ def read_delimited(
             _needs_multiline(spark, paths, charset, recursive)
             for charset, paths in groups.items()
         )
-    names = _header(
+    header = _header(
         _reader(spark, separator, multiline, lead_charset, recursive), lead_paths
     )
 
     def rows_of(charset, paths, deep, order):
-        return _raw(spark, paths, names, separator, multiline, charset, deep, order)
+        reader = _reader(spark, separator, multiline, charset, deep)
+        return _raw(reader, paths, header, separator, order)
 
     rows = reduce(
         DataFrame.unionByName,

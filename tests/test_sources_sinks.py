@@ -145,6 +145,18 @@ def test_headers_must_agree(spark, tmp_path):
         read_table(spark, str(tmp_path), "csv", types="string").collect()
 
 
+def test_odd_headers(spark, tmp_path):
+    path = csv(tmp_path, 'a,,a,"b ""c"", d",a\n1,2,3,4,5\n')
+    df = read_table(spark, path)
+    assert df.columns == ["a", "unnamed_2", "a_duplicated_0", 'b "c", d', "a_duplicated_1"]
+    assert tuples(df) == [(1, 2, 3, 4, 5)]
+    with pytest.raises(ValueError, match="header"):
+        read_table(spark, csv(tmp_path, "", "empty.csv"))
+    assert read_table(spark, csv(tmp_path, "a,b\n", "only.csv")).count() == 0
+    spanning = csv(tmp_path, '"a\nb",c\n1,2\n', "span.csv")
+    assert read_table(spark, spanning).columns == ["a\nb", "c"]
+
+
 def test_given_types(spark, tmp_path):
     path = csv(tmp_path, "a,b\n1,2\n3,x\n")
     df = read_table(spark, path, types={"a": "double"})
