@@ -279,7 +279,8 @@ def q_late_text(spark, sf_dir):
     """One value past the typing window is no number: all columns become text."""
     lineitem = _table(spark, sf_dir, "lineitem")
     last = F.col("l_orderkey") == lineitem.agg(F.max("l_orderkey")).first()[0]
-    rows = lineitem.select(
+    # sorted, so that the last order is at the end of the last file
+    rows = lineitem.orderBy("l_orderkey").select(
         F.when(last, F.lit("late")).otherwise(F.col("l_orderkey").cast("string")).alias(
             "l_orderkey"
         ),
@@ -287,8 +288,7 @@ def q_late_text(spark, sf_dir):
         "l_quantity",
     )
     path = f"{scratch_path(spark, 'late')}.csv"
-    ordered = rows.orderBy(F.col("l_orderkey") == "late").coalesce(1)
-    tc.write_table(ordered, path)
+    tc.write_table(rows, path)
     # a window that even the smallest of the given tables exceeds
     return tc.read_table(spark, path, typing_rows=1000)
 
@@ -326,7 +326,8 @@ def q_charset_mixed(spark, sf_dir):
 def q_charset_census(spark, sf_dir):
     path = _mixed_charsets(spark, sf_dir)
     census = charset_census(spark, path, ["US-ASCII", "ISO-8859-3", "ISO-8859-1"])
-    return census.select("utf8", "possible", "charset", "ambiguous").distinct()
+    possible = F.concat_ws(",", "possible").alias("possible")
+    return census.select("utf8", possible, "charset", "ambiguous").distinct()
 
 
 # --- recipes ------------------------------------------------------------------
@@ -544,10 +545,10 @@ def oracle_sql() -> dict[str, str]:
         "q_charset": f"select c_custkey, {maltese} as c_name from customer",
         "q_charset_mixed": f"select c_custkey, {maltese} as c_name from customer",
         "q_charset_census": """
-            select true as utf8, cast([] as varchar[]) as possible, 'UTF-8' as charset,
+            select true as utf8, '' as possible, 'UTF-8' as charset,
                 false as ambiguous from customer where c_custkey % 2 = 0
             union
-            select false, ['ISO-8859-3', 'ISO-8859-1'], 'ISO-8859-3', true
+            select false, 'ISO-8859-3,ISO-8859-1', 'ISO-8859-3', true
                 from customer where c_custkey % 2 = 1""",
         "q_recipe": f"""select o_orderkey, signed_up, split_part(c_name, '#', 1) as kind,
             split_part(c_name, '#', 2) as code from ({_SIGNUPS})""",

@@ -39,6 +39,7 @@ _MONTH_NAMES = (
 _MONTH = rf"(?={_MONTH_NAMES}(?![a-z]))([a-z]{{3}})[a-z]*\.?"
 # (position + 2) / 3 is the month number
 _MONTH_LETTERS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_WEEKDAY_LETTERS = "montuewedthufrisatsun"
 
 _WEEKDAY = (
     r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?[.,]? "
@@ -74,6 +75,10 @@ _HALF_DAY = r"(?i) ?([ap])\.?m\.?(?: ?(?:z|utc|gmt))?$"
 _HALF_DAY_FORMAT = "y-M-d h:mm[:ss][.SSSSSSSSS] a"
 
 
+def _starts(letters: str) -> list[str]:
+    return [letters[i : i + 3] for i in range(0, len(letters), 3)]
+
+
 def _rewrite(text: Column, *shapes: tuple[str, str]) -> Column:
     for pattern, order in shapes:
         text = F.regexp_replace(text, pattern, order)
@@ -87,15 +92,23 @@ def _spread(cleaned: Column, day_first: bool) -> Column:
     none of them stays as it is and is refused by ``_cast``.
     """
     numeric = (_DMY, _MDY) if day_first else (_MDY, _DMY)
+    start = F.lower(F.substring(cleaned, 1, 3))
+    fifth = F.substring(cleaned, 5, 1)
     word = ~F.ascii(cleaned).between(ord("0"), ord("9"))
+    named = F.when(
+        start.isin(*_starts(_MONTH_LETTERS)), _rewrite(cleaned, _MONTH_DAY)
+    ).when(
+        start.isin(*_starts(_WEEKDAY_LETTERS)),
+        _rewrite(cleaned, (_WEEKDAY, ""), _MONTH_DAY, _DAY_MONTH),
+    )
+    iso = cleaned.rlike(r"^\d{4}-\d{1,2}-\d{1,2}(?:[T ]\d|$)")
     return (
-        F.when(cleaned.rlike(r"^\d{4}-\d{1,2}-\d{1,2}(?:[T ]|$)"), cleaned)
+        F.when(word, named)
+        .when((fifth == "-") & iso, cleaned)
         .when(
-            word & cleaned.rlike(r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)"),
-            _rewrite(cleaned, (_WEEKDAY, ""), _MONTH_DAY, _DAY_MONTH),
+            fifth.isin("-", "/", ".") & cleaned.rlike(r"^\d{4}"),
+            _rewrite(cleaned, _YMD),
         )
-        .when(word, _rewrite(cleaned, _MONTH_DAY))
-        .when(cleaned.rlike(r"^\d{4}[-/.]"), _rewrite(cleaned, _YMD))
         .when(cleaned.rlike(r"^\d{1,2}[-/.]\d"), _rewrite(cleaned, *numeric))
         .when(cleaned.rlike(r"^\d{8}"), _rewrite(cleaned, _COMPACT, _COMPACT_TIME))
         .otherwise(_rewrite(cleaned, _DAY_MONTH))

@@ -178,6 +178,8 @@ def run_recipe(
     steps = as_steps(recipe)
     source_format = source_format or detect_format(as_list(source)[0])
     if destination is None:
+        if len(as_list(source)) > 1 or set("*?[{") & set(as_list(source)[0]):
+            raise ValueError("several sources need a destination of their own")
         destination = default_destination(as_list(source)[0])
         destination_format = destination_format or source_format
     destination_format = destination_format or detect_format(destination)

@@ -17,7 +17,7 @@ def test_profile(spark):
          '2022-03-22', 'x', array(1), cast(1 as decimal(12,2)), null, 'Mar 1, 2019'),
         (2, null, false, null, null, 'Mar 1, 2019', null, null, null, null, ' '),
         (3, 2.5D, null, null, null, 'Sept 5 2021', '', null, null, null, ''),
-        (4, 2.5D, null, null, null, 'not a date at all!?!', 'z', null, null, null, null)
+        (4, 2.5D, null, null, null, 'some day soon', 'z', null, null, null, null)
         as t(i, f, b, d, t, dates, words, l, m, `n.u`, few)"""
     )
     assert by_name(profile(df)) == {

@@ -8,57 +8,57 @@ from tablecare.__main__ import main
 
 TIDY = (
     "# tidy\n"
-    'trim_collapse(columns=["Dept", "Notes"])\n'
-    'date_normalize(column="Hired Date")\n'
+    'trim_collapse(columns=["Unit", "Remarks"])\n'
+    'date_normalize(column="Start Date")\n'
 )
 
 
 @pytest.fixture
 def staff(tmp_path):
-    path = tmp_path / "sample.csv"
+    path = tmp_path / "staff.csv"
     path.write_text(
-        "id,Hired Date,Dept,Notes\n"
-        '1,2022-03-22,  Engineering ,  Alice  Doe  \n2,"Mar 1, 2019",Ops,""\n'
+        "id,Start Date,Unit,Remarks\n"
+        '1,2021-05-04,  Field Crew ,  Mia  Rey  \n2,"Jan 9, 2018",Desk,""\n'
     )
     return path
 
 
 def test_default_destination(spark, staff, tmp_path):
     report = run_recipe(spark, TIDY, str(staff))
-    assert report.destination == str(tmp_path / "sample-normalized.csv")
+    assert report.destination == str(tmp_path / "staff-normalized.csv")
     assert (report.rows_in, report.rows_out) == (2, 2)
-    assert report.null_counts == {"Hired Date": 0, "Dept": 0, "Notes": 0}
+    assert report.null_counts == {"Start Date": 0, "Unit": 0, "Remarks": 0}
     out = read_table(spark, report.destination).orderBy("id").collect()
-    assert [r["Dept"] for r in out] == ["Engineering", "Ops"]
-    assert [r["Hired Date"] for r in out] == ["2022-03-22T00:00:00", "2019-03-01T00:00:00"]
+    assert [r["Unit"] for r in out] == ["Field Crew", "Desk"]
+    assert [r["Start Date"] for r in out] == ["2021-05-04T00:00:00", "2018-01-09T00:00:00"]
 
 
 def test_other_format_keeps_real_types(spark, staff, tmp_path):
-    out = str(tmp_path / "done" / "members.parquet")
+    out = str(tmp_path / "done" / "clean.parquet")
     run_recipe(spark, TIDY, str(staff), out)
     back = read_table(spark, out).orderBy("id")
-    assert back.first()["Hired Date"] == datetime(2022, 3, 22)
-    assert not (tmp_path / "sample-normalized.csv").exists()
+    assert back.first()["Start Date"] == datetime(2021, 5, 4)
+    assert not (tmp_path / "staff-normalized.csv").exists()
 
 
 @pytest.mark.parametrize(
     "recipe,problem",
     [
-        ('trim_collapse(columns=["Dept"])\ntrim_collapse(columns=["No"])', "step 2 of 2"),
-        ("bogus_op(mystery=1)", "unknown operation 'bogus_op'"),
+        ('trim_collapse(columns=["Unit"])\ntrim_collapse(columns=["Absent"])', "step 2 of 2"),
+        ("sort_rows(by=1)", "unknown operation 'sort_rows'"),
     ],
 )
 def test_refused_recipes_write_nothing(spark, staff, tmp_path, recipe, problem):
     with pytest.raises(StepError, match=problem):
         run_recipe(spark, recipe, str(staff))
-    assert [p.name for p in tmp_path.iterdir()] == ["sample.csv"]
+    assert [p.name for p in tmp_path.iterdir()] == ["staff.csv"]
 
 
 def test_failing_jobs_write_nothing(spark, staff, tmp_path):
     staff.write_text(staff.read_text() + "3,x,y,z,surplus\n")
     with pytest.raises(Exception, match="more than 4 fields"):
         run_recipe(spark, TIDY, str(staff))
-    assert [p.name for p in tmp_path.iterdir()] == ["sample.csv"]
+    assert [p.name for p in tmp_path.iterdir()] == ["staff.csv"]
 
 
 def test_late_values_turn_the_run_to_text(spark, tmp_path):
@@ -100,16 +100,16 @@ def test_file_order_decides_what_is_kept(spark, tmp_path):
 
 def test_lineage_gets_a_row_per_run(spark, staff, tmp_path):
     table = str(tmp_path / "lineage")
-    recipe = TIDY + 'split_column(column="Notes")\n'
+    recipe = TIDY + 'split_column(column="Remarks")\n'
     for _ in range(2):
         report = run_recipe(spark, recipe, str(staff), lineage=table)
-    assert report.null_counts == {"Hired Date": 0, "Dept": 0, "Notes_1": 1, "Notes_2": 1}
+    assert report.null_counts == {"Start Date": 0, "Unit": 0, "Remarks_1": 1, "Remarks_2": 1}
     rows = spark.read.parquet(table).collect()
     assert len({r["run_id"] for r in rows}) == 2
     assert len({r["recipe_hash"] for r in rows}) == 1
     row = rows[0]
     assert row["source"] == [str(staff)] and row["rows_out"] == 2
-    assert 'split_column(column="Notes", width=2)' in row["recipe"]
+    assert 'split_column(column="Remarks", width=2)' in row["recipe"]
 
 
 def test_command_line(spark, staff, tmp_path, capsys):
@@ -118,7 +118,7 @@ def test_command_line(spark, staff, tmp_path, capsys):
     out = str(tmp_path / "o.tsv")
     assert main([str(staff), "--recipe", str(recipe), "--output", out]) == 0
     shown = capsys.readouterr()
-    assert 'trim_collapse(columns=["Dept", "Notes"])' in shown.out
+    assert 'trim_collapse(columns=["Unit", "Remarks"])' in shown.out
     assert "2 rows" in shown.err and out in shown.err
     assert read_table(spark, out).count() == 2
     assert main([str(staff), "--recipe", str(tmp_path / "missing.txt")]) == 1
