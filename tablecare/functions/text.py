@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Unicode white space: plain \s would miss the no-break space and its kin.
-_EDGES = r"(?U)^\s+|\s+$"
 _RUNS = r"(?U)\s+"
 
+# The characters with the Unicode property White_Space (fixed values).
+WHITE_SPACE = (
+    "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Doubles whose text Spark writes with an exponent although their plain decimal
 # form is short: 1e-5 <= |x| < 1e16. decimal(38,22) holds this range exactly.
 _PLAIN_DOUBLE = "decimal(38,22)"
@@ -42,7 +47,7 @@ def iso_seconds(c: Column) -> Column:
 
 
 def strip_edges(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGES, "")
+    return F.trim(c, F.lit(WHITE_SPACE))
 
 
 def trim_collapse(c: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from tablecare.functions.columns import ROW_ORDER, col
 from tablecare.functions.text import count_outside_quotes
@@ -36,6 +37,18 @@ LATE_CHOICES = ("scan", "fail")
 FALLBACK_CHOICES = ("file", "column")
 
 
+def text_options(separator: str, multiline: bool) -> dict[str, str]:
+    """How delimited text is written, for batch and stream readers."""
+    return {
+        "sep": separator,
+        "quote": '"',
+        "escape": '"',
+        # a sentinel that never occurs, so that quoted "" stays an empty string
+        "nullValue": "\u0000",
+        "multiLine": str(multiline).lower(),
+    }
+
+
 def _reader(
     spark: SparkSession,
     separator: str,
@@ -43,14 +56,7 @@ def _reader(
     encoding: str | None,
     recursive: bool,
 ) -> DataFrameReader:
-    reader = (
-        spark.read.option("sep", separator)
-        .option("quote", '"')
-        .option("escape", '"')
-        # a sentinel that never occurs, so that quoted "" stays an empty string
-        .option("nullValue", "\u0000")
-        .option("multiLine", str(multiline).lower())
-    )
+    reader = spark.read.options(**text_options(separator, multiline))
     if encoding:
         reader = reader.option("encoding", encoding)
     if recursive:
@@ -105,12 +111,12 @@ def _needs_multiline(
     return not lines.where(quotes % 2 == 1).isEmpty()
 
 
-def _raw(
-    reader: DataFrameReader,
-    path: Paths,
+def text_rows(
+    reader: DataFrameReader | DataStreamReader,
+    path: str | list[str],
     header: Header,
     separator: str,
-    row_order: bool,
+    row_order: bool = False,
 ) -> DataFrame:
     """All-text rows; a row with more fields than the header fails the job."""
     names = header.names
@@ -121,7 +127,7 @@ def _raw(
         .option("enforceSchema", str(not header.exact).lower())
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .schema(schema)
-        .csv(as_list(path))
+        .csv(path)
     )
     if row_order:
         rows = rows.withColumn(ROW_ORDER, text_order())
@@ -199,7 +205,7 @@ def read_delimited(
 
     def rows_of(charset, paths, deep, order):
         reader = _reader(spark, separator, multiline, charset, deep)
-        return _raw(reader, paths, header, separator, order)
+        return text_rows(reader, paths, header, separator, order)
 
     rows = reduce(
         DataFrame.unionByName,

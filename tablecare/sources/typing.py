@@ -30,7 +30,9 @@ def _fits(c: Column, type_name: str) -> Column:
         return c.rlike(_LONG) & c.try_cast("bigint").isNotNull()
     if type_name == "double":
         return c.rlike(_DOUBLE)
-    return c.rlike(_BOOLEAN)
+    if type_name == "boolean":
+        return c.rlike(_BOOLEAN)
+    return c.try_cast(type_name).isNotNull()
 
 
 def infer_types(rows: DataFrame) -> dict[str, str]:

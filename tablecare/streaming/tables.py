@@ -11,7 +11,9 @@ from pyspark.sql.streaming import DataStreamWriter
 from tablecare.functions.columns import col, visible
 from tablecare.session import configure
 from tablecare.sinks.table import whole_seconds
+from tablecare.sources.delimited import Header, text_options, text_rows
 from tablecare.sources.formats import SEPARATORS, check_format
+from tablecare.sources.typing import apply_types, fail_on_late
 
 _EVENT_TIME = "__event_time__"
 
@@ -20,32 +22,37 @@ def read_stream(
     spark: SparkSession,
     path: str,
     fmt: str,
-    schema: T.StructType | str,
+    schema: T.StructType,
     glob: str | None = None,
     max_files_per_trigger: int | None = None,
+    multiline: bool = True,
 ) -> DataFrame:
-    """New files of a folder as a stream. Streams need their types beforehand."""
+    """New files of a folder as a stream. Streams need their types beforehand.
+
+    A text row with surplus fields or with a value of another type fails the
+    stream, as it fails a batch.
+    """
     configure(spark)
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if check_format(fmt) == "parquet":
-        return reader.parquet(path)
+        return reader.schema(schema).parquet(path)
     if fmt == "jsonl":
-        return reader.option("mode", "FAILFAST").json(path)
+        return reader.schema(schema).option("mode", "FAILFAST").json(path)
     if fmt not in SEPARATORS:
         raise ValueError(f"{fmt!r} files cannot be streamed")
-    return (
-        reader.option("header", "true")
-        .option("sep", SEPARATORS[fmt])
-        .option("escape", '"')
-        .option("nullValue", "\u0000")
-        .option("multiLine", "true")
-        .option("enforceSchema", "false")
-        .csv(path)
-    )
+    separator = SEPARATORS[fmt]
+    reader = reader.options(**text_options(separator, multiline))
+    rows = text_rows(reader, path, Header(schema.names, exact=True), separator)
+    types = {
+        f.name: f.dataType.simpleString()
+        for f in schema
+        if not isinstance(f.dataType, T.StringType)
+    }
+    return apply_types(fail_on_late(rows, types), types)
 
 
 def dedup_first(

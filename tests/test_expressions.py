@@ -9,7 +9,12 @@ from pyspark.sql import types as T
 from tablecare import combine_columns, date_normalize, date_only, split_column
 from tablecare import remove_columns, rename_single, trim_collapse
 from tablecare.functions.columns import col
-from tablecare.functions.text import as_text, count_outside_quotes
+from tablecare.functions.text import (
+    WHITE_SPACE,
+    as_text,
+    count_outside_quotes,
+    strip_edges,
+)
 from tablecare.operators.text import split_width
 
 
@@ -145,6 +150,17 @@ def test_trim_collapse(table):
     assert values(trim_collapse(df, ["n"]), "n")[0] == "1"
 
 
+def test_all_unicode_white_space(table):
+    spaces = [c for c in map(chr, range(0x10000)) if c.isspace() and not "\x1c" <= c <= "\x1f"]
+    assert sorted(spaces) == sorted(WHITE_SPACE)
+    df = table("i int, a string", *[(i, f"{c}x{c}{c}y{c}") for i, c in enumerate(spaces)])
+    assert set(values(trim_collapse(df, ["a"]), "a")) == {"x y"}
+    assert set(values(split_column(df, "a", "x"), "a_1")) == {""}
+    df = table("i int, a string", *[(i, f"{c}é{c}ü{c}{c}") for i, c in enumerate(spaces)])
+    edges = df.select(strip_edges(F.col("a")).alias("a"))
+    assert values(edges, "a") == [f"é{c}ü" for c in spaces]
+
+
 def test_combine_columns(table):
     df = table(
         "first string, last string, n bigint", ("Ida", "Fox", 1), (None, "Fox", 2)

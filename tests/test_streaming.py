@@ -1,8 +1,9 @@
 """Recipes over streams agree with batch once all input has been read."""
 
 import pytest
+from pyspark.sql import types as T
 
-from tablecare import StepError, apply_recipe, clean, dedup_rows, read_table
+from tablecare import StepError, apply_recipe, clean, dedup_rows, read_table, write_table
 from tablecare.streaming.latest import compact, keep_last, read_last
 from tablecare.streaming.tables import dedup_first, read_stream, write_stream
 
@@ -50,7 +51,8 @@ def test_text_stream(spark, tmp_path):
     source.mkdir()
     (source / "a.csv").write_text('id,d\n1,"Mar 1, 2019"\n2,\n')
     (source / "b.csv").write_text('id,d\n3,""\n4,2020/01/02\n')
-    stream = read_stream(spark, str(source), "csv", "id bigint, d string")
+    schema = T.StructType().add("id", T.LongType()).add("d", T.StringType())
+    stream = read_stream(spark, str(source), "csv", schema)
     out = str(tmp_path / "o")
     cleaned = apply_recipe(stream, 'date_normalize(column="d")').df
     finish(write_stream(cleaned, out, "csv", str(tmp_path / "c")))
@@ -62,6 +64,28 @@ def test_text_stream(spark, tmp_path):
     ]
 
 
+@pytest.mark.parametrize("line,problem", [("5,x,y", "more than 2"), ("x,y", "not bigint")])
+def test_text_that_does_not_fit_fails_the_stream(spark, tmp_path, line, problem):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(f"id,d\n1,2\n{line}\n")
+    schema = T.StructType().add("id", T.LongType()).add("d", T.StringType())
+    stream = read_stream(spark, str(tmp_path / "in"), "csv", schema)
+    writer = write_stream(stream, str(tmp_path / "o"), "parquet", str(tmp_path / "c"))
+    with pytest.raises(Exception, match=problem):
+        finish(writer)
+
+
+def test_json_stream(spark, table, tmp_path):
+    source = str(tmp_path / "in.jsonl")
+    write_table(table("a bigint, s string", (1, " x "), (2, None)), source)
+    schema = T.StructType().add("a", T.LongType()).add("s", T.StringType())
+    stream = read_stream(spark, source, "jsonl", schema)
+    cleaned = apply_recipe(stream, 'trim_collapse(columns=["s"])').df
+    out = str(tmp_path / "o")
+    finish(write_stream(cleaned, out, "jsonl", str(tmp_path / "c")))
+    assert rows(read_table(spark, out, "jsonl")) == [(1, "x"), (2, None)]
+
+
 def test_steps_that_a_stream_cannot_do(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/part.parquet").schema
     stream = read_stream(spark, sf_dir, "parquet", schema, glob="part.parquet")
