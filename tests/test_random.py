@@ -1,0 +1,144 @@
+"""Random tables against brute force in plain Python."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablecare import (
+    combine_columns,
+    date_normalize,
+    dedup_rows,
+    preview,
+    read_table,
+    split_column,
+    trim_collapse,
+    write_table,
+)
+from tablecare.functions.text import WHITE_SPACE
+
+ALPHABET = "ab-é語😀,\"'\\;|" + "  \t\n" + "  　" + "\r"
+ROWS = 1500
+
+
+def texts(seed, alphabet=ALPHABET, rows=ROWS, longest=14):
+    rng = random.Random(seed)
+    made = [
+        "".join(rng.choice(alphabet) for _ in range(rng.randrange(longest)))
+        for _ in range(rows)
+    ]
+    return [None if rng.random() < 0.05 else text for text in made]
+
+
+def frame(spark, values):
+    return spark.createDataFrame(list(enumerate(values)), "i int, v string").repartition(5)
+
+
+def column(df, name="v"):
+    return [r[0] for r in df.orderBy("i").select(name).collect()]
+
+
+def collapsed(text):
+    return None if text is None else " ".join(text.split())
+
+
+def test_trim_collapse(spark):
+    values = texts(1)
+    assert column(trim_collapse(frame(spark, values), ["v"])) == [
+        collapsed(v) for v in values
+    ]
+
+
+@pytest.mark.parametrize("delimiter", ["", "-", "|", "\\", "a-", " -"])
+def test_split(spark, delimiter):
+    values = texts(2, ALPHABET + "-" * 6)
+    expected = []
+    for v in values:
+        if v is None or (not delimiter and not v.split()):
+            expected.append([])
+        elif not delimiter:
+            expected.append(v.split())
+        else:
+            expected.append(v.strip(WHITE_SPACE).split(delimiter))
+    width = max(map(len, expected))
+    out = split_column(frame(spark, values), "v", delimiter)
+    assert out.columns == ["i", *[f"v_{k}" for k in range(1, width + 1)]]
+    got = [tuple(r)[1:] for r in out.orderBy("i").collect()]
+    assert got == [tuple(e + [None] * (width - len(e))) for e in expected]
+
+
+def test_combine(spark):
+    left, right = texts(3), texts(4)
+    rows = [(i, a, b) for i, (a, b) in enumerate(zip(left, right))]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    got = column(combine_columns(df, ["b", "i", "a"], "v", "; "))
+    assert got == ["; ".join(str(x) for x in (b, i, a) if x is not None) for i, a, b in rows]
+
+
+@pytest.mark.parametrize("keep", ["first", "last"])
+def test_dedup(spark, keep):
+    rng = random.Random(5)
+    rows = [
+        (rng.choice([None, "x", "y", "z"]), rng.choice([None, 1.5, float("nan"), -0.0, 0.0]), i)
+        for i in range(ROWS)
+    ]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, f double, i int").repartition(7)
+    best = {}
+    for k, f, i in rows:
+        key = (k, "nan" if f is not None and f != f else f)  # 0.0 equals -0.0
+        better = i < best.get(key, i + 1) if keep == "first" else i > best.get(key, -1)
+        if better:
+            best[key] = i
+    got = dedup_rows(df, ["k", "f"], keep, ["i"])
+    assert sorted(r["i"] for r in got.collect()) == sorted(best.values())
+
+
+FORMATS = ["%Y-%m-%d", "%Y/%m/%d %H:%M", "%b %d, %Y", "%B %d %Y %I:%M:%S %p", "%d %b %Y",
+           "%A, %B %d, %Y", "%m/%d/%Y", "%Y%m%d", "%Y-%m-%dT%H:%M:%S.%fZ", "%d-%b-%Y %H:%M"]
+
+
+def test_dates(spark):
+    rng = random.Random(6)
+    made, expected = [], []
+    for _ in range(ROWS):
+        moment = datetime(1900, 1, 1) + timedelta(microseconds=rng.randrange(6 * 10**15))
+        form = rng.choice(FORMATS)
+        text = moment.strftime(form)
+        read = datetime.strptime(text, form)
+        made.append("  ".join(text.split(" ")) if rng.random() < 0.3 else text)
+        expected.append(read.replace(microsecond=read.microsecond // 1000 * 1000))
+    assert column(date_normalize(frame(spark, made), "v")) == expected
+
+
+@pytest.mark.parametrize("suffix", ["csv", "tsv", "jsonl", "parquet", "xlsx"])
+def test_text_survives_files(spark, tmp_path, suffix):
+    values = texts(7)
+    out = str(tmp_path / f"x.{suffix}")
+    write_table(frame(spark, values), out)
+    assert column(read_table(spark, out)) == values
+
+
+def test_preview_is_the_top_k_of_the_hash(spark):
+    import hashlib
+
+    df = spark.range(5000).withColumnRenamed("id", "i")
+    ranked = sorted(range(5000), key=lambda i: hashlib.md5(f"{i}:9".encode()).hexdigest())
+    got = [r["i"] for r in preview(df, ["i"], seed=9, rows=100).collect()]
+    assert got == sorted(ranked[:100])
+
+
+def test_keys_may_hold_a_third_of_all_rows(spark, tmp_path):
+    """A hot key through files, in file order, with whole rows kept."""
+    rows = [(-1 if i % 3 == 0 else i % 40, i, f"row {i}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "k int, n int, s string").coalesce(1)
+    write_table(df.sortWithinPartitions("n"), str(tmp_path / "x.parquet"))
+    table = read_table(spark, str(tmp_path / "x.parquet"), row_order=True)
+    expected = {}
+    for k, n, s in rows:
+        expected[k] = (k, n, s)
+    got = dedup_rows(table, ["k"], "last").select("k", "n", "s")
+    assert sorted(map(tuple, got.collect())) == sorted(expected.values())
+    counted = table.groupBy("k").agg(F.count("*").alias("c"))
+    assert counted.orderBy(F.desc("c")).first()["c"] == 2000
