@@ -7,6 +7,7 @@ would read ``12:30`` or ``now`` as the current day and ``12345`` as a year.
 Shapes, in order (``time`` is optional everywhere):
 
 * ``2022-03-22``, ``2022/3/22``, ``2022.03.22``; ``T``, space or comma, time
+* ``2022-Mar-22``
 * ``20220322`` and ``20220322T101559``
 * ``Mar 1, 2019``, ``March 1st 2019``, ``Sept. 5 2021``
 * ``1 Mar 2019``, ``1-Mar-2019``, ``1st of March, 2019``
@@ -118,7 +119,8 @@ def _spread(cleaned: Column, day_first: bool) -> Column:
 def _canonical(spread: Column) -> Column:
     """``2019-Mar-1`` to ``2019-3-1``; everything else as it is."""
     position = F.instr(F.lit(_MONTH_LETTERS), F.lower(F.substring(spread, 6, 3)))
-    number = ((position + 2) / 3).cast("int").cast("string")
+    # null, and so no date, unless the letters are those of one month
+    number = F.when(position % 3 == 1, ((position + 2) / 3).cast("int").cast("string"))
     swapped = F.concat(F.left(spread, F.lit(5)), number, F.substring(spread, 9, 64))
     letter = F.substring(spread, 6, 1) >= "A"
     return F.when(letter, swapped).otherwise(spread)

@@ -93,5 +93,6 @@ def piece_count(ready: Column, delimiter: str) -> Column:
 
 def count_outside_quotes(record: Column, separator: str) -> Column:
     """Separators of one raw delimited record that are not inside quotes."""
-    bare = F.regexp_replace(record, r'"(?:[^"]|"")*"', "")
+    # a doubled quote ends one quoted part and begins the next
+    bare = F.regexp_replace(record, r'"[^"]*"', "")
     return F.length(bare) - F.length(F.replace(bare, F.lit(separator), F.lit("")))
