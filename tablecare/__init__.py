@@ -1,5 +1,9 @@
 """Clean tabular data at scale: recipes of column and row operations on Spark."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from tablecare.functions.columns import ROW_ORDER
 from tablecare.operators.columns import remove_columns, rename_single
 from tablecare.operators.dates import date_normalize, date_only
@@ -21,6 +25,10 @@ from tablecare.sinks.table import write_table
 from tablecare.sources.formats import detect_format
 from tablecare.sources.table import read_table
 
+# The few Python functions that run in tasks travel with them, so that executors
+# need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "ROW_ORDER",
     "Cleaned",
