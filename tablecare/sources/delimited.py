@@ -194,17 +194,19 @@ def read_delimited(
         allow_charset(spark, charset)
     everything = [p for paths in groups.values() for p in paths]
     lead_charset, lead_paths = next(iter(groups.items()))
-    if multiline is None:
-        multiline = any(
-            _needs_multiline(spark, paths, charset, recursive)
-            for charset, paths in groups.items()
-        )
+    spanning = {
+        charset: _needs_multiline(spark, paths, charset, recursive)
+        if multiline is None
+        else multiline
+        for charset, paths in groups.items()
+    }
     header = _header(
-        _reader(spark, separator, multiline, lead_charset, recursive), lead_paths
+        _reader(spark, separator, spanning[lead_charset], lead_charset, recursive),
+        lead_paths,
     )
 
     def rows_of(charset, paths, deep, order):
-        reader = _reader(spark, separator, multiline, charset, deep)
+        reader = _reader(spark, separator, spanning[charset], charset, deep)
         return text_rows(reader, paths, header, separator, order)
 
     rows = reduce(
@@ -221,7 +223,7 @@ def read_delimited(
             spark,
             files,
             lambda paths: rows_of(lead_charset, paths, False, True),
-            not multiline,
+            not spanning[lead_charset],
             typing_rows,
         )
     )

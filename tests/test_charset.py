@@ -50,6 +50,15 @@ def test_json_lines(spark, tmp_path):
     assert [r["المسار"] for r in df.collect()] == ["تونس", "الرياض"]
 
 
+def test_json_lines_in_utf16(spark, tmp_path):
+    path = tmp_path / "x.jsonl"
+    path.write_bytes('{"a": "Ηράκλειο"}\n{"a": "仙台市"}\n'.encode("utf-16"))
+    groups = paths_by_charset(charset_census(spark, str(path)))
+    assert list(groups) == ["UTF-16"]
+    df = read_table(spark, str(path), charsets=groups)
+    assert [r["a"] for r in df.collect()] == ["Ηράκλειο", "仙台市"]
+
+
 @pytest.fixture
 def mixed(tmp_path):
     """The same columns from four offices, each in its own charset."""
