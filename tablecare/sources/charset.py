@@ -20,7 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecare.sources.files import Paths, as_list, literal_path
+from tablecare.functions.columns import ROW_ORDER
+from tablecare.session import scratch_path
+from tablecare.sources.files import Paths, as_list, literal_path, text_order
 
 # Charsets Spark reads without further permission (fixed values).
 _STANDARD = (
@@ -48,6 +50,32 @@ def allow_charset(spark: SparkSession, charset: str | None) -> None:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
 
+def is_wide(charset: str | None) -> bool:
+    """Whether a line break is more than one byte, so that files cannot be split."""
+    return bool(charset) and charset.upper().startswith(("UTF-16", "UTF-32"))
+
+
+def transcode_lines(spark: SparkSession, paths: list[str], charset: str) -> str:
+    """Write the lines of files in a wide charset as UTF-8 to the scratch folder.
+
+    For sources that cannot read such charsets themselves. The new files, taken
+    in path order, hold the lines in the order of the old ones.
+    """
+    lines = (
+        spark.read.option("encoding", charset)
+        .option("multiLine", "true")
+        # the whole line is one field: no quotes, and a separator never used
+        .option("quote", "")
+        .option("sep", "\u0001")
+        .schema("value string")
+        .csv(paths)
+        .withColumn(ROW_ORDER, text_order())
+    )
+    folder = scratch_path(spark, "transcoded")
+    lines.orderBy(ROW_ORDER).select("value").write.text(folder)
+    return folder
+
+
 def _bytes(hexadecimal: str) -> Column:
     return F.unhex(F.lit(hexadecimal))
 

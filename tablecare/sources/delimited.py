@@ -11,7 +11,7 @@ from pyspark.sql.streaming import DataStreamReader
 
 from tablecare.functions.columns import ROW_ORDER, col
 from tablecare.functions.text import count_outside_quotes
-from tablecare.sources.charset import allow_charset
+from tablecare.sources.charset import allow_charset, is_wide
 from tablecare.sources.files import (
     Paths,
     as_list,
@@ -99,7 +99,7 @@ def _needs_multiline(
     largest = list_files(spark, path, recursive).agg(F.max("length")).first()[0] or 0
     if largest <= split_bytes(spark):
         return True
-    if encoding and encoding.upper().startswith(("UTF-16", "UTF-32")):
+    if is_wide(encoding):
         return True
     reader = spark.read
     if recursive:

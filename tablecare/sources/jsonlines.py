@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecare.functions.columns import ROW_ORDER
-from tablecare.sources.charset import allow_charset
+from tablecare.sources.charset import allow_charset, is_wide, transcode_lines
 from tablecare.sources.files import Paths, as_list, text_order
 
 _KEY_LINES = 100
@@ -21,7 +21,7 @@ def _reader(
     reader = spark.read.option("mode", "FAILFAST")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    if encoding:
+    if encoding and not is_wide(encoding):
         allow_charset(spark, encoding)
         reader = reader.option("encoding", encoding).option("lineSep", "\n")
     return reader
@@ -60,7 +60,11 @@ def read_json_lines(
     of their first appearance. ``charsets`` maps a charset to the paths written
     in it and replaces ``path``/``encoding``.
     """
-    groups = charsets or {encoding: as_list(path)}
+    groups = {
+        # line by line, Spark reads no wide charset
+        c: [transcode_lines(spark, paths, c)] if is_wide(c) else paths
+        for c, paths in (charsets or {encoding: as_list(path)}).items()
+    }
     readers = {c: _reader(spark, c, recursive) for c in groups}
     if schema is None:
         if sampling_ratio is not None:
@@ -70,7 +74,8 @@ def read_json_lines(
         merged = found[0] if len(found) == 1 else _merged(found)
         charset, paths = next(iter(groups.items()))
         # key order only: reading bytes as UTF-8 would garble other charsets
-        lines = readers[charset].text(paths) if charset in (None, "UTF-8") else None
+        utf8 = charset in (None, "UTF-8") or is_wide(charset)
+        lines = readers[charset].text(paths) if utf8 else None
         seen = _first_seen(lines) if lines is not None else []
         names = [n for n in seen if n in merged.names]
         names += [n for n in merged.names if n not in names]

@@ -52,11 +52,12 @@ def test_json_lines(spark, tmp_path):
 
 def test_json_lines_in_utf16(spark, tmp_path):
     path = tmp_path / "x.jsonl"
-    path.write_bytes('{"a": "Ηράκλειο"}\n{"a": "仙台市"}\n'.encode("utf-16"))
+    path.write_bytes('{"z": 1, "a": "Ηρά \\"x\\", ειο"}\n\n{"z": 2, "a": "仙台市"}\n'.encode("utf-16"))
     groups = paths_by_charset(charset_census(spark, str(path)))
     assert list(groups) == ["UTF-16"]
     df = read_table(spark, str(path), charsets=groups)
-    assert [r["a"] for r in df.collect()] == ["Ηράκλειο", "仙台市"]
+    assert df.columns == ["z", "a"]
+    assert [tuple(r) for r in df.collect()] == [(1, 'Ηρά "x", ειο'), (2, "仙台市")]
 
 
 @pytest.fixture
