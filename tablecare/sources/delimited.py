@@ -88,7 +88,11 @@ def _header(reader: DataFrameReader, path: Paths) -> Header:
 
 
 def _needs_multiline(
-    spark: SparkSession, path: Paths, encoding: str | None, recursive: bool
+    spark: SparkSession,
+    paths: list[str],
+    files: DataFrame,
+    encoding: str | None,
+    recursive: bool,
 ) -> bool:
     """Whether records may span lines.
 
@@ -96,15 +100,10 @@ def _needs_multiline(
     files fit one split. Only larger files are searched for a line with an odd
     number of quotes; without any, each line is a record and files may be split.
     """
-    largest = list_files(spark, path, recursive).agg(F.max("length")).first()[0] or 0
-    if largest <= split_bytes(spark):
-        return True
-    if is_wide(encoding):
+    largest = files.agg(F.max("length")).first()[0] or 0
+    if largest <= split_bytes(spark) or is_wide(encoding):
         return True
-    reader = spark.read
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    lines = reader.text(as_list(path))
+    lines = spark.read.option("recursiveFileLookup", str(recursive)).text(paths)
     quotes = F.length("value") - F.length(
         F.replace(F.col("value"), F.lit('"'), F.lit(""))
     )
@@ -192,14 +191,16 @@ def read_delimited(
     groups = charsets or {encoding: as_list(path)}
     for charset in groups:
         allow_charset(spark, charset)
-    everything = [p for paths in groups.values() for p in paths]
     lead_charset, lead_paths = next(iter(groups.items()))
-    spanning = {
-        charset: _needs_multiline(spark, paths, charset, recursive)
-        if multiline is None
-        else multiline
-        for charset, paths in groups.items()
-    }
+    spanning = dict.fromkeys(groups, multiline)
+    if multiline is None or types == "infer":
+        # listed once, for all that is asked about the files
+        files = {c: list_files(spark, p, recursive) for c, p in groups.items()}
+    if multiline is None:
+        spanning = {
+            c: _needs_multiline(spark, paths, files[c], c, recursive)
+            for c, paths in groups.items()
+        }
     header = _header(
         _reader(spark, separator, spanning[lead_charset], lead_charset, recursive),
         lead_paths,
@@ -217,11 +218,10 @@ def read_delimited(
         return rows
     if isinstance(types, dict):
         return apply_types(fail_on_late(rows, types), types)
-    files = list_files(spark, lead_paths if charsets else everything, recursive)
     inferred = infer_types(
         _window(
             spark,
-            files,
+            files[lead_charset],
             lambda paths: rows_of(lead_charset, paths, False, True),
             not spanning[lead_charset],
             typing_rows,

@@ -3,7 +3,7 @@
 import pytest
 from datetime import datetime
 
-from tablecare import StepError, read_table, run_recipe
+from tablecare import StepError, read_table, run_recipe, write_table
 from tablecare.__main__ import main
 
 TIDY = (
@@ -41,6 +41,19 @@ def test_other_format_keeps_real_types(spark, staff, tmp_path):
     assert not (tmp_path / "staff-normalized.csv").exists()
 
 
+@pytest.mark.parametrize("suffix", ["csv", "tsv", "jsonl", "parquet", "xlsx"])
+def test_every_format_in_and_out(spark, staff, tmp_path, suffix):
+    source = str(tmp_path / f"in.{suffix}")
+    write_table(read_table(spark, str(staff)), source)
+    recipe = TIDY + 'dedup_rows(columns=["Unit"], keep="last")\n'
+    report = run_recipe(spark, recipe, source)
+    assert report.destination == str(tmp_path / f"in-normalized.{suffix}")
+    back = read_table(spark, report.destination).orderBy("id").collect()
+    assert [r["Unit"] for r in back] == ["Field Crew", "Desk"]
+    with pytest.raises(ValueError, match="destination"):
+        run_recipe(spark, recipe, str(tmp_path / f"*.{suffix}"))
+
+
 @pytest.mark.parametrize(
     "recipe,problem",
     [

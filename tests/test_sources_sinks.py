@@ -4,12 +4,12 @@ import json
 from datetime import date, datetime
 
 import pytest
-from pyspark.sql import types as T
 
 from tablecare import detect_format, read_table, write_table
 from tablecare.functions.columns import ROW_ORDER, visible
 from tablecare.sinks.table import default_destination
 from tablecare.sources import delimited
+from tablecare.sources.files import list_files
 from tests.test_recipe import STAFF, STAFF_SCHEMA
 
 
@@ -169,8 +169,10 @@ def test_large_files_are_split_unless_quotes_span_lines(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
     try:
-        assert not delimited._needs_multiline(spark, plain, None, False)
-        assert delimited._needs_multiline(spark, spanning, None, False)
+        for path, needed in ((plain, False), (spanning, True)):
+            files = list_files(spark, path)
+            found = delimited._needs_multiline(spark, [path], files, None, False)
+            assert found is needed
         split = read_table(spark, plain, row_order=True)
         assert split.rdd.getNumPartitions() > 2 and split.count() == 5000
         assert read_table(spark, spanning).where("b = 'x\ny'").count() == 5000
