@@ -7,14 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from tablecare.functions.columns import col
+from tablecare.session import configured
 
 
+@configured
 def remove_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Drop the listed columns; they leave the scan as well."""
     gone = set(columns)
     return df.select(*[col(c) for c in df.columns if c not in gone])
 
 
+@configured
 def rename_single(df: DataFrame, column: str, new_name: str) -> DataFrame:
     """Rename one column where it stands."""
     return df.select(

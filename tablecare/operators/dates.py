@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 from tablecare.functions.columns import col, replace_columns
 from tablecare.functions.dates import with_datetime
+from tablecare.session import configured
 
 
+@configured
 def date_normalize(
     df: DataFrame, column: str, day_first: bool = False, formats: Sequence[str] = ()
 ) -> DataFrame:
@@ -17,6 +19,7 @@ def date_normalize(
     return with_datetime(df, column, day_first, formats)
 
 
+@configured
 def date_only(
     df: DataFrame, column: str, day_first: bool = False, formats: Sequence[str] = ()
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tablecare.functions.columns import ROW_ORDER, col, dtype_of, hidden, visible
+from tablecare.session import configured
 
 KEEP_CHOICES = ("first", "last")
 _RANK = "__rank__"
@@ -28,6 +29,7 @@ def _order_columns(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
     return [F.col(f"{ROW_ORDER}.{f}") for f in fields]
 
 
+@configured
 def dedup_rows(
     df: DataFrame,
     columns: Sequence[str] = (),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablecare.functions.columns import ROW_ORDER, col, hidden
 from tablecare.functions.text import as_text
+from tablecare.session import configured
 
 PREVIEW_ROWS = 250  # fixed size of a preview
 
@@ -24,6 +25,7 @@ def _identity(df: DataFrame, key: Sequence[str]) -> Column:
     )
 
 
+@configured
 def preview(
     df: DataFrame,
     key: Sequence[str] = (),

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tablecare.functions.columns import ROW_ORDER, col, dtype_of, hidden, visible
 from tablecare.functions.dates import with_datetime
+from tablecare.session import configured
 
 # Fixed values of the date-candidate rule.
 DATE_SAMPLE = 200
@@ -63,6 +64,7 @@ def _date_flag() -> Column:
     return (values >= DATE_MIN_VALUES) & (dates / values >= DATE_MIN_RATIO)
 
 
+@configured
 def profile(
     df: DataFrame, date_sample: int | None = None, order_by: Sequence[str] = ()
 ) -> DataFrame:

@@ -21,6 +21,7 @@ from tablecare.functions.text import (
     split_ready,
     trim_collapse as trim_collapse_text,
 )
+from tablecare.session import configured
 
 MAX_WIDTH = 1000
 _PIECES = "__pieces__"
@@ -30,11 +31,13 @@ def _text(df: DataFrame, column: str) -> Column:
     return as_text(col(column), dtype_of(df, column))
 
 
+@configured
 def trim_collapse(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Strip edges and collapse white space runs; listed columns become text."""
     return replace_columns(df, {c: trim_collapse_text(_text(df, c)) for c in columns})
 
 
+@configured
 def combine_columns(
     df: DataFrame, columns: Sequence[str], new_name: str, separator: str = " "
 ) -> DataFrame:
@@ -47,12 +50,14 @@ def piece_names(column: str, width: int) -> list[str]:
     return [f"{column}_{i}" for i in range(1, width + 1)]
 
 
+@configured
 def split_width(df: DataFrame, column: str, delimiter: str = "") -> int:
     """Pieces of the longest split, at least 1: one small aggregate job."""
     ready = split_ready(_text(df, column), delimiter)
     return df.agg(F.max(piece_count(ready, delimiter))).first()[0] or 1
 
 
+@configured
 def split_column(
     df: DataFrame,
     column: str,

@@ -21,7 +21,7 @@ from tablecare.plans.operations import (
     check_steps,
 )
 from tablecare.plans.recipe import Step, parse_recipe, recipe_hash
-from tablecare.session import configure
+from tablecare.session import configure, configured
 from tablecare.sinks.table import default_destination, write_table
 from tablecare.sources.files import Paths, as_list
 from tablecare.sources.formats import SEPARATORS, detect_format
@@ -75,6 +75,7 @@ class Cleaned:
     steps: tuple[Step, ...]
 
 
+@configured
 def apply_recipe(
     df: DataFrame, recipe: str | Sequence[Step], upto: int | None = None
 ) -> Cleaned:
@@ -83,7 +84,6 @@ def apply_recipe(
     The whole recipe is checked against the schema before any job. The returned
     steps carry the widths found, so that a replay scans nothing again.
     """
-    configure(df.sparkSession)
     steps = as_steps(recipe)
     check_steps(Shape.of(df), steps)
     folded, done = _fold(df, steps[:upto])

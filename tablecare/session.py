@@ -6,10 +6,13 @@ are applied at run time with ``configure`` rather than at session creation.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 REQUIRED_SETTINGS = {
     # datetimes without a zone are read as UTC
@@ -32,6 +35,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def configured(operator: Callable[..., Any]) -> Callable[..., Any]:
+    """Decorator: ``configure`` the session of the table an operator is given."""
+
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args: Any, **kwargs: Any) -> Any:
+        configure(df.sparkSession)
+        return operator(df, *args, **kwargs)
+
+    return run
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tablecare.functions.columns import col, visible
 from tablecare.functions.text import as_text, iso_seconds
+from tablecare.session import configured
 from tablecare.sinks.publish import publish
 from tablecare.sources.charset import allow_charset
 from tablecare.sources.formats import SEPARATORS, check_format, detect_format
@@ -48,6 +49,7 @@ def _plain_fractions(df: DataFrame) -> DataFrame:
     )
 
 
+@configured
 def write_table(
     df: DataFrame,
     path: str,

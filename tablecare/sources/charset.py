@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecare.functions.columns import ROW_ORDER
-from tablecare.session import scratch_path
+from tablecare.session import configure, scratch_path
 from tablecare.sources.files import Paths, as_list, literal_path, text_order
 
 # Charsets Spark reads without further permission (fixed values).
@@ -109,13 +109,15 @@ def charset_census(
     overrides: Mapping[str, str] | None = None,
     recursive: bool = False,
 ) -> DataFrame:
-    """One row per non-empty file: ``path, utf8, possible, charset, ambiguous``.
+    """One row per non-empty file: ``path, utf8, possible, charset, ambiguous,
+    undecodable``.
 
     ``possible`` lists the candidates that decode every line strictly, in the
     caller's order; the first one becomes ``charset``. ``overrides`` maps a path
     pattern (``%`` for anything) to its known charset. A file nothing decodes
-    has charset ``UTF-8``, read with replacement characters.
+    is ``undecodable`` and gets ``UTF-8``, read with replacement characters.
     """
+    configure(spark)
     reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
@@ -161,12 +163,15 @@ def charset_census(
         files.withColumn(
             "possible", F.when(F.col("utf8") | utf16, none).otherwise(possible)
         )
-        .withColumn(
-            "charset",
-            known.otherwise(F.coalesce(F.get("possible", F.lit(0)), F.lit("UTF-8"))),
+        .withColumn("found", known.otherwise(F.get("possible", F.lit(0))))
+        .select(
+            "path",
+            "utf8",
+            "possible",
+            F.coalesce("found", F.lit("UTF-8")).alias("charset"),
+            (F.size("possible") > 1).alias("ambiguous"),
+            F.col("found").isNull().alias("undecodable"),
         )
-        .withColumn("ambiguous", F.size("possible") > 1)
-        .select("path", "utf8", "possible", "charset", "ambiguous")
     )
 
 

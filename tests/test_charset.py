@@ -84,6 +84,7 @@ def test_census(spark, mixed):
     assert found["malta%201.csv"]["charset"] == "ISO-8859-3"
     # any bytes decode as windows-1256, so this file is ambiguous, and says so
     assert found["malta%201.csv"]["ambiguous"]
+    assert not any(r["undecodable"] for r in found.values())
     assert "windows-1256" in found["tunis+2.csv"]["possible"]
 
 
@@ -109,6 +110,7 @@ def test_undecodable_bytes_are_replaced(spark, tmp_path):
     census = charset_census(spark, str(tmp_path), ["US-ASCII", "Shift_JIS"])
     row = census.first()
     assert (row["utf8"], row["possible"], row["charset"]) == (False, [], "UTF-8")
+    assert row["undecodable"]
     df = read_table(spark, str(tmp_path), "csv", charsets=paths_by_charset(census))
     assert df.first()["b"].startswith("x�")
 
