@@ -72,11 +72,21 @@ class Header:
     exact: bool
 
 
-def _header(reader: DataFrameReader, path: Paths) -> Header:
-    """Names from the first record; empty and repeated ones get names of their own."""
-    record = reader.csv(as_list(path)).first()
+def _header(
+    spark: SparkSession, files: DataFrame, separator: str, encoding: str | None
+) -> Header:
+    """Names from the first file; empty and repeated ones get names of their own."""
+    file = files.where("length > 0").orderBy("path").first()
+    if file is None:
+        raise ValueError("no header line found: there is no file with content")
+    path = literal_path(file["path"])
+    # Spark learns the number of columns itself here, for which it takes a path
+    # as a pattern when records may span lines: only if the header really does
+    line = spark.read.text(path).first()[0]
+    spans = is_wide(encoding) or line.count('"') % 2 == 1
+    record = _reader(spark, separator, spans, encoding, False).csv(path).first()
     if record is None:
-        raise ValueError(f"no header line found in {path}")
+        raise ValueError(f"no header line found in {file['path']}")
     names: list[str] = []
     for i, cell in enumerate(record, start=1):
         name = base = cell or f"unnamed_{i}"
@@ -191,20 +201,16 @@ def read_delimited(
     groups = charsets or {encoding: as_list(path)}
     for charset in groups:
         allow_charset(spark, charset)
-    lead_charset, lead_paths = next(iter(groups.items()))
+    lead_charset = next(iter(groups))
+    # listed once, for all that is asked about the files
+    files = {c: list_files(spark, p, recursive) for c, p in groups.items()}
     spanning = dict.fromkeys(groups, multiline)
-    if multiline is None or types == "infer":
-        # listed once, for all that is asked about the files
-        files = {c: list_files(spark, p, recursive) for c, p in groups.items()}
     if multiline is None:
         spanning = {
             c: _needs_multiline(spark, paths, files[c], c, recursive)
             for c, paths in groups.items()
         }
-    header = _header(
-        _reader(spark, separator, spanning[lead_charset], lead_charset, recursive),
-        lead_paths,
-    )
+    header = _header(spark, files[lead_charset], separator, lead_charset)
 
     def rows_of(charset, paths, deep, order):
         reader = _reader(spark, separator, spanning[charset], charset, deep)

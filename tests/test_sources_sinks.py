@@ -132,7 +132,7 @@ def test_text_past_the_window_makes_all_columns_text(spark, tmp_path):
 
 def test_window_spans_leading_files(spark, tmp_path):
     csv(tmp_path, "id,x\n1,1\n", "a.csv")
-    csv(tmp_path, "id,x\nz,2.5\n", "b +1%20.csv")
+    csv(tmp_path, "id,x\nz,2.5\n", "b [1] +1%20.csv")
     df = read_table(spark, str(tmp_path), "csv", late="fail")
     assert kinds(df) == {"id": "string", "x": "double"}
     assert sorted(tuples(df)) == [("1", 1.0), ("z", 2.5)]
