@@ -168,11 +168,12 @@ def with_datetime(
     column: str,
     day_first: bool = False,
     formats: Sequence[str] = (),
+    trimmed: bool = False,
 ) -> DataFrame:
     """Replace a column of any type by its UTC datetime, cut to milliseconds.
 
     ``formats`` are extra Spark datetime patterns, tried after the shapes above.
-    The session time zone must be UTC (see ``session.configure``).
+    ``trimmed`` says that ``trim_collapse`` has been applied already. The session time zone must be UTC (see ``session.configure``).
 
     The text passes through several projections. Each uses the one before more
     than once, so Spark keeps them apart and computes each once per row; written
@@ -184,11 +185,12 @@ def with_datetime(
             df, {column: _milliseconds(col(column).cast("timestamp"))}
         )
     c = col(column)
+    text = as_text(c, dtype)
     if formats:
-        df = df.withColumn(_TEXT, trim_collapse(as_text(c, dtype)))
+        df = df.withColumn(_TEXT, text if trimmed else trim_collapse(text))
     others = [F.try_to_timestamp(F.col(_TEXT), F.lit(f)) for f in formats]
     for layer in (
-        trim_collapse(_brief(as_text(c, dtype))),
+        text if trimmed else trim_collapse(_brief(text)),
         _spread(c, day_first),
         _canonical(c),
         _milliseconds(F.coalesce(_cast(c), *others)),

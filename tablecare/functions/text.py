@@ -60,11 +60,11 @@ def is_blank_delimiter(delimiter: str) -> bool:
     return delimiter.strip() == ""
 
 
-def split_ready(text: Column, delimiter: str) -> Column:
+def split_ready(text: Column, delimiter: str, trimmed: bool = False) -> Column:
     """Text prepared for splitting: edges always go; blank mode collapses."""
     if is_blank_delimiter(delimiter):
-        return F.nullif(trim_collapse(text), F.lit(""))
-    return strip_edges(text)
+        return F.nullif(text if trimmed else trim_collapse(text), F.lit(""))
+    return text if trimmed else strip_edges(text)
 
 
 def literal_pattern(delimiter: str) -> str:

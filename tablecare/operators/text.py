@@ -51,9 +51,11 @@ def piece_names(column: str, width: int) -> list[str]:
 
 
 @configured
-def split_width(df: DataFrame, column: str, delimiter: str = "") -> int:
+def split_width(
+    df: DataFrame, column: str, delimiter: str = "", trimmed: bool = False
+) -> int:
     """Pieces of the longest split, at least 1: one small aggregate job."""
-    ready = split_ready(_text(df, column), delimiter)
+    ready = split_ready(_text(df, column), delimiter, trimmed)
     return df.agg(F.max(piece_count(ready, delimiter))).first()[0] or 1
 
 
@@ -64,16 +66,18 @@ def split_column(
     delimiter: str = "",
     width: int | None = None,
     max_width: int = MAX_WIDTH,
+    trimmed: bool = False,
 ) -> DataFrame:
     """Replace ``column`` by pieces ``{column}_1..k`` at the end of the table.
 
     A blank delimiter splits on white space runs, any other on exactly these
     characters. Without ``width`` the data is scanned once for the longest
     split. With ``width``, a longer split fails the job instead of losing text.
+    ``trimmed`` says that ``trim_collapse`` has been applied to the column already.
     """
     given = width is not None
     if width is None:
-        width = split_width(df, column, delimiter)
+        width = split_width(df, column, delimiter, trimmed)
     if width > max_width:
         raise ValueError(
             f"splitting {column!r} needs {width} columns, more than max_width={max_width}"
@@ -83,7 +87,7 @@ def split_column(
     clash = sorted(set(names) & set(keep))
     if clash:
         raise ValueError(f"split pieces already exist as columns: {clash}")
-    parts = pieces(split_ready(_text(df, column), delimiter), delimiter)
+    parts = pieces(split_ready(_text(df, column), delimiter, trimmed), delimiter)
     if given:
         too_long = F.raise_error(
             F.concat(

@@ -6,13 +6,15 @@ import datetime
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from typing import Any
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tablecare.functions.columns import ROW_ORDER, col, visible
-from tablecare.operators.text import split_width
+from tablecare.functions.text import is_blank_delimiter
+from tablecare.operators.text import piece_names, split_width
 from tablecare.plans.operations import (
     OPERATIONS,
     Shape,
@@ -42,27 +44,61 @@ def as_steps(recipe: str | Sequence[Step]) -> tuple[Step, ...]:
     return tuple(steps)
 
 
+def _trimmed_after(step: Step, params: dict[str, Any], trimmed: set[str]) -> set[str]:
+    """Columns known to be trimmed and collapsed once a step has been applied."""
+    if step.key == "trim_collapse":
+        return trimmed | set(params["columns"])
+    if step.key == "remove_columns":
+        return trimmed - set(params["columns"])
+    if step.key == "combine_columns" or step.key == "dedup_rows":
+        return trimmed
+    column = params["column"]
+    if step.key == "rename_single":
+        moved = {params["new_name"]} if column in trimmed else set()
+        return trimmed - {column} | moved
+    if step.key == "split_column" and is_blank_delimiter(params["delimiter"]):
+        return trimmed - {column} | set(piece_names(column, params["width"]))
+    return trimmed - {column}
+
+
+def _without_repeats(
+    step: Step, params: dict[str, Any], trimmed: set[str]
+) -> dict[str, Any]:
+    """Arguments that spare an operator the cleaning an earlier step has done."""
+    if step.key == "trim_collapse":
+        return {"columns": [c for c in params["columns"] if c not in trimmed]}
+    if step.key in ("date_normalize", "date_only", "split_column"):
+        return {**params, "trimmed": params["column"] in trimmed}
+    return params
+
+
 def _fold(df: DataFrame, steps: Sequence[Step]) -> tuple[DataFrame, tuple[Step, ...]]:
     """Apply accepted steps; each split without a width is measured once."""
     done = []
+    trimmed: set[str] = set()
     for number, step in enumerate(steps, start=1):
         params = check_step(Shape.of(df), step, number, len(steps))
+        if step.key == "dedup_rows" and df.isStreaming:
+            raise StepError(f"step {number}: deduplicate streams with streaming.tables")
         if step.key == "split_column" and params["width"] is None:
             if df.isStreaming:
                 raise StepError(f"step {number}: a split on a stream needs a width")
-            params["width"] = split_width(df, params["column"], params["delimiter"])
+            column = params["column"]
+            params["width"] = split_width(
+                df, column, params["delimiter"], column in trimmed
+            )
             step = replace(step, params={**step.params, "width": params["width"]})
             # now that the pieces have names, they may clash with others
             check_step(Shape.of(df), step, number, len(steps))
-        if step.key == "dedup_rows" and df.isStreaming:
-            raise StepError(f"step {number}: deduplicate streams with streaming.dedup")
         try:
-            df = OPERATIONS[step.key].apply(df, **params)
+            spared = _without_repeats(step, params, trimmed)
+            df = OPERATIONS[step.key].apply(df, **spared)
         except ValueError as problem:
             title = OPERATIONS[step.key].title
             raise StepError(
                 f"step {number} of {len(steps)} ({title}) failed: {problem}"
             ) from problem
+        trimmed = _trimmed_after(step, params, trimmed)
         done.append(step)
     return df, tuple(done)
 

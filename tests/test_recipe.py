@@ -1,7 +1,7 @@
 """Recipe text, schema checks and folding."""
 
 import pytest
-from datetime import datetime
+from datetime import date, datetime
 
 from tablecare import (
     Step,
@@ -234,3 +234,31 @@ def test_empty_recipe_and_defaults(staff, table):
 def test_unknown_extra_parameters_are_ignored(staff):
     out = clean(staff, 'trim_collapse(columns=["Unit"], colour="red")')
     assert out.first()["Unit"] == "Field Crew"
+
+
+def test_cleaning_is_not_repeated(table):
+    df = table("a string, d string", (" x   y ", "Mar  1, 2019 "), (None, " "))
+    recipe = """
+        trim_collapse(columns=["a", "d"])
+        trim_collapse(columns=["a"])
+        rename_single(column="a", new_name="b")
+        split_column(column="b")
+        trim_collapse(columns=["b_1", "b_2"])
+        date_only(column="d")
+    """
+    out = apply_recipe(df, recipe).df
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("(?U)\\s+") == 2  # once per column
+    assert [tuple(r) for r in out.collect()] == [
+        (date(2019, 3, 1), "x", "y"),
+        (None, None, None),
+    ]
+    # what a later step makes of a column is cleaned again
+    recipe = """
+        trim_collapse(columns=["a"])
+        combine_columns(columns=["a", "d"], new_name="c", separator="  ")
+        remove_columns(columns=["a"])
+        rename_single(column="c", new_name="a")
+        trim_collapse(columns=["a"])
+    """
+    assert [r["a"] for r in clean(df, recipe).collect()] == ["x y Mar 1, 2019", ""]
