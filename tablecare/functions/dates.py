@@ -173,7 +173,8 @@ def with_datetime(
     """Replace a column of any type by its UTC datetime, cut to milliseconds.
 
     ``formats`` are extra Spark datetime patterns, tried after the shapes above.
-    ``trimmed`` says that ``trim_collapse`` has been applied already. The session time zone must be UTC (see ``session.configure``).
+    ``trimmed`` says that ``trim_collapse`` has been applied already. The session
+    time zone must be UTC (see ``session.configure``).
 
     The text passes through several projections. Each uses the one before more
     than once, so Spark keeps them apart and computes each once per row; written
