@@ -21,6 +21,18 @@ from tablecare.sources.workbook import read_workbooks
 from tablecare.streaming.latest import keep_last, read_last
 from tablecare.streaming.tables import dedup_first, read_stream, write_stream
 
+try:
+    import corpus_pipeline
+    from tablecare.llm import queries as llm
+except ImportError:
+    # the training-data subpackage is optional
+    _LLM_QUERIES, _LLM_ORACLES = {}, {}
+else:
+    _LLM_QUERIES = llm.queries() | {"pipeline": corpus_pipeline.run}
+    _LLM_ORACLES = llm.oracle_sql()
+    if corpus_pipeline.ORACLE_SQL:
+        _LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 FLAGSHIP_RECIPE = """
@@ -443,7 +455,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in _QUERIES}
+    return {query.__name__: query for query in _QUERIES} | _LLM_QUERIES
 
 
 # --- the same results in DuckDB -------------------------------------------------
@@ -492,7 +504,7 @@ def _dedup(order: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     maltese = f"translate(c_name, '{_TO_MALTESE[0]}', '{_TO_MALTESE[1]}')"
-    return {
+    return _LLM_ORACLES | {
         "q_date_normalize": f"select o_orderkey, {_CLEAN_DATE} as d from orders",
         "q_date_only": f"select o_orderkey, cast({_CLEAN_DATE} as date) as d from orders",
         "q_date_day_first": "select o_orderkey, cast(o_orderdate as date) as d from orders",

@@ -33,11 +33,14 @@ def _table(columns, rows):
     return sorted((tuple(_plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+OWN = [name for name in registered.queries() if name.startswith("q_")]
+
+
 def test_every_query_has_an_oracle():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(OWN) <= set(registered.oracle_sql()) <= set(registered.queries())
 
 
-@pytest.mark.parametrize("name", list(registered.queries()))
+@pytest.mark.parametrize("name", OWN)
 def test_query(spark, duck, sf_dir, name):
     df = registered.queries()[name](spark, sf_dir)
     oracle = duck.execute(registered.oracle_sql()[name])
