@@ -40,7 +40,7 @@ class ProductCode:
         for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
             book = random.standard_normal((words, b - a))
             self.words.append(book / np.linalg.norm(book, axis=1, keepdims=True))
-        self.threshold = 0.0
+        self.threshold, self.least = 0.0, 1
 
     def _scores(self, rows: np.ndarray) -> list[np.ndarray]:
         turned = rows @ self.turn
@@ -49,26 +49,35 @@ class ProductCode:
             for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.words, strict=True)
         ]
 
+    def _best(self, scores: list[np.ndarray], filters: int) -> np.ndarray:
+        """The ``filters`` best sums of one row, in no order, all if there are fewer."""
+        total = np.zeros(1)
+        for own in scores:
+            # a sum among the best is of parts that are among the best of their blocks
+            top = own if len(own) <= filters else np.partition(own, -filters)[-filters:]
+            total = (total[:, None] + top[None, :]).ravel()
+            if len(total) > filters:
+                total = np.partition(total, -filters)[-filters:]
+        return total
+
     def calibrate(self, rows: np.ndarray, filters: float) -> None:
-        """Set the threshold at which ``rows`` are in ``filters`` filters on average."""
-        pooled = []
-        for number in range(len(rows)):
-            tops = [np.sort(s[0])[::-1][:64] for s in self._scores(rows[number : number + 1])]
-            total = tops[0]
-            for top in tops[1:]:
-                total = np.sort((total[:, None] + top[None, :]).ravel())[::-1][:4096]
-            pooled.append(total)
+        """Set the threshold at which ``rows`` are in ``filters`` filters on average, and
+        half of that as the number that every row is in at least."""
+        self.least = max(1, int(filters) // 2)
+        scores = self._scores(rows)
+        pooled = [self._best([s[n] for s in scores], 64 * int(filters)) for n in range(len(rows))]
         pooled = np.sort(np.concatenate(pooled))[::-1]
         self.threshold = float(pooled[min(len(pooled) - 1, int(filters * len(rows)))])
 
     def decode(self, rows: np.ndarray) -> list[np.ndarray]:
-        """The filters that hold each row: all that reach the threshold, else the best."""
+        """The filters that hold each row: all that reach the threshold. A row that is far
+        from all directions has a lower one of its own, which ``least`` filters reach."""
         scores = self._scores(rows)
         most = [s.max(1) for s in scores]
         found = []
         for number in range(len(rows)):
             rest = sum(m[number] for m in most)
-            bound = min(self.threshold, rest)
+            bound = min(self.threshold, self._best([s[number] for s in scores], self.least).min())
             total, code = np.zeros(1), np.zeros(1, np.int64)
             for score, top in zip(scores, most, strict=True):
                 own = score[number]
@@ -132,7 +141,7 @@ def _links(similarity: float):
 
 
 def embedding_components(
-    vectors: DataFrame, similarity: float = 0.95, filters: int = 32, spread: int = 64,
+    vectors: DataFrame, similarity: float = 0.95, filters: int = 80, spread: int = 4096,
     seed: int = 5,
 ) -> DataFrame:
     """One row per vector: ``vec_id``, ``n_links`` (other vectors found at a cosine of
