@@ -20,56 +20,77 @@ from collections.abc import Iterable
 _SPACE = r"[ \t\n\r\x0b\x0c]"
 #: letters after white space; else anything up to the next white space; else a tail
 _CUTS = re.compile(rf"{_SPACE}*[^\W\d_]+|{_SPACE}*[^ \t\n\r\x0b\x0c]+|{_SPACE}+")
-#: white space that regular-expression engines may see differently, the one letter
-#: that is two characters in lower case, and the start of special tokens
-_WHOLE = re.compile(
-    "[\x1c-\x1f\x85\xa0\u0130\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]|<\\|"
+#: white space that regular-expression engines may see differently, and the one letter
+#: that is two characters in lower case
+_RARE = re.compile(
+    "[\x1c-\x1f\x85\xa0\u0130\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
 )
 #: longer cuts are not remembered
 _LONGEST = 40
 
 
+#: characters of texts that are cut at a time
+_AT_ONCE = 1 << 20
+
+
 class CachedEncoder:
-    """``encode`` gives the ids of a text as little-endian unsigned 32-bit bytes.
+    """``encode`` gives the ids of texts as little-endian unsigned 32-bit bytes.
 
-    ``remembered`` bounds the number of cuts kept; beyond it the memory starts anew.
+    ``remembered`` bounds the number of cuts kept. They are kept in two halves: when
+    the younger one is full, the older one is forgotten and what is still in use
+    moves on, so that frequent cuts are never encoded anew.
     """
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._remembered = remembered
+        self._half = max(1, remembered // 2)
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _encode_all(self, texts: list[str]) -> list[bytes]:
         encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in encoded]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        return [self.encode_one(text or "") for text in texts]
-
-    def encode_one(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _WHOLE.search(text) or not unicodedata.is_normalized("NFC", text):
-            return self._encode_all([text])[0]
-        cuts = _CUTS.findall(text)
+        out: list[bytes] = []
+        part: list[str] = []
+        size = 0
+        for text in texts:
+            part.append(text or "")
+            size += len(part[-1])
+            if size >= _AT_ONCE:
+                out += self._encode_part(part)
+                part, size = [], 0
+        return out + self._encode_part(part)
+
+    def _encode_part(self, texts: list[str]) -> list[bytes]:
+        cut = [
+            None
+            if "<|" in text or _RARE.search(text) or not unicodedata.is_normalized("NFC", text)
+            else _CUTS.findall(text)
+            for text in texts
+        ]
+        used = set().union(*(cuts for cuts in cut if cuts))
+        missing = used.difference(self._known)
         known = self._known
-        try:
-            return b"".join(map(known.__getitem__, cuts))
-        except KeyError:
-            pass
-        missing = list({c for c in cuts if c not in known})
-        fresh = dict(zip(missing, self._encode_all(missing), strict=True))
-        if len(known) + len(fresh) > self._remembered:
-            known.clear()
-        known.update((c, ids) for c, ids in fresh.items() if len(c) <= _LONGEST)
-        # what was forgotten or is too long to be kept
-        for cut in {c for c in cuts if c not in known and c not in fresh}:
-            fresh[cut] = self._encode_all([cut])[0]
-        return b"".join(fresh[c] if c in fresh else known[c] for c in cuts)
+        if missing:
+            older = self._older
+            moved = {c: older[c] for c in missing if c in older}
+            fresh = list(missing.difference(moved))
+            known |= moved
+            known |= zip(fresh, self._encode_all(fresh), strict=True)
+        out = [
+            self._encode_all([text])[0] if cuts is None else b"".join(map(known.__getitem__, cuts))
+            for text, cuts in zip(texts, cut, strict=True)
+        ]
+        for long in [c for c in missing if len(c) > _LONGEST]:
+            del known[long]
+        if len(known) > self._half:
+            self._known, self._older = {}, known
+        return out
 
 
 @functools.lru_cache(maxsize=4)

@@ -73,10 +73,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> No
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, end, place = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 0
+        counts, part = np.zeros(0, np.int64), -1
         for batch in batches:
             for at in range(0, len(batch), 512):
                 rows = batch.iloc[at : at + 512]
-                ids = [known.encode_one(text) + end for text in rows["text"]]
+                ids = [i + end for i in known.encode(rows["text"])]
                 yield pd.DataFrame(
                     {
                         "part": rows["part"],
@@ -87,6 +88,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> No
                     }
                 )
                 place += len(rows)
+                here = np.bincount(np.frombuffer(b"".join(ids), "<u4"))
+                if len(here) > len(counts):
+                    counts, here = here, counts
+                counts[: len(here)] += here
+                part = rows["part"].iloc[0]
+        # the counts of the range follow its documents
+        tally = counts.astype("<i8").tobytes()
+        yield pd.DataFrame({"part": [part], "place": [-1], "doc_id": [None], "ids": [tally], "wide": [True]})
 
     typed = texts.withColumn("doc_id", F.col("doc_id").cast("string"))
     encoded = scratch.keep(
@@ -94,19 +103,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> No
     )
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, wide in zip(batch["ids"], batch["wide"], strict=True):
-                here = np.bincount(_values(ids, wide))
-                if len(here) > len(counts):
-                    here[: len(counts)] += counts
-                    counts = here
-                else:
-                    counts[: len(here)] += here
-        used = np.flatnonzero(counts)
-        yield pd.DataFrame({"id": used, "count": counts[used]})
-
-    counts = encoded.select("ids", "wide").mapInPandas(tally, "id long, count long")
+            for held in batch["ids"]:
+                counts = np.frombuffer(held, "<i8")
+                used = np.flatnonzero(counts)
+                yield pd.DataFrame({"id": used, "count": counts[used]})
+
+    tallies = encoded.where("place < 0").select("ids")
+    encoded = encoded.where("place >= 0")
+    counts = tallies.mapInPandas(tally, "id long, count long")
     counts = counts.groupBy("id").agg(F.sum("count").alias("count")).toPandas()
     counts = counts.sort_values(["count", "id"], ascending=[False, True])
     by_rank = counts["id"].to_numpy(np.int64)

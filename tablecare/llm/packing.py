@@ -212,8 +212,10 @@ def document_pieces(
         for batch in batches:
             for at in range(0, len(batch), 512):
                 out = []
-                for row in batch.iloc[at : at + 512].itertuples(index=False):
-                    ids = known.encode_one(row.text) + end
+                rows = batch.iloc[at : at + 512]
+                encoded = known.encode(rows["text"])
+                for row, ids in zip(rows.itertuples(index=False), encoded, strict=True):
+                    ids += end
                     for piece, start in enumerate(range(0, len(ids), step)):
                         part = ids[start : start + step]
                         out.append((row.row, row.doc_id, piece, start // 4, len(part) // 4, part, zlib.crc32(part)))
