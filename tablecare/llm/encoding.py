@@ -27,8 +27,6 @@ _RARE = re.compile(
 )
 #: longer cuts are not remembered
 _LONGEST = 40
-
-
 #: characters of texts that are cut at a time
 _AT_ONCE = 1 << 20
 
@@ -41,7 +39,7 @@ class CachedEncoder:
     moves on, so that frequent cuts are never encoded anew.
     """
 
-    def __init__(self, path: str, remembered: int = 700_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -78,17 +78,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> No
             for at in range(0, len(batch), 512):
                 rows = batch.iloc[at : at + 512]
                 ids = [i + end for i in known.encode(rows["text"])]
+                values = np.frombuffer(b"".join(ids), "<u4")
                 yield pd.DataFrame(
                     {
                         "part": rows["part"],
                         "place": np.arange(place, place + len(rows)),
                         "doc_id": rows["doc_id"],
-                        "ids": [np.frombuffer(i, "<u4").astype("<u2").tobytes() if _narrow(i) else i for i in ids],
-                        "wide": [not _narrow(i) for i in ids],
+                        "ids": _narrowed(ids, values),
+                        "wide": bool(values.max() > 0xFFFF),
                     }
                 )
                 place += len(rows)
-                here = np.bincount(np.frombuffer(b"".join(ids), "<u4"))
+                here = np.bincount(values)
                 if len(here) > len(counts):
                     counts, here = here, counts
                 counts[: len(here)] += here
@@ -142,8 +143,13 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> No
     scratch.drop()
 
 
-def _narrow(ids: bytes) -> bool:
-    return int(np.frombuffer(ids, "<u4").max()) <= 0xFFFF
+def _narrowed(ids: list[bytes], values: np.ndarray) -> list[bytes]:
+    """The ids of each document in two bytes, if all fit."""
+    if values.max() > 0xFFFF:
+        return ids
+    ends = (np.cumsum([len(i) for i in ids]) // 2).tolist()
+    held = values.astype("<u2").tobytes()
+    return [held[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _values(ids: bytes, wide: bool) -> np.ndarray:
@@ -164,9 +170,7 @@ def _block(held: list[tuple], rank_of: np.ndarray) -> pd.DataFrame:
     )
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """The documents of ``write_ids``: ``part`` and ``place``, which give their order,
-    ``doc_id`` and ``ids`` (little-endian unsigned 32-bit)."""
+def _documents(spark: SparkSession, path: str, digest: bool) -> DataFrame:
     by_rank = spark.read.parquet(f"{path}/ranks").orderBy("rank").toPandas()["id"].to_numpy(np.uint32)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,35 +178,37 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             for row in batch.itertuples(index=False):
                 sizes = np.asarray(row.sizes)
                 ids = by_rank[unpack_values(row.control, row.data, int(sizes.sum()))].astype("<u4")
-                ends = np.cumsum(sizes)
-                yield pd.DataFrame(
-                    {
-                        "part": np.full(len(sizes), row.part, np.int32),
-                        "place": row.place + np.arange(len(sizes)),
-                        "doc_id": row.doc_ids,
-                        "ids": [ids[a:b].tobytes() for a, b in zip(ends - sizes, ends, strict=True)],
-                    }
-                )
+                ends = 4 * np.cumsum(sizes)
+                held = memoryview(ids.tobytes())
+                spans = [held[b - 4 * n : b] for n, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
+                out = {
+                    "part": np.full(len(sizes), row.part, np.int32),
+                    "place": row.place + np.arange(len(sizes)),
+                    "doc_id": row.doc_ids,
+                }
+                if digest:
+                    out |= {"n_tokens": sizes, "ids_crc32": [zlib.crc32(span) for span in spans]}
+                else:
+                    out["ids"] = [bytes(span) for span in spans]
+                yield pd.DataFrame(out)
 
     schema = "place long, doc_ids array<string>, sizes array<long>, control binary, data binary, part int"
     rows = spark.read.schema(schema).parquet(f"{path}/blocks")
-    out = rows.mapInPandas(decode, "part int, place long, doc_id string, ids binary")
+    values = "n_tokens long, ids_crc32 long" if digest else "ids binary"
+    out = rows.mapInPandas(decode, f"part int, place long, doc_id string, {values}")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def id_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id``, ``start`` (ids of all documents before it), ``n_tokens`` and ``ids_crc32`` of
-    each document in the files."""
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of ``write_ids``: ``part`` and ``place``, which give their order,
+    ``doc_id`` and ``ids`` (little-endian unsigned 32-bit)."""
+    return _documents(spark, path, digest=False)
 
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(zlib.crc32).astype("int64")
 
-    rows = read_ids(spark, path).select(
-        "part", "place", "doc_id",
-        (F.length("ids") / 4).cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"),
-    )
-    rows = Scratch(spark, "id-digests").keep(rows)
+def id_digests(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id``, ``start`` (ids of all documents before it), ``n_tokens`` and ``ids_crc32`` of
+    each document, from the ids decoded from the files."""
+    rows = Scratch(spark, "id-digests").keep(_documents(spark, path, digest=True))
     # one row per range of doc_ids, then a running sum within each range
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("sum"))
     before = F.sum("sum").over(Window.orderBy("part")) - F.col("sum")
