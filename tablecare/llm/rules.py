@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tablecare.session import configure
 
 #: labelled rows that a model is fitted on at most, those with the smallest hash
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -119,7 +119,8 @@ def _shorter(path: tuple) -> tuple:
 def _lasso(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[float, np.ndarray]:
     """Logistic weights by accelerated proximal gradient steps."""
     n = len(y)
-    size = 4 * n / (np.linalg.norm(x, 2) ** 2 + n)
+    # the largest eigenvalue of the small square bounds the curvature
+    size = 4 * n / (float(np.linalg.eigvalsh(x.T @ x)[-1]) + n) if x.shape[1] else 4.0
     w, b, w_ahead, b_ahead, t = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0, 1.0
     for _ in range(steps):
         error = 1 / (1 + np.exp(-np.clip(x @ w_ahead + b_ahead, -30, 30))) - y
@@ -158,8 +159,8 @@ def fit_rules(
     def holds(rule: tuple) -> np.ndarray:
         return np.all([(bins[:, c] > at) if above else (bins[:, c] <= at) for c, above, at in rule], axis=0)
 
-    held = np.stack([holds(r) for r in rules], 1).astype(float) if rules else np.zeros((len(y), 0))
-    intercept, weights = _lasso(held, y.astype(float), penalty)
+    held = np.stack([holds(r) for r in rules], 1).astype(np.float32) if rules else np.zeros((len(y), 0))
+    intercept, weights = _lasso(held, y.astype(np.float32), penalty)
     kept = [
         (tuple((names[c], above, float(cuts[c][at])) for c, above, at in rule), float(w))
         for rule, w in zip(rules, weights, strict=True)
