@@ -57,7 +57,8 @@ class ProductCode:
             top = own if len(own) <= filters else np.partition(own, -filters)[-filters:]
             total = (total[:, None] + top[None, :]).ravel()
             if len(total) > filters:
-                total = np.partition(total, -filters)[-filters:]
+                # a copy, so that the many other sums are let go
+                total = np.partition(total, -filters)[-filters:].copy()
         return total
 
     def calibrate(self, rows: np.ndarray, filters: float) -> None:
