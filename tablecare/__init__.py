@@ -22,7 +22,7 @@ from tablecare.plans.recipe import (
 from tablecare.plans.run import Cleaned, RunReport, apply_recipe, clean, run_recipe
 from tablecare.session import configure
 from tablecare.sinks.table import write_table
-from tablecare.sources.formats import detect_format
+from tablecare.sources.formats import format_of
 from tablecare.sources.table import read_table
 
 # The few Python functions that run in tasks travel with them, so that executors
@@ -42,7 +42,7 @@ __all__ = [
     "date_normalize",
     "date_only",
     "dedup_rows",
-    "detect_format",
+    "format_of",
     "parse_recipe",
     "preview",
     "profile",

@@ -121,7 +121,7 @@ def _canonical(spread: Column) -> Column:
     position = F.instr(F.lit(_MONTH_LETTERS), F.lower(F.substring(spread, 6, 3)))
     # null, and so no date, unless the letters are those of one month
     number = F.when(position % 3 == 1, ((position + 2) / 3).cast("int").cast("string"))
-    swapped = F.concat(F.left(spread, F.lit(5)), number, F.substring(spread, 9, 64))
+    swapped = F.concat(F.left(spread, F.lit(5)), number, F.substr(spread, F.lit(9)))
     letter = F.substring(spread, 6, 1) >= "A"
     return F.when(letter, swapped).otherwise(spread)
 

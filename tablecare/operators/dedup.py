@@ -18,7 +18,10 @@ _RANK = "__rank__"
 
 def _order_columns(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
     if order_by:
-        return [col(c) for c in order_by]
+        # ties are broken by the other columns, so that the choice is repeatable
+        others = [c for c in visible(df) if c not in order_by]
+        comparable = [c for c in others if not _holds_map(dtype_of(df, c))]
+        return [col(c) for c in [*order_by, *comparable]]
     if not hidden(df):
         raise ValueError(
             "rows of a DataFrame have no order: pass order_by, ending in a unique "
@@ -29,6 +32,10 @@ def _order_columns(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
     return [F.col(f"{ROW_ORDER}.{f}") for f in fields]
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    return "map<" in kind.simpleString() or kind.simpleString() == "variant"
+
+
 @configured
 def dedup_rows(
     df: DataFrame,
@@ -39,7 +46,7 @@ def dedup_rows(
     """One row per key; no columns means the whole row is the key.
 
     Null keys are equal to each other. ``first`` and ``last`` follow ``order_by``
-    if given, else the source order the table was read with.
+    if given (ties: the other columns), else the source order the table was read with.
     """
     if keep not in KEEP_CHOICES:
         raise ValueError(f"keep must be one of {KEEP_CHOICES}, not {keep!r}")

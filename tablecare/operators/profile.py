@@ -14,7 +14,6 @@ from tablecare.functions.dates import with_datetime
 from tablecare.session import configured
 
 # Fixed values of the date-candidate rule.
-DATE_SAMPLE = 200
 DATE_MIN_VALUES = 3
 DATE_MIN_RATIO = 0.5
 

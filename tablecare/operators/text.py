@@ -73,7 +73,7 @@ def split_column(
     A blank delimiter splits on white space runs, any other on exactly these
     characters. Without ``width`` the data is scanned once for the longest
     split. With ``width``, a longer split fails the job instead of losing text.
-    ``trimmed`` says that ``trim_collapse`` has been applied to the column already.
+    ``max_width`` bounds the columns made. ``trimmed`` says that ``trim_collapse`` has been applied to the column already.
     """
     given = width is not None
     if width is None:

@@ -16,6 +16,7 @@ from tablecare.operators.columns import remove_columns, rename_single
 from tablecare.operators.dates import date_normalize, date_only
 from tablecare.operators.dedup import KEEP_CHOICES, dedup_rows
 from tablecare.operators.text import (
+    MAX_WIDTH,
     combine_columns,
     piece_names,
     split_column,
@@ -113,6 +114,9 @@ def _check_split(shape: Shape, p: dict[str, Any]) -> None:
     width = p["width"]
     if width is not None and (not isinstance(width, int) or width < 1):
         raise StepError("width must be a whole number of at least 1")
+    most = p["max_width"]
+    if not isinstance(most, int) or most < 1:
+        raise StepError("max_width must be a whole number of at least 1")
     del shape.types[column]
     if width is None:
         shape.open_splits.add(column)
@@ -218,6 +222,7 @@ OPERATIONS: dict[str, Operation] = {
             column=_REQUIRED,
             delimiter="",
             width=None,
+            max_width=MAX_WIDTH,
         ),
         _operation(
             "remove_columns",

@@ -26,7 +26,7 @@ from tablecare.plans.recipe import Step, parse_recipe, recipe_hash
 from tablecare.session import configure, configured
 from tablecare.sinks.table import default_destination, write_table
 from tablecare.sources.files import Paths, as_list
-from tablecare.sources.formats import SEPARATORS, detect_format
+from tablecare.sources.formats import SEPARATORS, format_of
 from tablecare.sources.table import read_table
 from tablecare.sources.typing import LATE_VALUE
 
@@ -212,13 +212,13 @@ def run_recipe(
     """
     configure(spark)
     steps = as_steps(recipe)
-    source_format = source_format or detect_format(as_list(source)[0])
+    source_format = source_format or format_of(as_list(source))
     if destination is None:
         if len(as_list(source)) > 1 or set("*?[{") & set(as_list(source)[0]):
             raise ValueError("several sources need a destination of their own")
         destination = default_destination(as_list(source)[0])
         destination_format = destination_format or source_format
-    destination_format = destination_format or detect_format(destination)
+    destination_format = destination_format or format_of(destination)
     options = dict(read_options)
     if source_format in SEPARATORS:
         options.setdefault("late", "fail")

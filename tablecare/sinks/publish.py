@@ -46,7 +46,15 @@ def publish(
         raise
     if folder is target:
         return
+    aside = None
     if exists:
-        file_system.delete(target, True)
+        # one of the two tables is always there under some name
+        aside = target.getParent().suffix(f"/_{target.getName()}.old-{uuid.uuid4().hex}")
+        if not file_system.rename(target, aside):
+            raise OSError(f"could not move {path} aside; the new table is {folder}")
     if not file_system.rename(folder, target):
+        if aside is not None:
+            file_system.rename(aside, target)
         raise OSError(f"could not move the finished table from {folder} to {path}")
+    if aside is not None:
+        file_system.delete(aside, True)

@@ -12,7 +12,7 @@ from tablecare.functions.text import as_text, iso_seconds
 from tablecare.session import configured
 from tablecare.sinks.publish import publish
 from tablecare.sources.charset import allow_charset
-from tablecare.sources.formats import SEPARATORS, check_format, detect_format
+from tablecare.sources.formats import SEPARATORS, check_format, format_of
 
 _DATETIMES = (T.TimestampType, T.TimestampNTZType)
 _FRACTIONS = (T.DoubleType, T.FloatType)
@@ -63,7 +63,7 @@ def write_table(
     Text formats carry datetimes as whole seconds, Parquet keeps real types.
     ``single_file`` funnels the result through one task: small results only.
     """
-    fmt = check_format(fmt) if fmt else detect_format(path)
+    fmt = check_format(fmt) if fmt else format_of(path)
     table = df.select(*[col(c) for c in visible(df)])
     if fmt == "xlsx":
         from tablecare.sinks.workbook import write_workbooks
@@ -80,23 +80,35 @@ def write_table(
     )
 
 
-def _writer(table: DataFrame, fmt: str, encoding: str | None) -> DataFrameWriter:
+def file_form(table: DataFrame, fmt: str) -> DataFrame:
+    """The values of a table as files of the format hold them."""
     if fmt == "parquet":
-        return table.write.format("parquet")
+        return table
     table = whole_seconds(table)
+    return _plain_fractions(table) if fmt in SEPARATORS else table
+
+
+def file_options(writer, fmt: str):
+    """Format and options of a batch or stream writer."""
+    if fmt == "parquet":
+        return writer.format("parquet")
     if fmt == "jsonl":
-        writer = table.write.format("json").option("ignoreNullFields", "false")
-    else:
-        writer = (
-            _plain_fractions(table)
-            .write.format("csv")
-            .option("header", "true")
-            .option("sep", SEPARATORS[fmt])
-            .option("escape", '"')
-            # the writer would trim edge spaces by default
-            .option("ignoreLeadingWhiteSpace", "false")
-            .option("ignoreTrailingWhiteSpace", "false")
-        )
+        return writer.format("json").option("ignoreNullFields", "false")
+    return (
+        writer.format("csv")
+        .option("header", "true")
+        .option("sep", SEPARATORS[fmt])
+        .option("escape", '"')
+        # the writer would trim edge spaces by default
+        .option("ignoreLeadingWhiteSpace", "false")
+        .option("ignoreTrailingWhiteSpace", "false")
+    )
+
+
+def _writer(table: DataFrame, fmt: str, encoding: str | None) -> DataFrameWriter:
+    writer = file_options(file_form(table, fmt).write, fmt)
+    if fmt == "parquet":
+        return writer
     if encoding:
         allow_charset(table.sparkSession, encoding)
         writer = writer.option("encoding", encoding)

@@ -138,7 +138,9 @@ def charset_census(
     )
     possible = F.array().cast("array<string>")
     if candidates:
-        tested = lines.where(~F.col("valid")).select(
+        # every line a charset could change the meaning of
+        ascii_only = F.decode("line", "ISO-8859-1").rlike(r"^[\x00-\x7f]*$")
+        tested = lines.where(~ascii_only).select(
             "path", _decodes(candidates)("line").alias("ok")
         )
         verdicts = tested.groupBy("path").agg(

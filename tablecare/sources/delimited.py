@@ -30,8 +30,6 @@ from tablecare.sources.typing import (
 
 _CORRUPT = "__corrupt__"
 # Leading small files that together form the typing window.
-_WINDOW_BYTES = 64 << 20
-_WINDOW_FILES = 1000
 
 LATE_CHOICES = ("scan", "fail")
 FALLBACK_CHOICES = ("file", "column")
@@ -134,6 +132,8 @@ def text_rows(
         reader.option("header", "true")
         # headers of all files must agree; never map columns by position alone
         .option("enforceSchema", str(not header.exact).lower())
+        # a row's surplus fields must be seen whichever columns are used
+        .option("columnPruning", "false")
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .schema(schema)
         .csv(path)
@@ -155,14 +155,16 @@ def _window(
     spark: SparkSession, files: DataFrame, rows_of, splittable: bool, limit: int
 ) -> DataFrame:
     """The leading rows in path order, read from the leading files only."""
-    leading = files.orderBy("path").limit(_WINDOW_FILES).collect()
-    chosen, size = [], 0
-    for file in leading:
-        if chosen and size + file["length"] > _WINDOW_BYTES:
+    there, wanted = files.count(), 1
+    while True:
+        leading = files.orderBy("path").limit(wanted).collect()
+        chosen = [literal_path(file["path"]) for file in leading]
+        size = sum(file["length"] for file in leading)
+        rows = rows_of(chosen)
+        # more files only while those so far do not fill the window
+        if len(chosen) >= there or rows.limit(limit).count() >= limit:
             break
-        chosen.append(literal_path(file["path"]))
-        size += file["length"]
-    rows = rows_of(chosen)
+        wanted *= 8
     if len(chosen) > 1:
         return rows.orderBy(ROW_ORDER).limit(limit).drop(ROW_ORDER)
     if not splittable or size <= split_bytes(spark):

@@ -12,8 +12,6 @@ from tablecare.functions.columns import ROW_ORDER
 from tablecare.sources.charset import allow_charset, is_wide, transcode_lines
 from tablecare.sources.files import Paths, as_list, text_order
 
-_KEY_LINES = 100
-
 
 def _reader(
     spark: SparkSession, encoding: str | None, recursive: bool
@@ -28,18 +26,23 @@ def _reader(
 
 
 def _first_seen(records: DataFrame) -> list[str]:
-    """Keys in the order the leading records show them."""
-    keys = records.select(F.json_object_keys("value")).take(_KEY_LINES)
-    return list(dict.fromkeys(k for row in keys for k in (row[0] or [])))
+    """All keys, in the order of the files and lines that show them first."""
+    keys = records.select(
+        text_order().alias("at"), F.posexplode(F.json_object_keys("value"))
+    )
+    first = F.min(F.struct("at", "pos")).alias("first")
+    found = keys.groupBy("col").agg(first).orderBy("first")
+    return [row["col"] for row in found.select("col").collect()]
 
 
 def _merged(schemas: list[T.StructType]) -> T.StructType:
-    """One schema for several file groups; where they differ, text."""
+    """One schema for several file groups: numbers widen, other differences are text."""
     types: dict[str, T.DataType] = {}
     for field in (f for schema in schemas for f in schema):
         known = types.setdefault(field.name, field.dataType)
         if known != field.dataType:
-            types[field.name] = T.StringType()
+            numbers = {type(known), type(field.dataType)} <= {T.LongType, T.DoubleType}
+            types[field.name] = T.DoubleType() if numbers else T.StringType()
     return T.StructType([T.StructField(n, t) for n, t in types.items()])
 
 
@@ -72,11 +75,9 @@ def read_json_lines(
                 reader.option("samplingRatio", str(sampling_ratio))
         found = [readers[c].json(paths).schema for c, paths in groups.items()]
         merged = found[0] if len(found) == 1 else _merged(found)
-        charset, paths = next(iter(groups.items()))
-        # key order only: reading bytes as UTF-8 would garble other charsets
-        utf8 = charset in (None, "UTF-8") or is_wide(charset)
-        lines = readers[charset].text(paths) if utf8 else None
-        seen = _first_seen(lines) if lines is not None else []
+        # order only: names that a charset other than UTF-8 garbles come last
+        lines = [readers[c].text(paths) for c, paths in groups.items()]
+        seen = list(dict.fromkeys(k for group in lines for k in _first_seen(group)))
         names = [n for n in seen if n in merged.names]
         names += [n for n in merged.names if n not in names]
         schema = T.StructType([merged[n] for n in names])

@@ -8,7 +8,7 @@ from tablecare.functions.columns import ROW_ORDER
 from tablecare.session import configure
 from tablecare.sources.delimited import read_delimited
 from tablecare.sources.files import Paths, as_list, parquet_order
-from tablecare.sources.formats import SEPARATORS, check_format, detect_format
+from tablecare.sources.formats import SEPARATORS, check_format, format_of
 from tablecare.sources.jsonlines import read_json_lines
 from tablecare.sources.workbook import read_workbooks
 
@@ -38,7 +38,7 @@ def read_table(
     those of the format's own reader.
     """
     configure(spark)
-    fmt = check_format(fmt) if fmt else detect_format(as_list(path)[0])
+    fmt = check_format(fmt) if fmt else format_of(as_list(path))
     if fmt in SEPARATORS:
         return read_delimited(spark, path, SEPARATORS[fmt], row_order, **options)
     reader = {

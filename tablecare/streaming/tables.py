@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tablecare.functions.columns import col, visible
 from tablecare.session import configure
-from tablecare.sinks.table import whole_seconds
+from tablecare.sinks.table import file_form, file_options
 from tablecare.sources.delimited import Header, text_options, text_rows
 from tablecare.sources.formats import SEPARATORS, check_format
 from tablecare.sources.typing import apply_types, fail_on_late
@@ -76,20 +76,6 @@ def write_stream(
     if check_format(fmt) not in ("parquet", "jsonl", *SEPARATORS):
         raise ValueError(f"{fmt!r} files cannot be written from a stream")
     table = df.select(*[col(c) for c in visible(df)])
-    if fmt != "parquet":
-        table = whole_seconds(table)
-    writer = table.writeStream.outputMode("append").option(
-        "checkpointLocation", checkpoint
-    )
-    if fmt == "jsonl":
-        writer = writer.option("ignoreNullFields", "false")
-    if fmt in SEPARATORS:
-        writer = (
-            writer.option("header", "true")
-            .option("sep", SEPARATORS[fmt])
-            .option("escape", '"')
-            .option("ignoreLeadingWhiteSpace", "false")
-            .option("ignoreTrailingWhiteSpace", "false")
-        )
-    kind = "parquet" if fmt == "parquet" else "json" if fmt == "jsonl" else "csv"
-    return writer.format(kind).option("path", path)
+    writer = file_form(table, fmt).writeStream.outputMode("append")
+    writer = writer.option("checkpointLocation", checkpoint)
+    return file_options(writer, fmt).option("path", path)

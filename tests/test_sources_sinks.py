@@ -5,7 +5,7 @@ from datetime import date, datetime
 
 import pytest
 
-from tablecare import detect_format, read_table, write_table
+from tablecare import format_of, read_table, write_table
 from tablecare.functions.columns import ROW_ORDER, visible
 from tablecare.sinks.table import default_destination
 from tablecare.sources import delimited
@@ -41,12 +41,12 @@ def test_round_trip(spark, table, tmp_path, suffix):
 
 
 def test_formats_by_suffix():
-    assert detect_format("a.CSV") == "csv"
-    assert detect_format("/x/a.txt") == "tsv"
-    assert detect_format("s3a://b/*.ndjson") == "jsonl"
-    assert detect_format("a.pq") == detect_format("a.parq/") == "parquet"
+    assert format_of("a.CSV") == "csv"
+    assert format_of("/x/a.txt") == "tsv"
+    assert format_of("s3a://b/*.ndjson") == "jsonl"
+    assert format_of("a.pq") == format_of("a.parq/") == "parquet"
     with pytest.raises(ValueError, match=".wacz"):
-        detect_format("a.wacz")
+        format_of("a.wacz")
 
 
 def test_unknown_formats_are_refused(spark, table, tmp_path):
@@ -104,30 +104,54 @@ def test_literals(spark, tmp_path):
     assert tuples(df.select("i", "d", "b"))[2] == (3, 1000.0, None)
 
 
-def test_text_inside_the_window_types_one_column(spark, tmp_path):
-    numbers = [str(i) for i in range(150)] + ["seven"] + ["7"] * 149
-    path = csv(tmp_path, "id,x\n" + "".join(f"{n},1\n" for n in numbers))
-    df = read_table(spark, path)
-    assert df.count() == 300
-    assert kinds(df) == {"id": "string", "x": "bigint"}
+def odd_one(tmp_path, at, rows=900):
+    """Prices by part; the part of row ``at`` is a word."""
+    parts = (("spare" if i == at else str(7 * i), f"{i}.25") for i in range(rows))
+    return csv(tmp_path, "part,price\n" + "".join(f"{p},{x}\n" for p, x in parts))
 
 
-def late_file(tmp_path):
-    lines = [f"{i},{i / 2}\n" for i in range(10_500)] + ["many,-1\n"]
-    lines += [f"{i},{i / 2}\n" for i in range(10_501, 11_000)]
-    return csv(tmp_path, "id,x\n" + "".join(lines))
+@pytest.mark.parametrize("at", [0, 199])
+def test_a_word_in_the_window_types_its_column(spark, tmp_path, at):
+    df = read_table(spark, odd_one(tmp_path, at), typing_rows=200)
+    assert kinds(df) == {"part": "string", "price": "double"}
+    assert df.count() == 900
 
 
-def test_text_past_the_window_makes_all_columns_text(spark, tmp_path):
-    path = late_file(tmp_path)
-    df = read_table(spark, path)
-    assert df.count() == 11_000
-    assert kinds(df) == {"id": "string", "x": "string"}
-    assert df.where("id = 'many'").first()["x"] == "-1"
-    kept = read_table(spark, path, fallback="column")
-    assert kinds(kept) == {"id": "string", "x": "double"}
+@pytest.mark.parametrize("at", [200, 899])
+def test_a_word_after_the_window(spark, tmp_path, at):
+    path = odd_one(tmp_path, at)
+    df = read_table(spark, path, typing_rows=200)
+    assert kinds(df) == {"part": "string", "price": "string"}
+    assert df.where("part = 'spare'").first()["price"] == f"{at}.25"
+    own = read_table(spark, path, typing_rows=200, fallback="column")
+    assert kinds(own) == {"part": "string", "price": "double"}
     with pytest.raises(Exception, match="LATE_VALUE"):
-        read_table(spark, path, late="fail").count()
+        read_table(spark, path, typing_rows=200, late="fail").count()
+
+
+def test_many_small_files_are_one_window(spark, tmp_path):
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    for i in range(70):
+        (folder / f"{i:04}.csv").write_text(f"a,b\n{'x' if i == 69 else i},{i}\n")
+    assert kinds(read_table(spark, str(folder))) == {"a": "string", "b": "bigint"}
+
+
+def test_surplus_fields_are_seen_whatever_is_selected(spark, tmp_path):
+    path = csv(tmp_path, "a,b,c\n" + "1,2,3\n" * 50 + "1,2,3,4\n")
+    with pytest.raises(Exception, match="more than 3 fields"):
+        read_table(spark, path, types="string", multiline=False).select("a").collect()
+
+
+def test_json_keys_come_in_the_order_of_their_first_line(spark, tmp_path):
+    path = tmp_path / "k.jsonl"
+    path.write_text('{"m": 1}\n' * 150 + '{"z": 1, "b": 2}\n')
+    assert read_table(spark, str(path)).columns == ["m", "z", "b"]
+
+
+def test_paths_of_several_formats_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="differ in format"):
+        read_table(spark, [csv(tmp_path, "a\n1\n"), f"{tmp_path}/x.parquet"])
 
 
 def test_window_spans_leading_files(spark, tmp_path):
