@@ -58,13 +58,17 @@ class RuleModel:
     rules: tuple[tuple[tuple[Condition, ...], float], ...]
 
     def score(self) -> Column:
-        total = F.lit(self.intercept)
+        terms = [F.lit(self.intercept)]
         for conditions, weight in self.rules:
             holds = F.lit(True)
             for name, above, threshold in conditions:
                 holds &= F.col(name) > threshold if above else F.col(name) <= threshold
-            total = total + F.when(holds, weight).otherwise(0.0)
-        return 1 / (1 + F.exp(-total))
+            terms.append(F.when(holds, weight).otherwise(0.0))
+        # summed in pairs: a chain of hundreds is too deep for the code generator
+        while len(terms) > 1:
+            pairs = [a + b for a, b in zip(terms[::2], terms[1::2], strict=False)]
+            terms = pairs + terms[2 * len(pairs) :]
+        return 1 / (1 + F.exp(-terms[0]))
 
 
 def _grow(bins: np.ndarray, residual: np.ndarray, weight: np.ndarray, rows: np.ndarray,
@@ -199,10 +203,13 @@ def score_quality(docs: DataFrame, model: RuleModel) -> DataFrame:
 
     Null and empty texts are scored by their statistics like any other."""
     own = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("score", "predicted")]
+    # as a generated row: a later filter by the score is not pushed below it, where
+    # every rule would take the statistics of the text anew
+    taken = F.struct(*(c.alias(n) for n, c in statistics(F.col("text")).items()))
     measured = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"),
-        *(c.alias(n) for n, c in statistics(F.col("text")).items()),
-    )
+        F.explode(F.array(taken)).alias("taken"),
+    ).select("doc", "taken.*")
     score = measured.withColumn("_score", model.score())
     return score.select(
         *own, F.col("_score").alias("score"),
