@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tablecare.functions.columns import ROW_ORDER, col, dtype_of, hidden, visible
 from tablecare.functions.dates import with_datetime
@@ -69,8 +69,8 @@ def profile(
 ) -> DataFrame:
     """Type class, null count and date flag of every column, in table order.
 
-    The table is read once: its cells are counted by column before anything is
-    shuffled, and the generated code does not grow with the number of columns.
+    The table is read once: text cells, and the nulls of other columns, are counted
+    by column before anything is shuffled.
     By default dates are judged on all values. With ``date_sample`` only the
     first so many filled values of each text column count, in ``order_by`` or
     source order.
@@ -80,16 +80,21 @@ def profile(
         return spark.createDataFrame([], PROFILE_SCHEMA)
     text = [n for n in names if _is_text(df, n)]
     judged = text if date_sample is None else []
-    # null stays null; what is not judged becomes a blank, which counts nowhere
-    cells = [
-        col(n) if n in judged else F.when(col(n).isNotNull(), F.lit("")) for n in names
-    ]
-    # one row of blanks, so that columns of an empty table are there as well
+    others = [n for n in names if n not in judged]
+    cells = F.array(*[col(n) for n in judged]).cast("array<string>")
+    if others:
+        # null stays null, anything else becomes a blank, which counts nowhere; rows
+        # without any null among these columns add no cells for them
+        marks = [F.when(col(n).isNotNull(), F.lit("")) for n in others]
+        some_null = F.concat(*marks).isNull()
+        none = F.array().cast("array<string>")
+        cells = F.concat(cells, F.when(some_null, F.array(*marks)).otherwise(none))
+    # one row of blanks, so that columns without cells are there as well
     blanks = spark.range(1).select(F.array_repeat(F.lit(""), len(names)).alias("c"))
-    cell = F.posexplode("c").alias("position", "text")
+    cell = F.posexplode("c").alias("place", "text")
     found = (
-        _judged(df.select(F.array(*cells).alias("c")).union(blanks).select(cell))
-        .groupBy("position")
+        _judged(df.select(cells.alias("c")).union(blanks).select(cell))
+        .groupBy("place")
         .agg(
             # a null cell is neither filled nor blank
             F.count_if(F.col("filled").isNull()).alias("null_count"),
@@ -99,14 +104,15 @@ def profile(
     described = F.array(
         *[
             F.struct(
+                F.lit(names.index(n)).alias("position"),
                 F.lit(n).alias("column_name"),
                 F.lit(type_class(dtype_of(df, n))).alias("type_class"),
             )
-            for n in names
+            for n in [*judged, *others]
         ]
     )
-    result = found.withColumn("is", F.get(described, F.col("position"))).select(
-        "position", "is.*", "null_count", "date_candidate"
+    result = found.withColumn("is", F.get(described, F.col("place"))).select(
+        "is.*", "null_count", "date_candidate"
     )
     if date_sample is not None and text:
         flags = _sampled_flags(df, text, date_sample, order_by)
@@ -127,15 +133,18 @@ def profile(
 def _sampled_flags(
     df: DataFrame, text: list[str], sample: int, order_by: Sequence[str]
 ) -> DataFrame:
-    """One top-k per text column: each reads its own column and keeps k rows."""
+    """The table is read once; each task passes on its first cells of a column only."""
     if not order_by and not hidden(df):
         raise ValueError("a sample of the first values needs order_by or row order")
     order = [col(c) for c in order_by] or [F.col(ROW_ORDER)]
-
-    def leading(name: str) -> DataFrame:
-        ordered = df.where(_filled(col(name))).orderBy(*order).limit(sample)
-        return ordered.select(F.lit(name).alias("column_name"), col(name).alias("text"))
-
-    values = reduce(DataFrame.unionByName, [leading(n) for n in text])
-    flags = _judged(values).groupBy("column_name")
-    return flags.agg(_date_flag().alias("date_candidate"))
+    keys = [key.alias(f"key{i}") for i, key in enumerate(order)]
+    cell = F.posexplode(F.array(*[col(n) for n in text])).alias("place", "text")
+    cells = df.select(cell, *keys).where(_filled(F.col("text")))
+    in_order = Window.partitionBy("place").orderBy(*[f"key{i}" for i in range(len(order))])
+    ranked = cells.withColumn("rank", F.row_number().over(in_order))
+    leading = ranked.where(F.col("rank") <= sample).select("place", "text")
+    flags = _judged(leading).groupBy("place").agg(_date_flag().alias("date_candidate"))
+    names = F.array(*[F.lit(n) for n in text])
+    return flags.select(
+        F.get(names, F.col("place")).alias("column_name"), "date_candidate"
+    )

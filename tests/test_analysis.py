@@ -40,6 +40,34 @@ def test_profile_keeps_column_order(spark):
     assert [r["column_name"] for r in profile(df).collect()] == df.columns
 
 
+def test_profile_counts_every_null_of_mixed_rows(spark):
+    """Columns without text, rows where some or all of them are null, no rows at all."""
+    df = spark.range(1000).selectExpr(
+        "if(id % 2 = 0, id, null) as a",
+        "if(id % 3 = 0, 'x', null) as b",
+        "if(id % 5 = 0, 1.5D, null) as c",
+        "id as `d.e`",
+    )
+    nulls = {name: row[1] for name, row in by_name(profile(df)).items()}
+    assert nulls == {"a": 500, "b": 666, "c": 800, "d.e": 0}
+    only = profile(df.select("a", "c")).collect()
+    assert [(r["column_name"], r["null_count"]) for r in only] == [("a", 500), ("c", 800)]
+    empty = profile(df.limit(0)).collect()
+    assert [(r["column_name"], r["null_count"]) for r in empty] == [
+        ("a", 0), ("b", 0), ("c", 0), ("d.e", 0)
+    ]
+
+
+def test_sampled_dates_of_several_columns(spark):
+    df = spark.range(500).selectExpr(
+        "id", "if(id < 20, '2020-01-02', 'x') as p", "if(id < 9, 'x', '2020-01-02') as q"
+    )
+    flags = by_name(profile(df, date_sample=20, order_by=["id"]))
+    assert [flags[c][2] for c in ("id", "p", "q")] == [False, True, True]
+    flags = by_name(profile(df, date_sample=10, order_by=["id"]))
+    assert [flags[c][2] for c in ("p", "q")] == [True, False]
+
+
 def test_sampled_dates(spark, tmp_path):
     """The first 200 filled values decide, in file order."""
     head = ["2020-01-02"] * 110 + ["x"] * 90

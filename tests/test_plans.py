@@ -55,6 +55,14 @@ def test_profile_reads_once(spark, sf_dir):
     assert nodes(text, "FileScan") == 1 and nodes(text, "Exchange") == 1
 
 
+def test_sampled_profile_sorts_nothing_globally(spark, sf_dir):
+    text = plan(registered.q_profile_sampled(spark, sf_dir))
+    assert "rangepartitioning" not in text
+    # one for the nulls, one for the samples of all columns
+    assert nodes(text, "FileScan") == 2
+    assert "WindowGroupLimit" in text
+
+
 def test_preview_is_a_top_k(spark, sf_dir):
     text = plan(preview(spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_orderkey"]))
     assert "TakeOrderedAndProject" in text
