@@ -16,6 +16,9 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterable
+from itertools import chain
+
+import numpy as np
 
 _SPACE = r"[ \t\n\r\x0b\x0c]"
 #: letters after white space; else anything up to the next white space; else a tail
@@ -29,6 +32,8 @@ _RARE = re.compile(
 _LONGEST = 40
 #: characters of texts that are cut at a time
 _AT_ONCE = 1 << 20
+#: cuts that are encoded in a row
+_ROW = 1000
 
 
 class CachedEncoder:
@@ -44,6 +49,17 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        # ids that can only stand where a word starts (its space) or ends
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
+        self._by_end = any(token.endswith("</w>") for token in vocabulary)
+        self._edge = np.zeros(self._tokenizer.get_vocab_size() + 1, bool)
+        self._edge[
+            [
+                number
+                for token, number in vocabulary.items()
+                if (token.endswith("</w>") if self._by_end else token.startswith("\u0120"))
+            ]
+        ] = True
         self._half = max(1, remembered // 2)
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
@@ -52,6 +68,32 @@ class CachedEncoder:
         encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in encoded]
 
+    def _encode_cuts(self, cuts: list[str]) -> list[bytes]:
+        """The ids of each cut. Those of one space and letters go to the tokenizer as rows
+        of many, and the ids of a row are told apart by their edges; a row with another
+        number of edges than cuts is encoded cut by cut."""
+        plain = [c for c in cuts if c[0] == " " and c[1:].isalpha()]
+        rows = [plain[n : n + _ROW] for n in range(0, len(plain), _ROW)]
+        known: dict[str, bytes] = {}
+        encoded = self._tokenizer.encode_batch_fast(["".join(r) for r in rows], add_special_tokens=False)
+        for row, found in zip(rows, encoded, strict=True):
+            ids = np.array(found.ids, "<u4")
+            edges = np.flatnonzero(self._edge[ids])
+            if len(edges) != len(row):
+                continue
+            held = ids.tobytes()
+            if self._by_end:
+                ends = (4 * (edges + 1)).tolist()
+                starts, whole = [0, *ends[:-1]], ends[-1] == len(held)
+            else:
+                starts = (4 * edges).tolist()
+                ends, whole = [*starts[1:], len(held)], not starts[0]
+            if whole:
+                known |= {c: held[a:b] for c, a, b in zip(row, starts, ends, strict=True)}
+        rest = [c for c in cuts if c not in known]
+        known |= zip(rest, self._encode_all(rest), strict=True)
+        return [known[c] for c in cuts]
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         out: list[bytes] = []
         part: list[str] = []
@@ -71,19 +113,25 @@ class CachedEncoder:
             else _CUTS.findall(text)
             for text in texts
         ]
-        used = set().union(*(cuts for cuts in cut if cuts))
-        missing = used.difference(self._known)
-        known = self._known
+        known, older = self._known, self._older
+        flat = list(chain.from_iterable(c for c in cut if c))
+        ids = list(map(known.get, flat))
+        gaps = [n for n, found in enumerate(ids) if found is None]
+        missing = {flat[n] for n in gaps}
         if missing:
-            older = self._older
             moved = {c: older[c] for c in missing if c in older}
             fresh = list(missing.difference(moved))
             known |= moved
-            known |= zip(fresh, self._encode_all(fresh), strict=True)
-        out = [
-            self._encode_all([text])[0] if cuts is None else b"".join(map(known.__getitem__, cuts))
-            for text, cuts in zip(texts, cut, strict=True)
-        ]
+            known |= zip(fresh, self._encode_cuts(fresh), strict=True)
+            for n in gaps:
+                ids[n] = known[flat[n]]
+        out, at = [], 0
+        for text, cuts in zip(texts, cut, strict=True):
+            if cuts is None:
+                out += self._encode_all([text])
+            else:
+                out.append(b"".join(ids[at : at + len(cuts)]))
+                at += len(cuts)
         for long in [c for c in missing if len(c) > _LONGEST]:
             del known[long]
         if len(known) > self._half:
