@@ -25,8 +25,9 @@ _SPACE = r"[ \t\n\r\x0b\x0c]"
 _CUTS = re.compile(rf"{_SPACE}*[^\W\d_]+|{_SPACE}*[^ \t\n\r\x0b\x0c]+|{_SPACE}+")
 #: white space that regular-expression engines may see differently, and the one letter
 #: that is two characters in lower case
-_RARE = re.compile(
-    "[\x1c-\x1f\x85\xa0\u0130\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
+_RARE = (
+    "\x1c\x1d\x1e\x1f\x85\xa0\u0130\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 #: longer cuts are not remembered
 _LONGEST = 40
@@ -36,6 +37,11 @@ _AT_ONCE = 1 << 20
 _ROW = 1000
 
 
+def _any_rare(text: str) -> bool:
+    # a search by character each: faster than one pass of a regular expression
+    return any(c in text for c in (_RARE[:4] if text.isascii() else _RARE))
+
+
 class CachedEncoder:
     """``encode`` gives the ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -44,7 +50,7 @@ class CachedEncoder:
     moves on, so that frequent cuts are never encoded anew.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -109,7 +115,7 @@ class CachedEncoder:
     def _encode_part(self, texts: list[str]) -> list[bytes]:
         cut = [
             None
-            if "<|" in text or _RARE.search(text) or not unicodedata.is_normalized("NFC", text)
+            if "<|" in text or _any_rare(text) or not unicodedata.is_normalized("NFC", text)
             else _CUTS.findall(text)
             for text in texts
         ]
