@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablecare.llm.mixing import ADDED, mix
 from tablecare.llm.packing import document_pieces, pack_pieces
-from tablecare.llm.paragraphs import without_repeats
+from tablecare.llm.paragraphs import without_passages
 from tablecare.llm.queries import tokenizer_path
 from tablecare.llm.rules import learn_quality, score_quality
 from tablecare.llm.simhash import keep_first
@@ -32,14 +32,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Paragraphs that occur elsewhere go, and documents of which nothing is left.
+    """Paragraphs and passages that occur elsewhere go, and documents of which nothing is left.
 
     ``n_chars`` follows the text of the documents that were cut.
     """
     from pyspark.sql import functions as F
 
-    cleaned = without_repeats(docs)
-    cut = F.size("removed_paragraphs") > 0
+    cleaned = without_passages(docs)
+    cut = (F.size("removed_paragraphs") > 0) | (F.size("cut_passages") > 0)
     cleaned = cleaned.where(~cut | (F.length(F.trim("text")) > 0))
     if "n_chars" in docs.columns:
         kept = F.when(cut, F.char_length("text")).otherwise(F.col("n_chars"))

@@ -4,10 +4,14 @@ Paragraphs are lines. A paragraph of enough words is a set of word shingles, who
 MinHash signature is cut into bands; paragraphs that share a band collide, their
 exact Jaccard similarity is computed, and the components of the similar ones are
 the classes of which one occurrence stays.
+
+What lines cannot show (passages over several short lines, or inside lines that
+differ around them) is found in the words of whole texts: see ``repeated_passages``.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -282,3 +286,268 @@ def without_repeats(docs: DataFrame, **settings) -> DataFrame:
         )
         .drop("_of", "_spans")
     )
+
+
+# --- passages ---------------------------------------------------------------------
+
+_WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: words that a passage has at least
+PASSAGE = 50
+#: words of the runs that a passage with changes is put together from, of a seed, and
+#: seeds of a run: the smallest hash of so many neighbours is selected, so that equal
+#: runs have an equal seed selected
+_RUN, _SEED = 24, 16
+_NEIGHBOURS = _RUN - _SEED + 1
+#: words that may differ between two runs of a passage
+_GAP = 8
+
+
+def _stretches(text: str, removed: list[int]) -> Iterator[tuple[int, list[str]]]:
+    """The lines that stay, neighbours together, after the number of their first one."""
+    gone, lines, at = set(removed), [], 0
+    for number, line in enumerate(text.split(SEPARATOR)):
+        if number in gone:
+            if lines:
+                yield at, lines
+            lines = []
+        else:
+            at = at if lines else number
+            lines.append(line)
+    if lines:
+        yield at, lines
+
+
+def _words(text: str, removed: list[int]) -> tuple[list[bytes], np.ndarray]:
+    """The stretches long enough for a run, their words one space apart, and the
+    position of each one's first word. Between stretches positions skip a passage."""
+    found, starts, at = [], [], 0
+    for _, lines in _stretches(text, removed):
+        words = SEPARATOR.join(lines).lower().encode("utf-8", "surrogatepass").split()
+        if len(words) >= _RUN:
+            found.append(b" ".join(words))
+            starts.append(at)
+        at += len(words) + PASSAGE
+    return found, np.array(starts, np.int64)
+
+
+def _windows(stretches: list[bytes], starts: np.ndarray, width: int, powers: _Powers):
+    """Positions and hashes of all runs of ``width`` words, per stretch."""
+    for stretch, start in zip(stretches, starts, strict=True):
+        if stretch.count(b" ") + 1 >= width:
+            hashes, _ = shingle_hashes([stretch], width, powers)
+            yield start + np.arange(len(hashes)), hashes
+
+
+def _seeds(stretches: list[bytes], starts: np.ndarray, powers: _Powers) -> tuple[np.ndarray, np.ndarray]:
+    at, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for positions, hashes in _windows(stretches, starts, _SEED, powers):
+        near = np.lib.stride_tricks.sliding_window_view(hashes, _NEIGHBOURS)
+        chosen = np.unique(near.argmin(axis=1) + np.arange(len(near)))
+        at.append(positions[chosen])
+        keys.append(hashes[chosen])
+    return np.concatenate(at), np.concatenate(keys).view(np.int64)
+
+
+def _repeatable(
+    stretches: list[bytes], starts: np.ndarray, seeds: np.ndarray, powers: _Powers
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The runs, of _RUN and of PASSAGE words, all of whose seeds occur elsewhere."""
+    top = int(starts[-1]) + stretches[-1].count(b" ") + 2 + PASSAGE if stretches else 0
+    seeded = np.zeros(top + 1, np.int64)
+    seeded[np.asarray(seeds, np.int64) + 1] = 1
+    seeded = np.cumsum(seeded)
+    short = np.zeros(top + 1, np.int64)
+    for positions, hashes in _windows(stretches, starts, _RUN, powers):
+        use = seeded[positions + _NEIGHBOURS] > seeded[positions]
+        short[positions[use] + 1] = 1
+        yield _RUN, positions[use], hashes[use].view(np.int64)
+    short = np.cumsum(short)
+    inner = PASSAGE - _RUN + 1
+    for positions, hashes in _windows(stretches, starts, PASSAGE, powers):
+        use = short[positions + inner] - short[positions] == inner
+        yield PASSAGE, positions[use], _mixed(hashes[use]).view(np.int64)
+
+
+def _spans(doc_id: int, runs: list) -> list[tuple[int, int, int]]:
+    """Begin, end and first document of what goes, from the runs of a document that
+    occur before: (width, position, first doc_id, position there)."""
+    width, at, of, there = (np.array(c, np.int64) for c in zip(*runs, strict=True))
+    spans = []
+    long = width == PASSAGE
+    # where a run overlaps its own first occurrence, that stays whole
+    own = np.where((of == doc_id) & long, there + PASSAGE, at)
+    spans += zip(np.maximum(at, own)[long], at[long] + PASSAGE, of[long], strict=True)
+    short = ~long & ((of != doc_id) | (at - there >= PASSAGE))
+    at, of, there = at[short], of[short], there[short]
+    if len(at):
+        order = np.lexsort((at, of))
+        at, of, there = at[order], of[order], there[order]
+        shift = at - there
+        apart = (np.diff(of) != 0) | (np.diff(at) > _RUN + _GAP) | (abs(np.diff(shift)) > _GAP)
+        begins = np.concatenate([[0], np.flatnonzero(apart) + 1])
+        ends = np.concatenate([begins[1:], [len(at)]]) - 1
+        fresh = np.concatenate([[_RUN], np.minimum(np.diff(at), _RUN)])
+        fresh[begins] = _RUN
+        covered = np.add.reduceat(fresh, begins)
+        begin, end, first = at[begins], at[ends] + _RUN, of[begins]
+        use = (end - begin >= PASSAGE) & (covered >= 0.8 * (end - begin))
+        use &= abs(shift[ends] - shift[begins]) <= 0.2 * (end - begin)
+        begin = np.where(first == doc_id, np.maximum(begin, there[ends] + _RUN), begin)
+        spans += zip(begin[use], end[use], first[use], strict=True)
+    joined: list[list[int]] = []
+    for begin, end, first in sorted((int(b), int(e), int(f)) for b, e, f in spans if b < e):
+        if joined and begin <= joined[-1][1]:
+            joined[-1][1] = max(end, joined[-1][1])
+            joined[-1][2] = min(first, joined[-1][2])
+        else:
+            joined.append([begin, end, first])
+    return [tuple(s) for s in joined]
+
+
+def _cut(text: str, removed: list[int], components: list[int], spans: list[tuple[int, int, int]]) -> dict:
+    """The text without lines and spans, the lines wholly gone, and what was cut."""
+    kept, cuts, gone, at = [], [], dict(zip(removed, components, strict=True)), 0
+    for first_line, lines in _stretches(text, removed):
+        for number, line in enumerate(lines, first_line):
+            words = list(_WORD.finditer(line))
+            here = [
+                (max(b, at) - at, min(e, at + len(words)) - at, f)
+                for b, e, f in spans if b < at + len(words) and e > at
+            ]
+            at += len(words)
+            cuts += [(number, b, e - b, f) for b, e, f in here]
+            if here and sum(e - b for b, e, _ in here) == len(words):
+                gone[number] = here[0][2]
+                continue
+            for b, e, _ in reversed(here):
+                after = words[e].start() if e < len(words) else len(line)
+                before = words[b].start() if e < len(words) or not b else words[b - 1].end()
+                line = line[:before] + line[after:]
+            kept.append(line)
+        at += PASSAGE
+    return {
+        "text": SEPARATOR.join(kept),
+        "removed_paragraphs": sorted(gone),
+        "removed_components": [gone[n] for n in sorted(gone)],
+        "cut_passages": [dict(zip(("paragraph", "word", "words", "component_id"), c, strict=True)) for c in cuts],
+    }
+
+
+_CUTS = "array<struct<paragraph:int,word:int,words:int,component_id:long>>"
+
+
+def repeated_passages(docs: DataFrame) -> tuple[DataFrame, Scratch]:
+    """``doc_id``, ``of`` (XXH64 of the text) and ``spans`` of words (``begin``, ``end``,
+    ``component_id``) that occur in an earlier place, and the tables that these read.
+
+    ``docs`` has ``doc_id``, ``text`` and ``removed``, the numbers of lines not to be read.
+    Words are compared in lower case, line breaks are white space. A run of PASSAGE
+    words goes wherever it occurs after its smallest (doc_id, position); so does one with
+    changes, if runs of _RUN words found first in one document, in the same order, cover 0.8 of
+    it and no gap is longer than _GAP words. A first occurrence that the repeat overlaps
+    stays whole.
+
+    One in five runs of _SEED words is selected by content. Only runs around those
+    selected twice are hashed at every word.
+    """
+    spark = configure(docs.sparkSession)
+    result, scratch = Scratch(spark, "passages"), Scratch(spark, "passages-work")
+    texts = docs.where("doc_id is not null and text is not null")
+    texts = texts.select("doc_id", F.xxhash64("text").alias("of"), "text", "removed")
+
+    def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers = _Powers()
+        for batch in batches:
+            rows = []
+            for doc_id, of, text, removed in batch.itertuples(index=False):
+                at, keys = _seeds(*_words(text, removed), powers)
+                if len(at):
+                    rows.append((doc_id, of, at, keys))
+            yield pd.DataFrame(rows, columns=["doc_id", "of", "at", "keys"])
+
+    found = scratch.keep(texts.mapInPandas(seeds, "doc_id long, of long, at array<int>, keys array<long>"))
+    every = found.select("doc_id", "of", F.explode(F.arrays_zip("at", "keys")).alias("seed"))
+    every = every.select("doc_id", "of", "seed.at", F.col("seed.keys").alias("key"))
+    often = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    wanted = every.join(often, "key").groupBy("doc_id", "of").agg(F.collect_set("at").alias("seeds"))
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers = _Powers()
+        for batch in batches:
+            for doc_id, text, removed, of, chosen in batch.itertuples(index=False):
+                for width, at, keys in _repeatable(*_words(text, removed), chosen, powers):
+                    if len(at):
+                        yield pd.DataFrame({"doc_id": doc_id, "of": of, "width": width, "at": at, "key": keys})
+
+    taken = texts.join(wanted, ["doc_id", "of"]).select("doc_id", "text", "removed", "of", "seeds")
+    taken = scratch.keep(taken.mapInPandas(runs, "doc_id long, of long, width int, at int, key long"))
+    place = F.struct("doc_id", "at")
+    firsts = taken.groupBy("width", "key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    again = taken.join(firsts.where("first != last"), ["width", "key"]).where(place != F.col("first"))
+    run = F.struct("width", "at", F.col("first.doc_id").alias("first"), F.col("first.at").alias("there"))
+    by_doc = again.groupBy("doc_id", "of").agg(F.collect_set(run).alias("runs"))
+
+    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc_id, of, held in batch.itertuples(index=False):
+                spans = _spans(doc_id, [(r["width"], r["at"], r["first"], r["there"]) for r in held])
+                names = ("begin", "end", "component_id")
+                if spans:
+                    rows.append((doc_id, of, [dict(zip(names, s, strict=True)) for s in spans]))
+            yield pd.DataFrame(rows, columns=["doc_id", "of", "spans"])
+
+    schema = "doc_id long, of long, spans array<struct<begin:int,end:int,component_id:long>>"
+    passages = result.keep(by_doc.mapInPandas(spans, schema))
+    scratch.drop()
+    return passages, result
+
+
+def without_passages(docs: DataFrame, **settings) -> DataFrame:
+    """As ``without_repeats``, and repeated passages of what is left are taken out of
+    ``text``, and the arrays ``removed_paragraphs`` (lines that are gone),
+    ``removed_components`` and ``cut_passages`` (``paragraph``, first ``word``, number of
+    ``words`` and ``component_id`` of what passages took out of lines), empty if none.
+
+    Null and empty texts stay what they are, as do rows with a null id. The added
+    names replace columns of the same name. Settings: see ``repeated_paragraphs``;
+    passages: see ``repeated_passages``.
+    """
+    removed, _ = repeated_paragraphs(docs, **settings)
+    spans = F.sort_array(F.collect_list(F.struct("paragraph", "component_id")))
+    by_doc = removed.groupBy(F.col("doc_id").alias("_of")).agg(spans.alias("_lines"))
+    numbers = F.coalesce(F.col("_lines.paragraph"), F.array().cast("array<int>"))
+    components = F.coalesce(F.col("_lines.component_id"), F.array().cast("array<long>"))
+    read = docs.select("doc_id", "text").join(by_doc, F.col("doc_id") == F.col("_of"), "left")
+    passages, _ = repeated_passages(read.select("doc_id", "text", numbers.alias("removed")))
+    passages = passages.select(F.col("doc_id").alias("_doc"), F.col("of").alias("_text"), F.col("spans").alias("_spans"))
+
+    @F.pandas_udf(f"text string, removed_paragraphs array<int>, removed_components array<long>, cut_passages {_CUTS}")
+    def cut(text: pd.Series, numbers: pd.Series, components: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        names = ["text", "removed_paragraphs", "removed_components", "cut_passages"]
+        rows = [
+            dict.fromkeys(names) if t is None
+            else _cut(t, n, c, [(s["begin"], s["end"], s["component_id"]) for s in held])
+            for t, n, c, held in zip(text, numbers, components, spans, strict=True)
+        ]
+        return pd.DataFrame(rows, columns=names, dtype=object)
+
+    lines = F.split("text", SEPARATOR, -1)
+    rest = F.filter(lines, lambda line, number: ~F.array_contains(numbers, number))
+    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(
+        F.array_join(rest, SEPARATOR)
+    )
+    cuts = F.when(F.col("_spans").isNotNull(), F.col("text"))
+    found = (
+        docs.join(by_doc, docs["doc_id"] == by_doc["_of"], "left")
+        .join(passages, (docs["doc_id"] == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_text")), "left")
+        .withColumn("_cut", cut(cuts, numbers, components, "_spans"))
+    )
+    return found.withColumns(
+        {
+            "text": F.coalesce("_cut.text", text),
+            "removed_paragraphs": F.coalesce("_cut.removed_paragraphs", numbers),
+            "removed_components": F.coalesce("_cut.removed_components", components),
+            "cut_passages": F.coalesce("_cut.cut_passages", F.array().cast(_CUTS)),
+        }
+    ).drop("_of", "_lines", "_doc", "_text", "_spans", "_cut")

@@ -12,7 +12,7 @@ from tablecare.llm.chat import chat_digests, written_chat
 from tablecare.llm.ids import id_digests, write_ids
 from tablecare.llm.mixing import mix, token_count
 from tablecare.llm.packing import document_pieces, pack_pieces
-from tablecare.llm.paragraphs import without_repeats
+from tablecare.llm.paragraphs import without_passages
 from tablecare.llm.rules import held_out, learn_quality, score_quality
 from tablecare.llm.search import nearest_neighbours
 from tablecare.llm.simhash import simhash_components
@@ -62,7 +62,7 @@ def op4_embedding_caps(spark, sf_dir):
 
 
 def op5_paragraphs(spark, sf_dir):
-    cleaned = without_repeats(_table(spark, sf_dir, "documents"))
+    cleaned = without_passages(_table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "text", "removed_paragraphs", "removed_components")
 
 

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from tablecare.llm.buckets import roots
 from tablecare.llm.caps import ProductCode, embedding_components
 from tablecare.llm.components import connected_components
-from tablecare.llm.paragraphs import repeated_paragraphs, tuned_bands, without_repeats
+from tablecare.llm.paragraphs import repeated_paragraphs, tuned_bands, without_passages, without_repeats
 from tablecare.llm.simhash import fingerprint, index_positions, keep_first, simhash_components
 from tablecare.llm.tables import Scratch
 
@@ -201,6 +201,19 @@ def test_paragraphs_odd_rows(spark):
     assert without_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_passages_over_short_lines(spark):
+    """Wrapped anew over 6 and 5 lines that are all too short to be a paragraph."""
+    passage = [f"p{i}" for i in range(60)]
+    wraps = [[" ".join(passage[i : i + n]) for i in range(0, 60, n)] for n in (10, 12)]
+    rows = [(i, "\n".join([f"head of {i}", *wraps[i % 2], f"{i} ends"])) for i in range(5)]
+    found = {r.doc_id: r for r in without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[0].text == rows[0][1]
+    for i in range(1, 5):
+        assert found[i].text == f"head of {i}\n{i} ends"
+        assert found[i].removed_paragraphs == list(range(1, 1 + len(wraps[i % 2])))
+        assert set(found[i].removed_components) == {0}
+
+
 def test_bands():
     for similarity, recall in [(0.8, 0.998), (0.5, 0.95), (0.9, 0.99)]:
         bands, rows = tuned_bands(similarity, recall)
