@@ -214,6 +214,25 @@ def test_passages_over_short_lines(spark):
         assert set(found[i].removed_components) == {0}
 
 
+def test_passages_inside_lines(spark):
+    """60 words in lines of 100 that differ around them, as they are and with a changed word;
+    one of 40 words stays, and so does the first of a word said over and over."""
+    def line(i, inner):
+        return " ".join([*(f"a{i}x{k}" for k in range(20)), *inner, *(f"b{i}x{k}" for k in range(20))])
+
+    passage = [f"p{i}" for i in range(60)]
+    changed = [*passage[:28], "new", *passage[29:]]
+    rows = [(1, line(1, passage)), (2, line(2, passage)), (3, line(3, changed)), (4, line(4, passage[:40]))]
+    rows += [(5, "no " * 200), (None, line(6, passage)), (7, line(7, passage)), (7, line(7, passage))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id or 0, r.text, [tuple(c) for c in r.cut_passages]) for r in without_passages(docs).collect())
+    gone = [(0, 20, 60, 1)]
+    assert found == [
+        (0, line(6, passage), []), (1, line(1, passage), []), (2, line(2, []), gone), (3, line(3, []), gone),
+        (4, line(4, passage[:40]), []), (5, " ".join(["no"] * 50), [(0, 50, 150, 5)]), (7, line(7, []), gone), (7, line(7, []), gone),
+    ]
+
+
 def test_bands():
     for similarity, recall in [(0.8, 0.998), (0.5, 0.95), (0.9, 0.99)]:
         bands, rows = tuned_bands(similarity, recall)
