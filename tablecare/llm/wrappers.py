@@ -32,10 +32,11 @@ _ALIGNED = 200
 #: tags only once
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+)>",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'/])([^\s\"'=<>/]++)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 # HTML's element kinds.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -108,7 +109,9 @@ def _element(name: str, attributes: str) -> tuple[str, bool, bool]:
         role = found.get("role", "").lower()
         chrome |= role in _CHROME_ROLES or found.get("aria-hidden", "").lower() == "true"
         style = found.get("style", "").replace(" ", "").lower()
-        chrome |= "display:none" in style or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
+        chrome |= "display:none" in style or bool(
+            re.search(r"(?:^|\s)hidden(?:\s|=|$)", _QUOTED.sub("''", attributes))
+        )
         main |= role in ("main", "article") or found.get("itemprop", "") == "articleBody"
         main |= not chrome and name in ("div", "section") and bool(words & _MAIN_WORDS)
         if kinds.strip() and name not in ("html", "body"):

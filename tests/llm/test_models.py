@@ -108,6 +108,14 @@ def test_main_text(spark, tag):
     assert main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_long_attributes(quote):
+    value = quote + "x hidden > " * 10_000 + "y" * 100_000 + quote
+    page = f"<nav data-s1={value}><p>menu</p></nav><div data-state={value}>before <img src={value}> after</div>"
+    blocks = read_page(page)[1]
+    assert [(b.text, b.path, b.chrome) for b in blocks] == [("menu", ("nav", "p"), True), ("before after", ("div",), False)]
+
+
 def test_wrapper_has_options_and_groups():
     one = fold(read_page("<div><h1>a</h1><p>x<p>y</div>")[0])
     two = fold(read_page("<div><h1>b</h1><h2>s</h2><p>x</div>")[0])
