@@ -341,15 +341,17 @@ def slots(wrapper: list) -> dict[str, str]:
     return found
 
 
-def main_region(wrapper: list, seen: dict[str, dict]) -> str:
+def main_region(wrapper: list, seen: list[dict]) -> str:
     """The path below which the article lies, from the slots of the wrapper and what
-    was ``seen`` in them (chars, linked, main, chrome) over all pages of the host."""
+    was ``seen`` in them (what: the path, chars, linked, main, chrome) over all pages of
+    the host. Blocks of one path can differ in chrome and main: all entries count."""
     kinds = slots(wrapper)
     named: dict[str, float] = {}
     weight: dict[str, float] = {}
-    for path, slot in seen.items():
+    for slot in seen:
         if slot["chrome"]:
             continue
+        path = slot["what"]
         value = slot["chars"] - 3 * slot["linked"]
         # slots of a repeated group carry an article, a single one seldom does
         value *= 1.0 if kinds.get(path, "repeat") == "repeat" else 0.5
@@ -442,8 +444,7 @@ def infer_wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
     def region(wrapper: pd.Series, seen: pd.Series) -> pd.Series:
         out = []
         for expression, entries in zip(wrapper, seen, strict=True):
-            slots_seen = {e["what"]: dict(e) for e in (entries if entries is not None else [])}
-            out.append(main_region(json.loads(expression), slots_seen))
+            out.append(main_region(json.loads(expression), entries if entries is not None else []))
         return pd.Series(out)
 
     chosen = wrappers.withColumnRenamed("what", "wrapper").join(seen, "host", "left")

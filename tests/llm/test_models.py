@@ -13,7 +13,7 @@ from tablecare.llm import queries as llm
 from tablecare.llm.chat import ChatTemplate, chat_digests, written_chat
 from tablecare.llm.rules import fit_rules, learn_quality, score_quality
 from tablecare.llm.search import nearest_neighbours, traversal
-from tablecare.llm.wrappers import align, article, fold, infer, main_text, read_page, slots
+from tablecare.llm.wrappers import align, article, fold, infer, main_region, main_text, read_page, slots
 
 # --- queries with SQL -------------------------------------------------------------
 
@@ -108,6 +108,24 @@ def test_main_text(spark, tag):
     assert main_text(pages.limit(0)).count() == 0
 
 
+def test_siblings_of_one_path(spark):
+    """Blocks told apart by role only have one path; all of them count for the region."""
+    pages = [
+        f'<div role="main"><p>Article {i}, as long as it has to be.</div><div role="navigation"><p>Go</div>'
+        f"<section><p>Notice</p></section>" for i in range(6)
+    ]
+    wrapper = infer([fold(read_page(p)[0]) for p in pages])
+    entries = [
+        {"what": "/".join(b.path), "chrome": b.chrome, "main": b.main, "chars": len(b.text), "linked": b.linked}
+        for b in read_page(pages[0])[1]
+    ]
+    assert [(e["what"], e["chrome"]) for e in entries] == [("div/p", False), ("div/p", True), ("section/p", False)]
+    assert main_region(wrapper, entries) == main_region(wrapper, entries[::-1]) == "div"
+    rows = [(i, f"https://{h}.org/{i}", p) for h in "abcdefgh" for i, p in enumerate(pages)]
+    found = main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.text) for r in found} == {(i, f"Article {i}, as long as it has to be.") for i in range(6)}
+
+
 @pytest.mark.parametrize("quote", ["'", '"'])
 def test_long_attributes(quote):
     value = quote + "x hidden > " * 10_000 + "y" * 100_000 + quote
