@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,12 @@ from tablecare.llm.ids import id_digests, write_ids
 from tablecare.llm.mixing import mix, token_count
 from tablecare.llm.packing import document_pieces, pack_pieces
 from tablecare.llm.paragraphs import without_passages
+from tablecare.llm.periods import Words, periodic_runs
+from tablecare.llm.phrases import collocations
 from tablecare.llm.rules import held_out, learn_quality, score_quality
 from tablecare.llm.search import nearest_neighbours
 from tablecare.llm.simhash import simhash_components
+from tablecare.llm.transforms import repeated_string_digests
 from tablecare.llm.wrappers import main_text
 from tablecare.session import configure, scratch_path
 
@@ -100,12 +104,39 @@ def op10_chat(spark, sf_dir):
     return chat_digests(written_chat(rows))
 
 
+def with_repeats(doc_id: int | None, words: Words) -> Words:
+    """For every tenth id by its hash, the words with a periodic end."""
+    if doc_id is None or not words:
+        return words
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if h % 10:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11_periods(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents")
+    return periodic_runs(documents, change=with_repeats, texts=False)
+
+
+def op12_repeats(spark, sf_dir):
+    return repeated_string_digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         q.__name__: q
         for q in (
             op1_simhash, op2_token_ids, op3_mixing, op4_embedding_caps, op5_paragraphs,
             op6_quality, op7_main_text, op8_packing, op9_neighbours, op10_chat,
+            op11_periods, op12_repeats, op13_collocations,
         )
     }
 
@@ -113,7 +144,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """In DuckDB, over whole tables. The others learn, use a tokenizer or a hash that
     DuckDB lacks, or are approximate; their tests compare with brute force."""
-    return {"op3_mixing": MIXING_SQL, "op4_embedding_caps": CAPS_SQL, "op10_chat": CHAT_SQL}
+    return {
+        "op3_mixing": MIXING_SQL,
+        "op4_embedding_caps": CAPS_SQL,
+        "op10_chat": CHAT_SQL,
+        "op13_collocations": PHRASES_SQL,
+    }
 
 
 MIXING_SQL = r"""
@@ -219,3 +255,47 @@ select conv_id, count(*) as n_turns,
     ) and (after <> '' or role = 'assistant')) as valid
 from counted group by conv_id
 """
+
+PHRASES_SQL = r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) as piece
+    from documents where text is not null
+), sequences as (
+    select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from pieces
+), counts as (
+    select lang, size, array_to_string(words[i:i + size - 1], ' ') as phrase, count(*) as f
+    from (
+        select lang, words, size, unnest(generate_series(1, len(words) - size + 1)) as i
+        from sequences, generate_series(1, 3) sizes(size)
+    ) group by all
+), totals as (
+    select lang, sum(f)::bigint as n from counts where size = 1 group by lang
+), phrases as (
+    select *, string_split(phrase, ' ') as words from counts where size > 1 and f >= 10
+), cuts as (
+    select p.lang, p.phrase, p.words, p.f as a, k, l.f as l, r.f as r,
+        (1000000::hugeint * p.f * p.f) // (l.f::hugeint * r.f) as score
+    from (select *, unnest(generate_series(1, size - 1)) as k from phrases) p
+    join counts l on l.lang = p.lang and l.phrase = array_to_string(p.words[1:k], ' ')
+    join counts r on r.lang = p.lang and r.phrase = array_to_string(p.words[k + 1:p.size], ' ')
+), best as (
+    select * from cuts
+    qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), longer as (
+    select lang, inner_phrase, max(f) as f from (
+        select lang, f, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')])
+            as inner_phrase
+        from phrases where size = 3
+    ) group by all
+), ranked as (
+    select b.*, row_number() over (
+        partition by b.lang order by score desc, a desc, b.phrase
+    ) as rank
+    from best b left join longer on longer.lang = b.lang and inner_phrase = b.phrase
+    where longer.f is null or 100 * longer.f < 50 * a
+)
+select lang, rank, phrase, a, l, r, n, score::bigint as score
+from ranked join totals using (lang) where rank <= 2000
+"""
