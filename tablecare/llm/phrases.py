@@ -34,12 +34,17 @@ _CHUNK = 32
 _MOST_BITS = 1 << 27
 #: words of chunks that are counted together in a task
 _WORDS = 1 << 18
+#: parts of a group that are ranked by themselves first
+_PARTS = 32
 
 #: stands for all separators of pieces, which no phrase goes over
 _END = b"."
 _TO_END = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b".........")
 
 _ONE, _SIX, _LOW = np.uint64(1), np.uint64(6), np.uint64(63)
+#: hashes have 48 bits: as they only say what may be frequent, chance hits do no harm.
+#: From each of these on the map takes bits.
+_CUT, _PROBES = np.uint64(16), (0, 10, 21)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # odd constants
 
 
@@ -122,7 +127,7 @@ class _Phrases:
         found = self.batch.hashes[self.ids[places]]
         for step in range(1, size):
             found = _mixed(found, self.batch.hashes[self.ids[places - step]])
-        return found
+        return found >> _CUT
 
     def keys(self, places: np.ndarray, size: int) -> np.ndarray:
         """Numbers that are equal for equal phrases only."""
@@ -192,20 +197,18 @@ def phrase_counts(
         for lang, phrases in batched(batches):
             for size in range(1, min(2, most) + 1):
                 places = phrases.last_places(size)
+                if size == 1:
+                    total = int(phrases.weights[places].sum())
+                    yield pd.DataFrame({"lang": [lang], "hash": [0], "n": [total]})
                 values, _, sums = _summed(phrases.hashes(places, size), phrases.weights[places])
-                yield pd.DataFrame(
-                    {"lang": lang, "size": size, "hash": values.view(np.int64), "n": sums}
-                )
-
-    hashes = dictionary.mapInPandas(hashed, "lang string, size int, hash long, n long")
-    frequent = F.when(F.col("n") >= least, F.col("hash")).alias("hash")
-    hashes = scratch.keep(
-        hashes.groupBy("lang", "size", "hash").agg(F.sum("n").alias("n"))
-        # of the rare ones only their number is wanted
-        .groupBy("lang", "size", frequent).agg(F.sum("n").alias("n"))
-    )
-    totals = hashes.where("size = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    bits = _bit_map(hashes.where("hash is not null").select("hash"))
+                yield pd.DataFrame({"lang": None, "hash": values.view(np.int64), "n": sums})
+
+    # the words of a group in a row with its name, all else without one
+    hashes = dictionary.mapInPandas(hashed, "lang string, hash long, n long")
+    hashes = hashes.groupBy("lang", "hash").agg(F.sum("n").alias("n"))
+    hashes = scratch.keep(hashes.where((F.col("n") >= least) | F.col("lang").isNotNull()))
+    totals = hashes.where("lang is not null").select("lang", "n")
+    bits = _bit_map(hashes.where("lang is null").select("hash"))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, phrases in batched(batches):
@@ -214,9 +217,7 @@ def phrase_counts(
                 # a phrase is no more frequent than a word or pair in it
                 part = min(size, 2)
                 for step in range(size - part + 1):
-                    found = phrases.hashes(places - step, part)
-                    words = bits[found >> _SIX & np.uint64(len(bits) - 1)]
-                    places = places[words >> (found & _LOW) & _ONE > 0]
+                    places = places[_in_map(bits, phrases.hashes(places - step, part))]
                 _, first, sums = _summed(phrases.keys(places, size), phrases.weights[places])
                 found = phrases.texts(places[first], size)
                 yield pd.DataFrame({"lang": lang, "size": size, "phrase": found, "f": sums})
@@ -228,17 +229,26 @@ def phrase_counts(
 
 
 def _bit_map(hashes: DataFrame) -> np.ndarray:
-    """A map with the lowest bits of each hash set: 16 bits per hash, 16 MB at most."""
+    """A Bloom filter of the hashes: 16 bits each, 16 MB at most."""
     size = min(_MOST_BITS, 1 << max(10, (16 * hashes.count()).bit_length()))
-    bit = F.col("hash").bitwiseAND(size - 1)
-    word = F.shiftright(bit, 6).alias("word")
-    one = F.expr(f"shiftleft(1L, cast(hash & {int(_LOW)} as int))")
-    rows = hashes.groupBy(word).agg(F.bit_or(one).alias("bits")).toPandas()
+    probes = F.array(*[F.shiftright("hash", p).bitwiseAND(size - 1) for p in _PROBES])
+    one = F.expr("shiftleft(1L, cast(bit & 63 as int))")
+    rows = hashes.select(F.explode(probes).alias("bit"))
+    rows = rows.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+    rows = rows.toPandas()
     found = np.zeros(size // 64, np.uint64)
     found[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     return found
 
 
+def _in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    there, last = np.ones(len(hashes), bool), np.uint64(64 * len(bits) - 1)
+    for probe in _PROBES:
+        bit = hashes >> np.uint64(probe) & last
+        there &= bits[bit >> _SIX] >> (bit & _LOW) & _ONE > 0
+    return there
+
+
 def collocations(
     docs: DataFrame, text_column: str = "text", group_column: str = "lang", most: int = 3,
     least: int = 10, top: int = 2000, absorbed: int = 50,
@@ -291,8 +301,14 @@ def collocations(
         F.col("longer").isNull() | (100 * F.col("longer") < absorbed * F.col("a"))
     )
     order = [F.desc("cut.score"), F.desc("a"), F.asc("phrase")]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")
-    best = kept.withColumn("rank", rank).where(F.col("rank") <= top)
+
+    def ranked(rows: DataFrame, *keys: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+        return rows.withColumn("rank", rank).where(F.col("rank") <= top)
+
+    # a group of any size reaches the task that ranks it as the best of its parts
+    dealt = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(_PARTS)))
+    best = ranked(ranked(dealt, "lang", "part"), "lang")
     found = best.join(totals, "lang").select(
         "lang", "rank", "phrase", "a", "cut.l", "cut.r", "n", "cut.score"
     )
