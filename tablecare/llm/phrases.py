@@ -7,15 +7,16 @@ give equal chunks wherever they stand, so the different chunks with their freque
 counted inside the different chunks, weighted by frequency; those that lie wholly in
 the window a chunk shares with the one before belong to that one.
 
-Most phrases are rare. So hashes of words and pairs are counted first, and only phrases
-all of whose parts may be frequent are counted as text. The frequent hashes go to the
-tasks as a bit map of bounded size; a bit set by chance costs work, not rightness.
+Most phrases are rare. So words are counted with the dictionary, then hashes of pairs of
+frequent words, and only phrases all of whose pairs may be frequent are counted as text.
+Frequent words and pairs go to the tasks as a bit map of bounded size; a bit set by
+chance costs work, not rightness.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain, count
 
@@ -29,7 +30,7 @@ from tablecare.llm.tables import Scratch
 from tablecare.session import configure
 
 #: a chunk ends at one of so many windows
-_CHUNK = 32
+_CHUNK = 96
 #: bits of the map of frequent phrases, whatever the corpus
 _MOST_BITS = 1 << 27
 #: words of chunks that are counted together in a task
@@ -103,12 +104,16 @@ def chunked(sequences: list[list[bytes]], window: int, modulus: int = _CHUNK) ->
     return out
 
 
+def _seed(lang: str) -> int:
+    """Equal words of two groups have different hashes."""
+    return zlib.crc32(lang.encode())
+
+
 class _Phrases:
     """The phrases in chunks of one group, each known by the place of its last word."""
 
     def __init__(self, lang: str, chunks: list[bytes], weights: np.ndarray, window: int):
-        # equal words of two groups have different hashes
-        self.batch = _Batch([c.split(b" ") for c in chunks], zlib.crc32(lang.encode()))
+        self.batch = _Batch([c.split(b" ") for c in chunks], _seed(lang))
         lengths = self.batch.lengths
         self.ids, self.weights = self.batch.ids, np.repeat(weights, lengths)
         begins = np.cumsum(lengths) - lengths
@@ -168,13 +173,34 @@ def phrase_counts(
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                chunks = chunked([tokens(t) for t in part["text"]], window)
-                table = pd.DataFrame({"lang": part["lang"].to_numpy(), "chunk": chunks})
-                yield table.explode("chunk").dropna(subset=["chunk"])
+                for lang, part in batch.iloc[at : at + 500].groupby("lang"):
+                    texts = [tokens(t) for t in part["text"]]
+                    chunks = Counter(chain.from_iterable(chunked(texts, window)))
+                    words = Counter(chain.from_iterable(texts))
+                    words.pop(_END, None)
+                    for word, found in ((False, chunks), (True, words)):
+                        yield pd.DataFrame(
+                            {"lang": lang, "word": word, "text": found.keys(), "n": found.values()}
+                        )
+
+    parsed = source.mapInPandas(parse, "lang string, word boolean, text binary, n long")
+    parsed = scratch.keep(parsed.groupBy("lang", "word", "text").agg(F.sum("n").alias("n")))
+    dictionary = parsed.where("not word").select("lang", F.col("text").alias("chunk"), "n")
+    words = parsed.where("word").select("lang", F.col("text").alias("phrase"), F.col("n").alias("f"))
+    totals = scratch.keep(words.groupBy("lang").agg(F.sum("f").alias("n")))
+    words = words.where(F.col("f") >= least).withColumn("size", F.lit(1))
+
+    def word_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh3_64_intdigest
+
+        for batch in batches:
+            pairs = zip(batch["phrase"], batch["lang"], strict=True)
+            found = [xxh3_64_intdigest(word, _seed(lang)) for word, lang in pairs]
+            found = np.array(found, np.uint64) >> _CUT
+            yield pd.DataFrame({"hash": found.view(np.int64)})
 
-    parsed = source.mapInPandas(parse, "lang string, chunk binary")
-    dictionary = scratch.keep(parsed.groupBy("lang", "chunk").agg(F.count("*").alias("n")))
+    frequent = words.select("lang", "phrase").mapInPandas(word_hashes, "hash long")
+    word_bits = _bit_map(scratch.keep(frequent))
 
     def batched(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, _Phrases]]:
         held: dict[str, list] = defaultdict(list)
@@ -194,38 +220,31 @@ def phrase_counts(
         return rows["chunk"].tolist(), rows["n"].to_numpy(np.int64)
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for lang, phrases in batched(batches):
-            for size in range(1, min(2, most) + 1):
-                places = phrases.last_places(size)
-                if size == 1:
-                    total = int(phrases.weights[places].sum())
-                    yield pd.DataFrame({"lang": [lang], "hash": [0], "n": [total]})
-                values, _, sums = _summed(phrases.hashes(places, size), phrases.weights[places])
-                yield pd.DataFrame({"lang": None, "hash": values.view(np.int64), "n": sums})
-
-    # the words of a group in a row with its name, all else without one
-    hashes = dictionary.mapInPandas(hashed, "lang string, hash long, n long")
-    hashes = hashes.groupBy("lang", "hash").agg(F.sum("n").alias("n"))
-    hashes = scratch.keep(hashes.where((F.col("n") >= least) | F.col("lang").isNotNull()))
-    totals = hashes.where("lang is not null").select("lang", "n")
-    bits = _bit_map(hashes.where("lang is null").select("hash"))
+        for _, phrases in batched(batches):
+            places = phrases.last_places(2)
+            for step in (0, 1):  # a pair is no more frequent than its words
+                places = places[_in_map(word_bits, phrases.hashes(places - step, 1))]
+            values, _, sums = _summed(phrases.hashes(places, 2), phrases.weights[places])
+            yield pd.DataFrame({"hash": values.view(np.int64), "n": sums})
+
+    pairs = dictionary.mapInPandas(hashed, "hash long, n long")
+    pairs = pairs.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    pair_bits = _bit_map(scratch.keep(pairs.select("hash")))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, phrases in batched(batches):
-            for size in range(1, most + 1):
+            for size in range(2, most + 1):
                 places = phrases.last_places(size)
-                # a phrase is no more frequent than a word or pair in it
-                part = min(size, 2)
-                for step in range(size - part + 1):
-                    places = places[_in_map(bits, phrases.hashes(places - step, part))]
+                for step in range(size - 1):  # nor a phrase than its pairs
+                    places = places[_in_map(pair_bits, phrases.hashes(places - step, 2))]
                 _, first, sums = _summed(phrases.keys(places, size), phrases.weights[places])
                 found = phrases.texts(places[first], size)
                 yield pd.DataFrame({"lang": lang, "size": size, "phrase": found, "f": sums})
 
     texts = dictionary.mapInPandas(counted, "lang string, size int, phrase binary, f long")
     texts = texts.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
-    texts = texts.where(F.col("f") >= least)
-    return scratch.keep(texts.withColumn("phrase", F.col("phrase").cast("string"))), totals
+    found = texts.where(F.col("f") >= least).unionByName(words)
+    return scratch.keep(found.withColumn("phrase", F.col("phrase").cast("string"))), totals
 
 
 def _bit_map(hashes: DataFrame) -> np.ndarray:
