@@ -15,8 +15,9 @@ import os
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterable
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from itertools import chain, islice
 
 import numpy as np
 
@@ -100,6 +101,11 @@ class CachedEncoder:
         known |= zip(rest, self._encode_all(rest), strict=True)
         return [known[c] for c in cuts]
 
+    def forget(self, but: int) -> None:
+        """Keep the first cuts only, among which are the frequent ones."""
+        self._older = {}
+        self._known = dict(islice(self._known.items(), but))
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         out: list[bytes] = []
         part: list[str] = []
@@ -145,6 +151,16 @@ class CachedEncoder:
         return out
 
 
+@contextmanager
+def encoding(path: str, kept: int = 100_000) -> Iterator[CachedEncoder]:
+    """The encoder for one task; ``kept`` cuts stay in the worker for the next one."""
+    known = encoder(path)
+    try:
+        yield known
+    finally:
+        known.forget(kept)
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> CachedEncoder:
     """One encoder per vocabulary file and Python worker."""

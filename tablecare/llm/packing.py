@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablecare.llm.encoding import encoder
+from tablecare.llm.encoding import encoding
 from tablecare.llm.tables import Scratch
 from tablecare.session import configure
 
@@ -196,19 +196,23 @@ class _Places:
 
 
 def document_pieces(
-    docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1
+    docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, with_ids: bool = True
 ) -> DataFrame:
     """The documents as pieces of at most ``size`` ids, written and read again.
 
     ``row`` (a number per row of ``docs``), ``doc_id``, ``piece`` (from 0), ``start`` (ids of the
     document before it), ``length``, ``ids`` (little-endian unsigned 32-bit) and
-    ``ids_crc32``. ``end_id`` closes each document; null texts count as empty. Only
+    ``ids_crc32``; places need no ``ids``, which ``with_ids`` leaves out. ``end_id`` closes each document; null texts count as empty. Only
     documents longer than ``size`` are cut.
     """
     spark = configure(docs.sparkSession)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, end, step = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * size
+        end, step = np.array([end_id], "<u4").tobytes(), 4 * size
+        with encoding(tokenizer) as known:
+            yield from cut_with(known, batches, end, step)
+
+    def cut_with(known, batches, end, step) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 512):
                 out = []
@@ -219,10 +223,12 @@ def document_pieces(
                     for piece, start in enumerate(range(0, len(ids), step)):
                         part = ids[start : start + step]
                         out.append((row.row, row.doc_id, piece, start // 4, len(part) // 4, part, zlib.crc32(part)))
-                yield pd.DataFrame(out, columns=names)
+                table = pd.DataFrame(out, columns=names)
+                yield table if with_ids else table.drop(columns="ids")
 
     names = ["row", "doc_id", "piece", "start", "length", "ids", "ids_crc32"]
-    schema = "row long, doc_id string, piece int, start long, length long, ids binary, ids_crc32 long"
+    held = "ids binary, " if with_ids else ""
+    schema = f"row long, doc_id string, piece int, start long, length long, {held}ids_crc32 long"
     numbered = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string"), "text"
     )
@@ -241,10 +247,9 @@ def pack_pieces(pieces: DataFrame, size: int = 4096) -> DataFrame:
     """
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     places = _Places(plan_patterns(counts, size))
-    groups = F.lit(1)
-    for length, n in counts.items():
-        if n > _RANKED_ROWS:
-            groups = F.when(F.col("length") == length, F.lit(-(-n // _RANKED_ROWS))).otherwise(groups)
+    # one literal with the groups of every length, however many lengths are frequent
+    listed = ",".join(str(-(-counts.get(length, 0) // _RANKED_ROWS)) for length in range(size + 1))
+    groups = F.get(F.split(F.lit(listed), ",").cast("array<int>"), F.col("length").cast("int"))
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("row", "piece"), groups))
     sums = dealt.groupBy("length", "_group").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("_group")) - F.col("count")

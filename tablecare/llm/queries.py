@@ -83,10 +83,8 @@ def op7_main_text(spark, sf_dir):
 
 
 def op8_packing(spark, sf_dir):
-    pieces = document_pieces(
-        _table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")
-    )
-    return pack_pieces(pieces.drop("ids")).drop("row")
+    documents, tokenizer = _table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")
+    return pack_pieces(document_pieces(documents, tokenizer, with_ids=False)).drop("row")
 
 
 def op9_neighbours(spark, sf_dir):

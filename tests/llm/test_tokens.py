@@ -231,3 +231,34 @@ def test_mixing_odd_tables(spark):
     held = mix(clashing)
     assert held.columns == ["doc_id", "text", "source", "doc", "weight", "exponent", "copy", "block", "order_key"]
     assert [(r.doc, r.copy) for r in held.collect()] == [("x", 0)] * 2
+
+
+def test_many_frequent_lengths_are_packed(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tablecare.llm import packing
+
+    # every one of 4096 lengths is ranked in groups of its own
+    monkeypatch.setattr(packing, "_RANKED_ROWS", 1)
+    pieces = spark.range(8192).select(
+        F.col("id").alias("row"),
+        F.lit(0).alias("piece"),
+        (F.col("id") % 4096 + 1).alias("length"),
+    )
+    placed = packing.pack_pieces(pieces).toPandas()
+    assert len(placed) == 8192
+    placed = placed.sort_values(["sequence_id", "offset"])
+    ends = placed.groupby("sequence_id")["length"].cumsum()
+    assert (placed["offset"] == ends - placed["length"]).all() and ends.max() <= 4096
+
+
+def test_the_encoder_keeps_few_cuts_between_tasks():
+    from tablecare.llm import encoding
+    from tablecare.llm.queries import tokenizer_path
+
+    path = tokenizer_path("word_bpe_49k.json")
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(500))]
+    with encoding.encoding(path, kept=10) as known:
+        first = known.encode(texts)
+    assert len(known._known) <= 10 and not known._older
+    assert known.encode(texts) == first
