@@ -57,8 +57,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of the documents' pieces in sequences of 4096 tokens."""
-    pieces = document_pieces(docs, tokenizer_path("word_bpe_49k.json"))
-    return pack_pieces(pieces.drop("ids")).drop("row")
+    pieces = document_pieces(docs, tokenizer_path("word_bpe_49k.json"), with_ids=False)
+    return pack_pieces(pieces).drop("row")
 
 
 STAGES: list[tuple[str, Stage]] = [
