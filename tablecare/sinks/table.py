@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, DataFrameWriter
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, DataFrameWriter
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecare.functions.columns import col, visible
@@ -105,7 +108,32 @@ def file_options(writer, fmt: str):
     )
 
 
+def _one_column_lines(table: DataFrame, separator: str) -> DataFrame:
+    """The lines of a one-column text table, with a header in each part: the CSV writer
+    leaves out rows that are nothing but a null."""
+    name = table.columns[0]
+
+    def field(text: Column) -> Column:
+        quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+        plain = ~text.rlike("^$|[\"\r\n]") & ~F.contains(text, F.lit(separator))
+        return F.when(plain, text).otherwise(quoted)
+
+    doubled = name.replace('"', '""')
+    special = not name or any(c in name for c in ('"', "\r", "\n", separator))
+    first = f'"{doubled}"' if special else name
+
+    def under_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"value": [first]})
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"value": batch.column(0)})
+
+    text = F.coalesce(field(col(name).cast("string")), F.lit(""))
+    return table.select(text.alias("value")).mapInArrow(under_header, "value string")
+
+
 def _writer(table: DataFrame, fmt: str, encoding: str | None) -> DataFrameWriter:
+    if fmt in SEPARATORS and len(table.columns) == 1 and not encoding:
+        return _one_column_lines(file_form(table, fmt), SEPARATORS[fmt]).write.format("text")
     writer = file_options(file_form(table, fmt).write, fmt)
     if fmt == "parquet":
         return writer

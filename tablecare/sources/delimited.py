@@ -20,6 +20,15 @@ from tablecare.sources.files import (
     split_bytes,
     text_order,
 )
+from tablecare.sources.records import (
+    Beginnings,
+    cells,
+    first_record,
+    may_split,
+    split_beginnings,
+    text_lines,
+    text_records,
+)
 from tablecare.sources.typing import (
     TYPING_ROWS,
     apply_types,
@@ -29,7 +38,6 @@ from tablecare.sources.typing import (
 )
 
 _CORRUPT = "__corrupt__"
-# Leading small files that together form the typing window.
 
 LATE_CHOICES = ("scan", "fail")
 FALLBACK_CHOICES = ("file", "column")
@@ -72,50 +80,66 @@ class Header:
 
 def _header(
     spark: SparkSession, files: DataFrame, separator: str, encoding: str | None
-) -> Header:
-    """Names from the first file; empty and repeated ones get names of their own."""
+) -> tuple[Header, list[str]]:
+    """Names from the first file, and what its header says; empty and repeated names get
+    names of their own."""
     file = files.where("length > 0").orderBy("path").first()
     if file is None:
         raise ValueError("no header line found: there is no file with content")
     path = literal_path(file["path"])
-    # Spark learns the number of columns itself here, for which it takes a path
-    # as a pattern when records may span lines: only if the header really does
-    line = spark.read.text(path).first()[0]
-    spans = is_wide(encoding) or line.count('"') % 2 == 1
-    record = _reader(spark, separator, spans, encoding, False).csv(path).first()
-    if record is None:
+    if is_wide(encoding):
+        found = _reader(spark, separator, True, encoding, False).csv(path).first()
+    else:
+        record = first_record(text_lines(spark, [path], encoding, False), separator)
+        found = record and cells(record, separator)
+    if not found:
         raise ValueError(f"no header line found in {file['path']}")
     names: list[str] = []
-    for i, cell in enumerate(record, start=1):
+    for i, cell in enumerate(found, start=1):
         name = base = cell or f"unnamed_{i}"
         copies = 0
         while name in names:
             name, copies = f"{base}_duplicated_{copies}", copies + 1
         names.append(name)
-    return Header(names, exact=names == list(record))
-
+    return Header(names, exact=names == list(found)), list(found)
 
-def _needs_multiline(
-    spark: SparkSession,
-    paths: list[str],
-    files: DataFrame,
-    encoding: str | None,
-    recursive: bool,
-) -> bool:
-    """Whether records may span lines.
 
-    Such a reading keeps a file in one task, which costs nothing as long as all
-    files fit one split. Only larger files are searched for a line with an odd
-    number of quotes; without any, each line is a record and files may be split.
-    """
-    largest = files.agg(F.max("length")).first()[0] or 0
-    if largest <= split_bytes(spark) or is_wide(encoding):
-        return True
-    lines = spark.read.option("recursiveFileLookup", str(recursive)).text(paths)
-    quotes = F.length("value") - F.length(
-        F.replace(F.col("value"), F.lit('"'), F.lit(""))
+def record_rows(records: DataFrame, names: list[str], separator: str) -> DataFrame:
+    """All-text rows of records. A row with more fields than the header fails the job, a
+    shorter one is padded with null. A blank line is a null where there is one column and
+    no row where there are more."""
+    single = len(names) == 1
+    if not single:
+        records = records.where("value != ''")
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, _CORRUPT])
+    options = text_options(separator, True) | {"columnNameOfCorruptRecord": _CORRUPT}
+    surplus = count_outside_quotes(F.col("value"), separator) >= len(names)
+    parsed = records.select(
+        F.from_csv("value", schema, options).alias("_row"),
+        # quotes that are characters like any other make the quick count an upper bound
+        F.when(F.contains("value", F.lit(separator)), surplus).otherwise(F.lit(False)).alias("_many"),
+        "value",
+        # keeps the filter below from being pushed under the parser, which would run twice
+        F.monotonically_increasing_id().alias("_at"),
+        *[c for c in records.columns if c != "value"],
+    )
+    corrupt = F.col("_row")[_CORRUPT]
+    error = F.raise_error(
+        F.concat(
+            F.lit(f"a row has more than {len(names)} fields; its first field is: "),
+            F.coalesce(F.col("_row")[names[0]], F.lit("")),
+        )
+    )
+    fits = F.when(corrupt.isNotNull() & F.col("_many"), error).otherwise(F.col("_at") >= 0)
+    checked = parsed.where(fits)
+    blank = F.col("value") == ""
+    return checked.select(
+        *[
+            (F.when(~blank, F.col("_row")[n]) if single else F.col("_row")[n]).alias(n)
+            for n in names
+        ],
+        *[col(c) for c in records.columns if c != "value"],
     )
-    return not lines.where(quotes % 2 == 1).isEmpty()
 
 
 def text_rows(
@@ -160,7 +184,7 @@ def _window(
         leading = files.orderBy("path").limit(wanted).collect()
         chosen = [literal_path(file["path"]) for file in leading]
         size = sum(file["length"] for file in leading)
-        rows = rows_of(chosen)
+        rows = rows_of(chosen, max((file["length"] for file in leading), default=0))
         # more files only while those so far do not fill the window
         if len(chosen) >= there or rows.limit(limit).count() >= limit:
             break
@@ -194,8 +218,10 @@ def read_delimited(
     ``types`` is ``"infer"``, ``"string"`` or a type name per column.
     ``late`` says how values that contradict inferred types are found: ``"scan"``
     looks at all rows first, ``"fail"`` lets the job that reads them fail.
-    ``multiline`` allows line breaks inside quotes; by default it is used unless
-    the files are large and need none. ``charsets`` maps a charset to the paths
+    Quotes may hold line breaks, and files are split all the same: where files are large
+    enough for that, one pass over the lines finds the splits that begin inside quotes.
+    ``multiline=False`` spares it and takes each line for a record. The headers of all files
+    have to be the same. ``charsets`` maps a charset to the paths
     written in it (see ``sources.charset``) and replaces ``path``/``encoding``.
     """
     if late not in LATE_CHOICES or fallback not in FALLBACK_CHOICES:
@@ -206,35 +232,56 @@ def read_delimited(
     lead_charset = next(iter(groups))
     # listed once, for all that is asked about the files
     files = {c: list_files(spark, p, recursive) for c, p in groups.items()}
-    spanning = dict.fromkeys(groups, multiline)
-    if multiline is None:
-        spanning = {
-            c: _needs_multiline(spark, paths, files[c], c, recursive)
-            for c, paths in groups.items()
-        }
-    header = _header(spark, files[lead_charset], separator, lead_charset)
-
-    def rows_of(charset, paths, deep, order):
-        reader = _reader(spark, separator, spanning[charset], charset, deep)
-        return text_rows(reader, paths, header, separator, order)
-
-    rows = reduce(
-        DataFrame.unionByName,
-        [rows_of(c, paths, recursive, row_order) for c, paths in groups.items()],
-    )
+    header, said = _header(spark, files[lead_charset], separator, lead_charset)
+    beginnings: dict[str | None, Beginnings] = {}
+
+    def find_beginnings() -> None:
+        for charset, paths in groups.items():
+            largest = files[charset].agg(F.max("length")).first()[0] or 0
+            if not is_wide(charset) and may_split(spark, largest):
+                lines = text_lines(spark, paths, charset, recursive)
+                beginnings[charset] = split_beginnings(lines, separator)
+
+    def rows_of(charset, paths, deep, order, known=None):
+        if is_wide(charset):
+            reader = _reader(spark, separator, True, charset, deep)
+            return text_rows(reader, paths, header, separator, order)
+        lines = text_lines(spark, paths, charset, deep)
+        records = text_records(lines, separator, said, multiline is not False, known, order)
+        return record_rows(records, header.names, separator)
+
+    def all_rows() -> DataFrame:
+        return reduce(
+            DataFrame.unionByName,
+            [
+                rows_of(c, paths, recursive, row_order, beginnings.get(c))
+                for c, paths in groups.items()
+            ],
+        )
+
+    if multiline is not False:
+        find_beginnings()
     if types == "string":
-        return rows
+        return all_rows()
     if isinstance(types, dict):
-        return apply_types(fail_on_late(rows, types), types)
-    inferred = infer_types(
-        _window(
-            spark,
-            files[lead_charset],
-            lambda paths: rows_of(lead_charset, paths, False, True),
-            not spanning[lead_charset],
-            typing_rows,
-        )
-    )
+        return apply_types(fail_on_late(all_rows(), types), types)
+
+    def leading(paths: list[str], largest: int) -> DataFrame:
+        """The rows of some files; of split ones those in front, if they are enough."""
+        if is_wide(lead_charset) or multiline is False or not may_split(spark, largest):
+            return rows_of(lead_charset, paths, False, True)
+        lines = text_lines(spark, paths, lead_charset, False)
+        first = text_records(lines.where("block = 0"), separator, said, row_order=True, cut=True)
+        rows = record_rows(first, header.names, separator)
+        if rows.limit(typing_rows).count() >= typing_rows:
+            return rows
+        known = split_beginnings(lines, separator)
+        return rows_of(lead_charset, paths, False, True, known)
+
+    splittable = not is_wide(lead_charset)
+    window = _window(spark, files[lead_charset], leading, splittable, typing_rows)
+    inferred = infer_types(window)
+    rows = all_rows()
     if late == "fail":
         return apply_types(fail_on_late(rows, inferred), inferred)
     misfits = late_columns(rows, inferred)

@@ -28,9 +28,9 @@ def literal_path(path: str) -> str:
     return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
 
 
-def split_bytes(spark: SparkSession) -> int:
-    """Largest piece of a file Spark gives to one task."""
-    text = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
+def split_bytes(spark: SparkSession, size: str | None = None) -> int:
+    """Largest piece of a file Spark gives to one task; or another size in bytes."""
+    text = (size or spark.conf.get("spark.sql.files.maxPartitionBytes")).lower().rstrip("b")
     units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
     return int(text) if text.isdigit() else int(text[:-1]) * units[text[-1]]
 
