@@ -342,9 +342,75 @@ def q_charset_census(spark, sf_dir):
     return census.select("utf8", possible, "charset", "ambiguous").distinct()
 
 
+def q_charset_census_files(spark, sf_dir):
+    """One verdict per file: the customers of each market segment are a file."""
+    folder = scratch_path(spark, "offices")
+    customers = _maltese(spark, sf_dir).join(
+        _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey"
+    )
+    segments = [r[0] for r in customers.select("c_mktsegment").distinct().collect()]
+    for segment in segments:
+        encoding = "ISO-8859-3" if len(segment) % 2 else None
+        rows = customers.where(F.col("c_mktsegment") == segment)
+        tc.write_table(rows, f"{folder}/{segment}.csv", single_file=True, encoding=encoding)
+    census = charset_census(spark, f"{folder}/*.csv", ["US-ASCII", "ISO-8859-3", "ISO-8859-1"])
+    return census.select(
+        F.regexp_extract("path", r"([^/]+)\.csv/[^/]+$", 1).alias("segment"),
+        "utf8",
+        F.concat_ws(",", "possible").alias("possible"),
+        "charset",
+        "ambiguous",
+        "undecodable",
+    )
+
+
+def q_csv_one_column(spark, sf_dir):
+    """One column with nulls, which are blank lines."""
+    customer = _table(spark, sf_dir, "customer")
+    value = F.when(F.col("c_custkey") % 3 != 0, F.col("c_name"))
+    value = F.when(F.col("c_custkey") % 7 == 0, F.lit("")).otherwise(value)
+    return _through(spark, customer.select(value.alias("note")), "csv")
+
+
+def q_csv_splits(spark, sf_dir):
+    """Whole documents as CSV in splits far smaller than a file: records go over them."""
+    path = f"{scratch_path(spark, 'splits')}.csv"
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    tc.write_table(documents, path, single_file=True)
+    settings = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {s: spark.conf.get(s) for s in settings}
+    try:
+        for setting in settings:
+            spark.conf.set(setting, "256k")
+        # splits are fixed when the table is read
+        rows = tc.read_table(spark, path)
+        found = f"{scratch_path(spark, 'splits')}.parquet"
+        tc.write_table(rows, found)
+    finally:
+        for setting, value in before.items():
+            spark.conf.set(setting, value)
+    return tc.read_table(spark, found)
+
+
 # --- recipes ------------------------------------------------------------------
 
 
+def q_recipe_refused(spark, sf_dir):
+    """A recipe whose last step does not fit leaves the destination as it was."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    source, destination = (f"{scratch_path(spark, 'refused')}.parquet" for _ in range(2))
+    tc.write_table(_table(spark, sf_dir, "orders"), source)
+    tc.write_table(orders, destination)
+    recipe = '''remove_columns(columns=["o_custkey"])
+trim_collapse(columns=["o_custkey"])'''
+    try:
+        tc.run_recipe(spark, recipe, source, destination)
+    except ValueError as refused:
+        rows = tc.read_table(spark, destination)
+        return rows.withColumn("refused", F.lit(str(refused)).contains("step 2"))
+    raise AssertionError("the recipe was not refused")
+
+
 def q_recipe(spark, sf_dir):
     return tc.clean(_signups(spark, sf_dir), FLAGSHIP_RECIPE)
 
@@ -439,6 +505,10 @@ _QUERIES = [
     q_charset,
     q_charset_mixed,
     q_charset_census,
+    q_charset_census_files,
+    q_csv_one_column,
+    q_csv_splits,
+    q_recipe_refused,
     q_recipe,
     q_recipe_prefix,
     q_recipe_files,
@@ -562,6 +632,18 @@ def oracle_sql() -> dict[str, str]:
             union
             select false, 'ISO-8859-3,ISO-8859-1', 'ISO-8859-3', true
                 from customer where c_custkey % 2 = 1""",
+        "q_charset_census_files": """
+            select distinct c_mktsegment as segment, length(c_mktsegment) % 2 = 0 as utf8,
+                case length(c_mktsegment) % 2 when 0 then '' else 'ISO-8859-3,ISO-8859-1' end
+                    as possible,
+                case length(c_mktsegment) % 2 when 0 then 'UTF-8' else 'ISO-8859-3' end as charset,
+                length(c_mktsegment) % 2 = 1 as ambiguous, false as undecodable
+            from customer""",
+        "q_csv_one_column": """
+            select case when c_custkey % 7 = 0 then ''
+                when c_custkey % 3 <> 0 then c_name end as note from customer""",
+        "q_csv_splits": "select doc_id, text, lang from documents",
+        "q_recipe_refused": "select o_orderkey, o_orderstatus, true as refused from orders",
         "q_recipe": f"""select o_orderkey, signed_up, split_part(c_name, '#', 1) as kind,
             split_part(c_name, '#', 2) as code from ({_SIGNUPS})""",
         "q_recipe_prefix": f"""select o_orderkey, replace(c_name, '#', ' ') as full_name,

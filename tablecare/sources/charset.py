@@ -5,18 +5,19 @@ candidate charsets could have produced them. Charsets are never guessed from
 letter statistics: short files decode "successfully" under several charsets, and
 the census says so instead of picking one silently.
 
-Lines are tested, not whole files, so a large file is spread over many tasks.
-This is safe: in UTF-8 and in the single-byte and East Asian charsets the byte
+Files are read once, in splits, so a large file is spread over many tasks; what these say
+of its lines is put together by file. This is safe: in UTF-8 and in the single-byte and East Asian charsets the byte
 0x0A is always a line break. UTF-16 is recognised by its byte order mark.
 """
 
 from __future__ import annotations
 
 import codecs
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from urllib.parse import unquote
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,9 @@ _PYTHON_CODECS = {
 }
 
 
+_VERDICT = ("path", "utf8", "marked", "zeros", "fitting")
+
+
 def allow_charset(spark: SparkSession, charset: str | None) -> None:
     """Let Spark read a charset beyond its standard ones."""
     if charset and charset.upper() not in _STANDARD:
@@ -76,30 +80,38 @@ def transcode_lines(spark: SparkSession, paths: list[str], charset: str) -> str:
     return folder
 
 
-def _bytes(hexadecimal: str) -> Column:
-    return F.unhex(F.lit(hexadecimal))
-
-
-def _decodes(candidates: Sequence[str]):
+def _verdicts(candidates: Sequence[str]):
+    """What the lines of each file in a batch say: whether they are UTF-8, begin with a
+    byte order mark, hold zero bytes, and which candidates decode all of them."""
     codec_names = [_PYTHON_CODECS.get(c, c) for c in candidates]
     for name in codec_names:
         codecs.lookup(name)  # an unknown charset fails here, not in a task
 
-    def strictly(line: bytes) -> list[bool]:
-        verdicts = []
-        for name in codec_names:
-            try:
-                line.decode(name)
-                verdicts.append(True)
-            except UnicodeDecodeError:
-                verdicts.append(False)
-        return verdicts
-
-    @F.pandas_udf("array<boolean>")
-    def decodes(lines: pd.Series) -> pd.Series:
-        return lines.map(strictly)
-
-    return decodes
+    def decodes(text: bytes, name: str) -> bool:
+        try:
+            text.decode(name)
+        except UnicodeDecodeError:
+            return False
+        return True
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: dict[str, list] = {name: [] for name in _VERDICT}
+        for batch in batches:
+            path = batch.column("path").dictionary_encode()
+            for number, file in enumerate(path.dictionary.to_pylist()):
+                own = batch.filter(pc.equal(path.indices, number))
+                # in one piece: 0x0A is a line break in all charsets that are tested
+                odd = b"\n".join(own.column("odd").drop_null().to_pylist())
+                told["path"].append(file)
+                told["utf8"].append(pc.all(own.column("valid")).as_py())
+                told["marked"].append(pc.any(own.column("marked")).as_py())
+                told["zeros"].append(pc.any(own.column("zeros")).as_py())
+                told["fitting"].append([decodes(odd, name) for name in codec_names])
+        types = [pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.bool_())]
+        columns = [pa.array(told[n], t) for n, t in zip(_VERDICT, types, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, names=list(_VERDICT))
+
+    return look
 
 
 def charset_census(
@@ -121,40 +133,34 @@ def charset_census(
     reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
+    line = F.col("value").cast("binary")
+
+    def holds(hexadecimal: str, test=F.contains) -> Column:
+        return test(line, F.unhex(F.lit(hexadecimal)))
+
+    at_start = F.col("_metadata.file_block_start") == 0
+    # every line whose meaning a charset could change
+    plain = F.decode(line, "ISO-8859-1").rlike(r"^[\x00-\x7f]*$")
     lines = reader.text(as_list(path)).select(
         F.col("_metadata.file_path").alias("path"),
-        (F.col("_metadata.file_block_start") == 0).alias("at_start"),
         F.is_valid_utf8("value").alias("valid"),
-        F.col("value").cast("binary").alias("line"),
+        (at_start & (holds("FFFE", F.startswith) | holds("FEFF", F.startswith))).alias("marked"),
+        holds("00").alias("zeros"),
+        F.when(~plain, line).alias("odd"),
     )
-
-    def marked(mark: str) -> Column:
-        return F.col("at_start") & F.startswith(F.col("line"), _bytes(mark))
-
-    files = lines.groupBy("path").agg(
-        (F.count_if(~F.col("valid")) == 0).alias("utf8"),
-        F.bool_or(marked("FFFE") | marked("FEFF")).alias("marked"),
-        F.bool_or(F.contains(F.col("line"), _bytes("00"))).alias("zeros"),
+    schema = "path string, utf8 boolean, marked boolean, zeros boolean, fitting array<boolean>"
+    told = lines.mapInArrow(_verdicts(candidates), schema)
+    fitting = [
+        F.when(F.bool_and(F.get("fitting", F.lit(i))), F.lit(c)) for i, c in enumerate(candidates)
+    ]
+    possible = F.array_compact(F.array(*fitting)) if candidates else F.array()
+    files = told.groupBy("path").agg(
+        F.bool_and("utf8").alias("utf8"),
+        F.bool_or("marked").alias("marked"),
+        F.bool_or("zeros").alias("zeros"),
+        possible.cast("array<string>").alias("fitting"),
     )
-    possible = F.array().cast("array<string>")
-    if candidates:
-        # every line a charset could change the meaning of
-        ascii_only = F.decode("line", "ISO-8859-1").rlike(r"^[\x00-\x7f]*$")
-        tested = lines.where(~ascii_only).select(
-            "path", _decodes(candidates)("line").alias("ok")
-        )
-        verdicts = tested.groupBy("path").agg(
-            F.array_compact(
-                F.array(
-                    *[
-                        F.when(F.bool_and(F.col("ok")[i]), F.lit(c))
-                        for i, c in enumerate(candidates)
-                    ]
-                )
-            ).alias("fitting")
-        )
-        files = files.join(verdicts, "path", "left")
-        possible = F.coalesce(F.col("fitting"), possible)
+    possible = F.col("fitting")
     none = F.array().cast("array<string>")
     utf16 = ~F.col("utf8") & F.col("marked") & F.col("zeros")
     known = F
