@@ -8,8 +8,6 @@ import pytest
 from tablecare import format_of, read_table, write_table
 from tablecare.functions.columns import ROW_ORDER, visible
 from tablecare.sinks.table import default_destination
-from tablecare.sources import delimited
-from tablecare.sources.files import list_files
 from tests.test_recipe import STAFF, STAFF_SCHEMA
 
 
