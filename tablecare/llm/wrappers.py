@@ -14,8 +14,9 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,13 +29,15 @@ from tablecare.session import configure
 SLOT = "#"
 #: wrappers of one host that are aligned by one task
 _ALIGNED = 200
-#: the longest stream kept as a page's own expression; longer ones keep their start
-#: tags only once
+#: elements nested deeper share the path of this many
+_DEPTH = 400
+#: the longest group that ``fold`` finds, in items
+_GROUP = 12
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
-    re.S,
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S
 )
+#: a tag's attributes; a quote counts after an equals sign only
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|(?![\"'])))*+")
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _ATTRIBUTE = re.compile(r"(?<![^\s\"'/])([^\s\"'=<>/]++)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
@@ -64,9 +67,11 @@ _SCOPES = {"table", "ul", "ol", "dl", "td", "th", "div", "article", "section", "
 
 # Elements, roles and words that name what is not the article.
 _CHROME = set(
-    "head nav footer aside form script style noscript template iframe svg select button input "
-    "textarea dialog menu object embed canvas audio video datalist fieldset title".split()
+    "head nav footer aside script style noscript template iframe svg select button input "
+    "textarea dialog menu object embed canvas audio video datalist title".split()
 )
+#: chrome, unless they hold the article
+_HOLDERS = {"form", "fieldset"}
 _CHROME_ROLES = set(
     "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar "
     "toolbar form status".split()
@@ -81,6 +86,8 @@ _CHROME_WORDS = set(
     "toolbar topbar tags tagcloud warning widget widgets".split()
 )
 _MAIN_WORDS = set("article content post entry story main body text".split())
+#: of those, the words of reader comments
+_READER_WORDS = set("comment comments commentlist disqus reply replies respond feedback".split())
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
@@ -94,40 +101,161 @@ class Block:
         self.chrome, self.main = chrome, main
 
 
-def _element(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """The element's name for paths, is it chrome, and does it name the article."""
-    chrome, main, label = name in _CHROME, name in ("article", "main"), name
-    if attributes:
-        found = {
-            k.lower(): entities.unescape(a or b or c)
-            for k, a, b, c in _ATTRIBUTE.findall(attributes)
-        }
-        kinds = " ".join(found.get(k, "") for k in ("class", "id"))
-        words = {w.lower() for w in _WORDS.findall(kinds)}
-        if name not in ("html", "body", "article", "main"):
-            chrome |= bool(words & _CHROME_WORDS)
-        role = found.get("role", "").lower()
-        chrome |= role in _CHROME_ROLES or found.get("aria-hidden", "").lower() == "true"
-        style = found.get("style", "").replace(" ", "").lower()
-        chrome |= "display:none" in style or bool(
-            re.search(r"(?:^|\s)hidden(?:\s|=|$)", _QUOTED.sub("''", attributes))
-        )
-        main |= role in ("main", "article") or found.get("itemprop", "") == "articleBody"
-        main |= not chrome and name in ("div", "section") and bool(words & _MAIN_WORDS)
-        if kinds.strip() and name not in ("html", "body"):
-            label = f"{name}.{'.'.join(sorted(set(re.sub('[0-9]+', '0', kinds).split())))}"
-    elif re.fullmatch(r"header", name):
-        chrome = False
-    return label, chrome, main
+class _Kind:
+    """What an element's name and attributes say of it."""
+
+    __slots__ = ("label", "chrome", "holder", "reader", "main", "strict")
+
+    def __init__(self, name: str):
+        self.label = name
+        #: surely chrome; chrome unless it holds the article; and for readers' comments
+        self.chrome, self.holder, self.reader = name in _CHROME, name in _HOLDERS, False
+        #: does it name the article, and by more than a word of a class
+        self.main = self.strict = name in ("article", "main")
+
+
+def _element(name: str, attributes: str) -> _Kind:
+    """A class or id that is a chrome word (``sidebar``) makes an element chrome. One
+    that only contains such a word (``has-sidebar``, ``site-footer``), or stands
+    beside a class of article words (``post comments``), leaves it open."""
+    kind = _Kind(name)
+    if not attributes:
+        return kind
+    found = {
+        k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)
+    }
+    classes = " ".join(found.get(k, "") for k in ("class", "id")).split()
+    parts = [{w.lower() for w in _WORDS.findall(c)} for c in classes]
+    words = set().union(*parts)
+    if name not in ("html", "body", "article", "main") and words & _CHROME_WORDS:
+        named = any(p and p <= _MAIN_WORDS for p in parts)
+        kind.holder = True
+        kind.chrome |= not named and any(len(p) == 1 and p <= _CHROME_WORDS for p in parts)
+        kind.reader = not named and bool(words & _READER_WORDS)
+    role = found.get("role", "").lower()
+    kind.chrome |= role in _CHROME_ROLES or found.get("aria-hidden", "").lower() == "true"
+    style = found.get("style", "").replace(" ", "").lower()
+    kind.chrome |= "display:none" in style or bool(
+        re.search(r"(?:^|\s)hidden(?:\s|=|$)", _QUOTED.sub("''", attributes))
+    )
+    kind.strict |= role in ("main", "article") or found.get("itemprop", "") == "articleBody"
+    kind.main = kind.strict
+    kind.main |= not kind.chrome and name in ("div", "section") and bool(words & _MAIN_WORDS)
+    if classes and name not in ("html", "body"):
+        shown = {re.sub("[0-9]+", "0", c).replace("/", "|") for c in classes}
+        kind.label = f"{name}.{'.'.join(sorted(shown))}"
+    return kind
+
+
+class _Frame:
+    """An open element, with what holds for all that is open down to it."""
+
+    __slots__ = ("name", "label", "path", "chrome", "main", "holder", "mark")
+
+    def __init__(self, name: str, kind: _Kind, above: _Frame | None):
+        self.name, self.label = name, kind.label
+        self.path = above.path if above else ()
+        self.chrome = kind.chrome or above is not None and above.chrome
+        self.main = above.main if above else 0
+        #: numbers of the innermost holder and of the innermost element that names the article
+        self.holder, self.mark = (above.holder, above.mark) if above else (-1, -1)
+        if name in _INLINE:
+            self.chrome |= kind.holder
+            return
+        if len(self.path) < _DEPTH:
+            self.path = (*self.path, kind.label)
+        # a header is the site's unless it stands in the article
+        self.chrome |= name == "header" and not self.main
+        if kind.main:
+            self.main = len(self.path)
+
+
+class _Holders:
+    """Elements that are chrome unless they hold the article of the page.
+
+    The article is the heaviest element that names one and stands in holders, none of
+    them for readers' comments, if it outweighs all that stands in no chrome at all (twice
+    if a class only names it, four times if something there is named an article). But a
+    holder of two blocks or more that outweighs both four times is the article.
+    """
+
+    def __init__(self) -> None:
+        self.above: list[int] = []
+        self.reader: list[bool] = []
+        #: of elements that name the article: the one above, their holder, by more than a class
+        self.marks: list[tuple[int, int, bool]] = []
+
+    def enter(self, frame: _Frame, kind: _Kind) -> None:
+        if kind.holder and not kind.chrome:
+            self.above.append(frame.holder)
+            self.reader.append(kind.reader or frame.holder >= 0 and self.reader[frame.holder])
+            frame.holder = len(self.above) - 1
+        if kind.main:
+            self.marks.append((frame.mark, frame.holder, kind.strict))
+            frame.mark = len(self.marks) - 1
+
+    def of_article(self, blocks: list[tuple[Block, int, int]]) -> set[int]:
+        """The holders of the article, from blocks in no sure chrome with their
+        innermost holder and naming element."""
+        if all(holder < 0 for _, holder, _ in blocks):
+            return set()
+        outside = marked = 0
+        held = [0] * len(self.marks)
+        loose: Counter[int] = Counter()
+        members: Counter[int] = Counter()
+        for block, holder, mark in blocks:
+            worth = len(block.text) - 3 * block.linked
+            if holder < 0:
+                outside += max(worth, 0)
+                marked += max(worth, 0) * (mark >= 0)
+                continue
+            loose[holder] += worth
+            members[holder] += 1
+            if mark >= 0 and self.marks[mark][1] == holder:
+                held[mark] += worth
+        for number in range(len(self.marks) - 1, -1, -1):
+            above, holder, _ = self.marks[number]
+            if above >= 0 and self.marks[above][1] == holder:
+                held[above] += held[number]
+        found, most = -1, 0
+        for number, (_, holder, strict) in enumerate(self.marks):
+            if holder < 0 or self.reader[holder]:
+                continue
+            needed = outside * (4 if marked else 1 if strict else 2)
+            if held[number] > max(needed, most):
+                found, most = holder, held[number]
+        most = 4 * max(outside, most)
+        for holder, worth in sorted(loose.items()):
+            if not self.reader[holder] and members[holder] > 1 and worth > most:
+                found, most = holder, worth
+        chosen: set[int] = set()
+        while found >= 0:
+            chosen.add(found)
+            found = self.above[found]
+        return chosen
+
+
+def _attributes_end(page: str, at: int) -> tuple[int, int]:
+    """Where the attributes of a tag end, and where the tag does. One whose quote is never
+    closed ends at the next ``>``, or else with the page."""
+    end = _REST.match(page, at).end()
+    if end < len(page) and page[end] != ">":
+        close = page.find(">", end)
+        return end, close + 1 if close >= 0 else len(page)
+    return end, min(end + 1, len(page))
 
 
 def read_page(page: str | None) -> tuple[list[str], list[Block]]:
-    """A page's stream of block tags and slots, and its blocks of text."""
+    """A page's stream of block tags and slots, and its blocks of text. Takes time in
+    proportion to the page, whatever its markup."""
     page = page or ""
     tokens: list[str] = []
     blocks: list[Block] = []
-    #: (name, label, chrome, main)
-    stack: list[tuple[str, str, bool, bool]] = []
+    #: blocks in no sure chrome, their innermost holder and naming element
+    doubtful: list[tuple[Block, int, int]] = []
+    stack: list[_Frame] = []
+    opened: Counter[str] = Counter()
+    holders = _Holders()
     parts: list[str] = []
     linked = links = 0
 
@@ -137,29 +265,26 @@ def read_page(page: str | None) -> tuple[list[str], list[Block]]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                path, chrome, main = [], False, 0
-                for depth, (name, label, is_chrome, is_main) in enumerate(stack):
-                    if name in _INLINE:
-                        if is_chrome:
-                            chrome = True
-                        continue
-                    path.append(label)
-                    # a header is the site's unless it stands in the article
-                    chrome |= is_chrome or (name == "header" and not main)
-                    if is_main:
-                        main = len(path)
-                blocks.append(Block(tuple(path), text, linked, chrome, main))
+                top = stack[-1] if stack else None
+                if top is None:
+                    blocks.append(Block((), text, linked, False, 0))
+                    doubtful.append((blocks[-1], -1, -1))
+                else:
+                    blocks.append(Block(top.path, text, linked, top.chrome, top.main))
+                    if not top.chrome:
+                        doubtful.append((blocks[-1], top.holder, top.mark))
                 tokens.append(SLOT)
         linked = 0
 
     def pop_to(at: int) -> None:
         nonlocal links
         while len(stack) > at:
-            if stack[-1][0] == "a":
+            frame = stack.pop()
+            opened[frame.name] -= 1
+            if frame.name == "a":
                 links -= 1
-            if stack[-1][0] not in _INLINE:
-                tokens.append("/" + stack[-1][1])
-            stack.pop()
+            if frame.name not in _INLINE:
+                tokens.append("/" + frame.label)
 
     def text_of(raw: str) -> None:
         nonlocal linked
@@ -170,9 +295,10 @@ def read_page(page: str | None) -> tuple[list[str], list[Block]]:
                 linked += len(text)
 
     at, end = 0, len(page)
+    last = page.rfind(">")
     while at < end:
         found = _TOKEN.search(page, at)
-        if not found:
+        if not found or found[2] and found.start() > last:
             text_of(page[at:])
             break
         text_of(page[at : found.start()])
@@ -180,17 +306,21 @@ def read_page(page: str | None) -> tuple[list[str], list[Block]]:
         name = (found[2] or "").lower()
         if not name:
             continue
+        stop, after = _attributes_end(page, at)
+        attributes, at = page[at:stop], after
         if found[1]:
             if name == "br":
                 parts.append(" ")
                 continue
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if place is None:
+            if not opened[name]:
                 continue
+            place = len(stack) - 1
+            while stack[place].name != name and (name not in _INLINE or stack[place].name in _INLINE):
+                place -= 1
             if name not in _INLINE:
                 close_block()
                 pop_to(place)
-            elif all(s[0] in _INLINE for s in stack[place:]):
+            elif stack[place].name == name:
                 pop_to(place)
             continue
         if name == "br":
@@ -202,30 +332,33 @@ def read_page(page: str | None) -> tuple[list[str], list[Block]]:
             if name not in _INLINE:
                 tokens.append(name)
             continue
-        label, chrome, main = _element(name, found[3])
+        kind = _element(name, attributes)
         if name not in _INLINE:
             close_block()
             for i in range(len(stack) - 1, -1, -1):
-                if name in _CLOSED_BY.get(stack[i][0], ()):
+                if name in _CLOSED_BY.get(stack[i].name, ()):
                     pop_to(i)
                     break
-                if stack[i][0] in _SCOPES:
+                if stack[i].name in _SCOPES:
                     break
             # formatting left open ends with its block
-            while stack and stack[-1][0] in _INLINE:
-                if stack[-1][0] == "a":
-                    links -= 1
-                stack.pop()
-            tokens.append(label)
-        if name in _VOID or found[3].endswith("/") and name not in _INLINE:
+            while stack and stack[-1].name in _INLINE:
+                pop_to(len(stack) - 1)
+            tokens.append(kind.label)
+        if name in _VOID or attributes.endswith("/") and name not in _INLINE:
             continue
-        stack.append((name, label, chrome, main))
+        frame = _Frame(name, kind, stack[-1] if stack else None)
+        if name not in _INLINE:
+            holders.enter(frame, kind)
+        stack.append(frame)
+        opened[name] += 1
         if name == "a":
             links += 1
-        if len(stack) > 400:  # only nesting beyond any page's own design
-            pop_to(399)
     close_block()
     pop_to(0)
+    chosen = holders.of_article(doubtful)
+    for block, holder, _ in doubtful:
+        block.chrome = holder >= 0 and holder not in chosen
     return tokens, blocks
 
 
@@ -235,15 +368,17 @@ def read_page(page: str | None) -> tuple[list[str], list[Block]]:
 
 def fold(items: list) -> list:
     """Repeats that follow each other become groups, the shortest first."""
-    for width in (1, 2, 3, 4, 6, 8, 12):
+    for width in range(1, _GROUP + 1):
         out: list = []
         at = 0
         while at < len(items):
-            unit = items[at : at + width]
             n = 1
-            if _balanced(unit):
-                while items[at + n * width : at + (n + 1) * width] == unit:
-                    n += 1
+            if at + width < len(items) and items[at] == items[at + width]:
+                unit = items[at : at + width]
+                if items[at + width : at + 2 * width] == unit and _balanced(unit):
+                    n = 2
+                    while items[at + n * width : at + (n + 1) * width] == unit:
+                        n += 1
             if n > 1:
                 inner = unit[0][1] if width == 1 and unit[0][0] == "+" else unit
                 out.append(["+", inner])
@@ -274,36 +409,125 @@ def _bare(item: object) -> object:
     return item[1] if isinstance(item, list) and item[0] == "?" else [item]
 
 
+def _coded(*sides: Iterable[str]) -> list[str]:
+    """Each list of keys as a string of one character a key."""
+    codes: dict[str, str] = {}
+    return ["".join(codes.setdefault(k, chr(1 + len(codes) % 0x10FFFF)) for k in side) for side in sides]
+
+
+def _anchors(a: str, b: str) -> list[tuple[int, int]]:
+    """Places of equal items in both, rising in both: first those in longer stretches
+    that each side has once, then what surrounds them, and between them those in
+    shorter ones. Takes time in proportion to the lengths."""
+    pairs: list[tuple[int, int]] = []
+
+    def grow(i: int, j: int, k: int, m: int) -> tuple[int, int]:
+        """Equal items from the start of both ranges."""
+        while i < j and k < m and a[i] == b[k]:
+            pairs.append((i, k))
+            i, k = i + 1, k + 1
+        return i, k
+
+    def gap(i: int, j: int, k: int, m: int, width: int) -> None:
+        i, k = grow(i, j, k, m)
+        ends = []
+        while i < j and k < m and a[j - 1] == b[m - 1]:
+            j, m = j - 1, m - 1
+            ends.append((j, m))
+        while i < j and k < m and width:
+            at = _once(a, i, j, k, m, b, width)
+            if at:
+                for x, y in at:
+                    if x >= i and y >= k:
+                        gap(i, x, k, y, width // 2)
+                        i, k = grow(x, j, y, m)
+                gap(i, j, k, m, width // 2)
+                break
+            width //= 2
+        pairs.extend(ends)
+
+    gap(0, len(a), 0, len(b), 16)
+    return sorted(pairs)
+
+
+def _once(a: str, i: int, j: int, k: int, m: int, b: str, width: int) -> list[tuple[int, int]]:
+    """Stretches of so many items that each range has exactly once, in the longest
+    order that rises in both."""
+    left = Counter(a[x : x + width] for x in range(i, j - width + 1))
+    right = Counter(b[y : y + width] for y in range(k, m - width + 1))
+    places = {
+        b[y : y + width]: y for y in range(k, m - width + 1) if right[b[y : y + width]] == 1
+    }
+    both = [
+        (x, places[a[x : x + width]])
+        for x in range(i, j - width + 1)
+        if left[a[x : x + width]] == 1 and a[x : x + width] in places
+    ]
+    tails: list[int] = []
+    ending: list[int] = []
+    before: list[int] = []
+    for number, (_, y) in enumerate(both):
+        at = bisect_left(tails, y)
+        tails[at : at + 1] = [y]
+        ending[at : at + 1] = [number]
+        before.append(ending[at - 1] if at else -1)
+    rising: list[tuple[int, int]] = []
+    number = ending[-1] if ending else -1
+    while number >= 0:
+        rising.append(both[number])
+        number = before[number]
+    return rising[::-1]
+
+
 def align(left: list, right: list) -> list:
     """The expression that covers what both cover."""
     if left == right:
         return left
     left_optional = [isinstance(i, list) and i[0] == "?" for i in left]
     right_optional = [isinstance(i, list) and i[0] == "?" for i in right]
-    a = [_key(i[1] if o else [i]) if o else _key([i]) for i, o in zip(left, left_optional, strict=True)]
-    b = [_key(i[1] if o else [i]) if o else _key([i]) for i, o in zip(right, right_optional, strict=True)]
+    a, b = _coded((_key(_bare(i)) for i in left), (_key(_bare(i)) for i in right))
     out: list = []
-    for kind, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if kind == "equal":
-            for x, y in zip(range(i, j), range(k, m), strict=True):
-                optional = left_optional[x] or right_optional[y]
-                out.append(["?", _bare(left[x])] if optional else left[x])
-        else:
-            out += _resolve(left[i:j], right[k:m])
+    i = k = 0
+    for x, y in [*_anchors(a, b), (len(left), len(right))]:
+        out += _resolve(left[i:x], right[k:y])
+        if x < len(left):
+            optional = left_optional[x] or right_optional[y]
+            out.append(["?", _bare(left[x])] if optional else left[x])
+        i, k = x + 1, y + 1
     return out
 
 
-def _resolve(left: list, right: list) -> list:
-    """A mismatch: a group on one side that the other has once, or else options."""
-    for group_side, plain in ((left, right), (right, left)):
-        for at, item in enumerate(group_side):
-            if isinstance(item, list) and item[0] == "+":
-                inner, size = item[1], len(item[1])
-                for start in range(len(plain) - size + 1):
-                    if plain[start : start + size] == inner:
-                        before = _resolve(group_side[:at], plain[:start])
-                        after = _resolve(group_side[at + 1 :], plain[start + size :])
-                        return [*before, item, *after]
+def _resolve(left: list, right: list, again: bool = True) -> list:
+    """A mismatch: groups on one side that the other has once, or else options."""
+    for groups, plain in ((left, right), (right, left)):
+        parts = _with_groups(groups, plain)
+        if len(parts) > 1:
+            out: list = []
+            for before, other, item in parts:
+                # what lies between may hold groups of the other side
+                out += _resolve(before, other, False) if again else _options(before, other)
+                out += item
+            return out
+    return _options(left, right)
+
+
+def _with_groups(groups: list, plain: list) -> list[tuple[list, list, list]]:
+    """Groups of one side that the other has unrepeated, in order, each with what
+    lies before it on both sides; last what follows them."""
+    inner = [(at, g) for at, g in enumerate(groups) if isinstance(g, list) and g[0] == "+"]
+    parts = []
+    start = cursor = 0
+    if inner and plain:
+        text, *coded = _coded(map(_key, plain), *(map(_key, g[1]) for _, g in inner))
+        for (at, group), code in zip(inner, coded, strict=True):
+            place = text.find(code, cursor)
+            if place >= 0 and plain[place : place + len(code)] == group[1]:
+                parts.append((groups[start:at], plain[cursor:place], [group]))
+                start, cursor = at + 1, place + len(code)
+    return [*parts, (groups[start:], plain[cursor:], [])]
+
+
+def _options(left: list, right: list) -> list:
     return [
         item if isinstance(item, list) and item[0] == "?" else ["?", [item]]
         for item in [*left, *right]
@@ -341,32 +565,6 @@ def slots(wrapper: list) -> dict[str, str]:
     return found
 
 
-def main_region(wrapper: list, seen: list[dict]) -> str:
-    """The path below which the article lies, from the slots of the wrapper and what
-    was ``seen`` in them (what: the path, chars, linked, main, chrome) over all pages of
-    the host. Blocks of one path can differ in chrome and main: all entries count."""
-    kinds = slots(wrapper)
-    named: dict[str, float] = {}
-    weight: dict[str, float] = {}
-    for slot in seen:
-        if slot["chrome"]:
-            continue
-        path = slot["what"]
-        value = slot["chars"] - 3 * slot["linked"]
-        # slots of a repeated group carry an article, a single one seldom does
-        value *= 1.0 if kinds.get(path, "repeat") == "repeat" else 0.5
-        if slot["main"]:
-            region = "/".join(path.split("/")[: slot["main"]])
-            named[region] = named.get(region, 0) + value
-        region = path.rpartition("/")[0]
-        weight[region] = weight.get(region, 0) + value
-    for choice in (named, weight):
-        choice = {r: v for r, v in choice.items() if v > 0}
-        if choice:
-            return min(choice, key=lambda r: (-choice[r], r))
-    return ""
-
-
 def article(blocks: list[Block], region: str) -> str:
     """The text of the blocks in the region, or where the page has none of it, in
     the page's own named or else heaviest part."""
@@ -403,7 +601,7 @@ def infer_wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
     Pages with one expression are counted in the tasks before anything is shuffled,
     so that the hot host sends what it has of different ones. They are aligned in
-    groups of bounded size, and the results once more.
+    groups of bounded size, and the results again until each host has one.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -426,29 +624,57 @@ def infer_wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
     schema = "host string, what string, chrome boolean, main int, pages long, chars long, linked long"
     found = pages.mapInPandas(read, schema).groupBy("host", "what", "chrome", "main")
     found = scratch.keep(found.agg(*(F.sum(c).alias(c) for c in ("pages", "chars", "linked"))))
-    streams = found.where("main is null").select("host", "what")
-    counts = streams.groupBy("host").agg(F.ceil(F.count("*") / _ALIGNED).alias("groups"))
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         # in an order that does not depend on the partitions
         expressions = [json.loads(e) for e in sorted(rows["what"], key=lambda e: (len(e), e))]
         return pd.DataFrame({"host": [rows["host"].iloc[0]], "what": [json.dumps(infer(expressions))]})
 
-    dealt = streams.join(counts, "host").withColumn("group", F.pmod(F.xxhash64("what"), F.col("groups")))
-    partial = grouped(dealt, ["host", "group"], merge, "host string, what string")
-    wrappers = grouped(partial, ["host"], merge, "host string, what string")
-    stats = F.collect_list(F.struct("what", "chrome", "main", "chars", "linked")).alias("seen")
-    seen = found.where("main is not null").groupBy("host").agg(stats)
+    wrappers = found.where("main is null").select("host", "what")
+    groups = 2
+    while groups > 1:
+        counts = wrappers.groupBy("host").agg(F.ceil(F.count("*") / _ALIGNED).alias("groups"))
+        groups = counts.agg(F.max("groups")).first()[0] or 0
+        dealt = wrappers.join(counts, "host").withColumn("group", F.pmod(F.xxhash64("what"), "groups"))
+        wrappers = scratch.keep(grouped(dealt, ["host", "group"], merge, "host string, what string"))
+    regions = _regions(wrappers, found.where("main is not null and not chrome"))
+    return wrappers.withColumnRenamed("what", "wrapper").join(regions, "host", "left")
 
-    @F.pandas_udf("string")
-    def region(wrapper: pd.Series, seen: pd.Series) -> pd.Series:
-        out = []
-        for expression, entries in zip(wrapper, seen, strict=True):
-            out.append(main_region(json.loads(expression), entries if entries is not None else []))
-        return pd.Series(out)
-
-    chosen = wrappers.withColumnRenamed("what", "wrapper").join(seen, "host", "left")
-    return chosen.select("host", "wrapper", region("wrapper", "seen").alias("region"))
+
+def _regions(wrappers: DataFrame, seen: DataFrame) -> DataFrame:
+    """``host`` and ``region``, the path below which its article lies: the heaviest
+    element that names one, or else the heaviest parent of texts, ties to the
+    smaller path. Links weigh against it, and a slot that is no part of a repeated group
+    counts half, as articles seldom are one text. All entries of a path count."""
+
+    def kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (of, path, kind)
+                for of, wrapper in zip(batch["host"], batch["what"], strict=True)
+                for path, kind in slots(json.loads(wrapper)).items()
+            ]
+            yield pd.DataFrame(rows, columns=["host", "what", "kind"])
+
+    kind = wrappers.mapInPandas(kinds, "host string, what string, kind string")
+    worth = (F.col("chars") - 3 * F.col("linked")) * F.when(
+        F.coalesce("kind", F.lit("repeat")) == "repeat", 1.0
+    ).otherwise(0.5)
+    path = F.split("what", "/")
+
+    def region(depth: Column, unnamed: bool) -> Column:
+        part = F.array_join(F.slice(path, F.lit(1), depth), "/")
+        return F.struct(F.lit(unnamed).alias("unnamed"), part.alias("region"))
+
+    places = F.array(
+        F.when(F.col("main") > 0, region(F.col("main"), False)), region(F.size(path) - 1, True)
+    )
+    weighed = seen.join(kind, ["host", "what"], "left").select(
+        "host", worth.alias("worth"), F.explode(places).alias("at")
+    )
+    total = weighed.where("at is not null").groupBy("host", "at").agg(F.sum("worth").alias("worth"))
+    best = F.min(F.struct("at.unnamed", -F.col("worth"), "at.region")).alias("best")
+    return total.where("worth > 0").groupBy("host").agg(best).select("host", "best.region")
 
 
 #: bytes up to which the regions of all hosts are sent to every task

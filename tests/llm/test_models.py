@@ -1,6 +1,7 @@
 """Quality rules, wrappers, search and chat."""
 
 import hashlib
+import time
 
 import duckdb
 import numpy as np
@@ -13,7 +14,7 @@ from tablecare.llm import queries as llm
 from tablecare.llm.chat import ChatTemplate, chat_digests, written_chat
 from tablecare.llm.rules import fit_rules, learn_quality, score_quality
 from tablecare.llm.search import nearest_neighbours, traversal
-from tablecare.llm.wrappers import align, article, fold, infer, main_region, main_text, read_page, slots
+from tablecare.llm.wrappers import _ALIGNED, align, article, fold, infer, main_text, read_page, slots
 
 # --- queries with SQL -------------------------------------------------------------
 
@@ -114,13 +115,8 @@ def test_siblings_of_one_path(spark):
         f'<div role="main"><p>Article {i}, as long as it has to be.</div><div role="navigation"><p>Go</div>'
         f"<section><p>Notice</p></section>" for i in range(6)
     ]
-    wrapper = infer([fold(read_page(p)[0]) for p in pages])
-    entries = [
-        {"what": "/".join(b.path), "chrome": b.chrome, "main": b.main, "chars": len(b.text), "linked": b.linked}
-        for b in read_page(pages[0])[1]
-    ]
-    assert [(e["what"], e["chrome"]) for e in entries] == [("div/p", False), ("div/p", True), ("section/p", False)]
-    assert main_region(wrapper, entries) == main_region(wrapper, entries[::-1]) == "div"
+    seen = [("/".join(b.path), b.chrome) for b in read_page(pages[0])[1]]
+    assert seen == [("div/p", False), ("div/p", True), ("section/p", False)]
     rows = [(i, f"https://{h}.org/{i}", p) for h in "abcdefgh" for i, p in enumerate(pages)]
     found = main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {(r.page_id, r.text) for r in found} == {(i, f"Article {i}, as long as it has to be.") for i in range(6)}
@@ -134,6 +130,91 @@ def test_long_attributes(quote):
     assert [(b.text, b.path, b.chrome) for b in blocks] == [("menu", ("nav", "p"), True), ("before after", ("div",), False)]
 
 
+LAYOUTS = [
+    '<div class="layout has-sidebar"><article>{}</article></div>',
+    '<div class="entry-content share-enabled">{}</div>',
+    '<div class="post comments-open">{}</div>',
+    '<div class="ad-free story">{}</div>',
+    '<div id="search-results-article">{}</div>',
+    '<div class="widget-page">{}</div>',
+    '<form action="/x"><div class="w-1/2">{}</div></form>',
+    '<article><div class="no-sidebar">{}</div></article>',
+    "<div>" * 410 + "<nav><p>menu</p></nav>{}" + "</div>" * 410,
+]
+
+
+def test_layouts_named_like_chrome(spark):
+    """An ancestor whose name only contains a chrome word does not hide the article."""
+    texts = [f"Paragraph {i} of the article, with as many words in it as it needs." for i in range(5)]
+    around = (
+        '<body><ul class="main-nav"><li><a href="/">Home</a></ul>{}<div class="sidebar content">Read this</div>'
+        '<div id="comments"><div class="comment-list"><article class="comment-body"><p>'
+        + "I object. " * 200
+        + '</article></div></div><div class="related-posts"><article><p>More</article></div>'
+        '<div class="site-footer"><p>Imprint</p></div></body>'
+    )
+    rows = [
+        (n, f"https://h{n}.org/{i}", around.format(layout.format("".join(f"<p>{t}</p>" for t in texts))))
+        for n, layout in enumerate(LAYOUTS) for i in range(3)
+    ]
+    found = main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.text) for r in found} == {(n, "\n".join(texts)) for n in range(len(LAYOUTS))}
+
+
+def test_chrome_stays_chrome(spark):
+    rows = [
+        (0, "https://a.org/", '<div class="site-footer"><p>Imprint</p></div><div class="cookie-banner">Cookies</div>'),
+        (1, "https://b.org/", '<div class="comment-list"><article><p>' + "one " * 99 + "</p><p>two</article></div>"),
+        (2, "https://c.org/", '<article><p>short</p></article><div class="newsletter-content">Read our letter</div>'),
+    ]
+    found = main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {0: "", 1: "", 2: "short"}
+
+
+def test_odd_markup_takes_time_by_length():
+    start = time.process_time()
+    for part in ('<a "x ', '<a x="y ', '<a x="y >', "<a x='y \">", "<b><i>x</b>"):
+        read_page(part * (2_000_000 // len(part)))
+    assert time.process_time() - start < 60
+    assert [b.text for b in read_page('<p>one <a x="y>two</p><p>three')[1]] == ["one two", "three"]
+    assert [b.text for b in read_page("<p>1 <2 and a <b")[1]] == ["1 <2 and a <b"]
+    assert [b.text for b in read_page('<p title=">" \'>one')[1]] == ["one"]
+
+
+def test_groups_of_any_width():
+    for size in range(1, 5):
+        unit = [t for k in range(size) for t in (f"x{k}", "#", f"/x{k}")]
+        assert fold(["div", *unit * 4, "/div"]) == ["div", ["+", unit], "/div"]
+    assert fold(["div", *["x", "y", "/y", "#", "/x"] * 3, "/div"]) == ["div", ["+", ["x", "y", "/y", "#", "/x"]], "/div"]
+
+
+def test_long_pages_align():
+    rng = np.random.default_rng(0)
+    pages = [
+        "".join(f'<div class="{c}"><p>x</div>' for c in rng.choice(list("abcdefghijklmnopqrst"), 600)) for _ in range(2)
+    ]
+    one, two = (fold(read_page(p)[0]) for p in pages)
+    start = time.process_time()
+    wrapper = align(one, two)
+    assert time.process_time() - start < 1
+    assert len(wrapper) < 1.9 * len(one)
+    for page in (one, two):
+        items = iter(i[1][0] if i[0] == "?" else i for i in wrapper)
+        assert all(item in items for item in page)
+        needed = iter(page)
+        assert all(item in needed for item in wrapper if item[0] != "?")
+
+
+def test_wrappers_merge_in_rounds(spark):
+    """A host with more different streams than one task aligns."""
+    rows = [
+        (i, "https://hot.org/", "<article><p>Text that is long enough</p>" + f"<i{i}>a</i{i}><p>b</article>" + "<div><p>c</div>")
+        for i in range(2 * _ALIGNED + 10)
+    ]
+    found = main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in found} == {"Text that is long enough\na\nb"} and len(found) == len(rows)
+
+
 def test_wrapper_has_options_and_groups():
     one = fold(read_page("<div><h1>a</h1><p>x<p>y</div>")[0])
     two = fold(read_page("<div><h1>b</h1><h2>s</h2><p>x</div>")[0])
