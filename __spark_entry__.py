@@ -320,6 +320,15 @@ def q_charset(spark, sf_dir):
     )
 
 
+def q_json_charset(spark, sf_dir):
+    """Keys of a legacy charset, whose order the records keep."""
+    customers = _maltese(spark, sf_dir).withColumnsRenamed({"c_name": "ħz", "c_custkey": "ġb"})
+    read = _through(
+        spark, customers.select("ħz", "ġb", F.lit(1).alias("a")), "jsonl", encoding="ISO-8859-3"
+    )
+    return read.withColumn("order_read", F.lit(",".join(read.columns)))
+
+
 def _mixed_charsets(spark: SparkSession, sf_dir: str) -> str:
     folder = scratch_path(spark, "charsets")
     customers = _maltese(spark, sf_dir)
@@ -504,6 +513,7 @@ _QUERIES = [
     q_late_text,
     q_charset,
     q_charset_mixed,
+    q_json_charset,
     q_charset_census,
     q_charset_census_files,
     q_csv_one_column,
@@ -625,6 +635,8 @@ def oracle_sql() -> dict[str, str]:
             cast(l_linenumber as varchar) as l_linenumber,
             cast(l_quantity as varchar) as l_quantity from lineitem""",
         "q_charset": f"select c_custkey, {maltese} as c_name from customer",
+        "q_json_charset": f"""select {maltese} as "ħz", c_custkey as "ġb", 1 as a,
+            'ħz,ġb,a' as order_read from customer""",
         "q_charset_mixed": f"select c_custkey, {maltese} as c_name from customer",
         "q_charset_census": """
             select true as utf8, '' as possible, 'UTF-8' as charset,

@@ -40,11 +40,26 @@ def text_order() -> Column:
 
     The running number grows inside a split, whatever else its task reads.
     """
-    return F.struct(
+    return F.struct(*text_order_fields())
+
+
+def text_order_fields() -> list[Column]:
+    return [
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
-    )
+    ]
+
+
+def utf8_or_fail(value: Column) -> Column:
+    """Lines of a text file as they are; bytes that are no UTF-8 fail the job."""
+    hint = F.lit(" holds bytes that are no UTF-8; see charset_census and name a charset")
+    message = F.concat(F.col("_metadata.file_path"), hint)
+    return F.when(F.is_valid_utf8(value), value).otherwise(F.raise_error(message))
+
+
+def is_utf8(charset: str) -> bool:
+    return charset.upper().replace("_", "-") in ("UTF-8", "UTF8")
 
 
 def parquet_order() -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablecare.functions.columns import ROW_ORDER
-from tablecare.sources.files import split_bytes
+from tablecare.sources.files import is_utf8, split_bytes, utf8_or_fail
 
 _MARK = "﻿"
 
@@ -78,10 +78,8 @@ def text_lines(
         reader = reader.option("recursiveFileLookup", "true")
     value = F.col("value")
     if encoding is None:
-        path = F.col("_metadata.file_path")
-        hint = F.lit(" holds bytes that are no UTF-8; see charset_census and name a charset")
-        value = F.when(F.is_valid_utf8(value), value).otherwise(F.raise_error(F.concat(path, hint)))
-    elif encoding.upper().replace("_", "-") in ("UTF-8", "UTF8"):
+        value = utf8_or_fail(value)
+    elif is_utf8(encoding):
         value = F.make_valid_utf8(value)
     else:
         value = F.decode(value.cast("binary"), encoding)

@@ -50,6 +50,19 @@ def test_json_lines(spark, tmp_path):
     assert [r["المسار"] for r in df.collect()] == ["تونس", "الرياض"]
 
 
+@pytest.mark.parametrize("charset,python", [("ISO-8859-3", "iso8859-3"), ("UTF-8", "utf-8")])
+def test_json_keys_keep_their_order_in_any_charset(spark, tmp_path, charset, python):
+    path = tmp_path / "x.jsonl"
+    path.write_bytes('{"ħz": 1, "ġb": "ċ"}\n{"a": 2.5, "ħz": 3}\n'.encode(python))
+    df = read_table(spark, str(path), encoding=charset)
+    assert df.columns == ["ħz", "ġb", "a"]
+    assert sorted(tuple(r) for r in df.fillna("").collect()) == [(1, "ċ", None), (3, "", 2.5)]
+    later = tmp_path / "y.jsonl"
+    later.write_text('{"new": 1, "ħz": 2.5}\n')
+    df = read_table(spark, "", "jsonl", charsets={charset: [str(path)], None: [str(later)]})
+    assert df.dtypes == [("ħz", "double"), ("ġb", "string"), ("a", "double"), ("new", "bigint")]
+
+
 def test_json_lines_in_utf16(spark, tmp_path):
     path = tmp_path / "x.jsonl"
     path.write_bytes('{"z": 1, "a": "Ηρά \\"x\\", ειο"}\n\n{"z": 2, "a": "仙台市"}\n'.encode("utf-16"))

@@ -4,6 +4,8 @@ import json
 from datetime import date, datetime
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tablecare import format_of, read_table, write_table
 from tablecare.functions.columns import ROW_ORDER, visible
@@ -147,6 +149,39 @@ def test_json_keys_come_in_the_order_of_their_first_line(spark, tmp_path):
     assert read_table(spark, str(path)).columns == ["m", "z", "b"]
 
 
+JSON_LINES = [
+    '{"a": 2.0}', '{"a": 10}', '{"a": 1.5, "b": NaN}', '{"b": 123456789012345678901}', '[{"a": 1}, {"c": 2}]',
+    '{"o": {}}', '{"p": [{}], "a": null}', '{"o": {"k.e`y": 1, "<x": {"OBJECT<": [], "d": 1.25}}}', '{"n": null}',
+    '{"o": {"x": [1, 2.5, null]}}', '{"o": 5, "big": 1e300}', '{"t": "2020-01-02", "b": true}', "{}", "", "{'q': 1}",
+]
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.sampled_from(JSON_LINES), min_size=1, max_size=6))
+def test_json_types_are_those_of_the_reader(spark, tmp_path_factory, lines):
+    path = tmp_path_factory.mktemp("json") / "x.jsonl"
+    path.write_text("\n".join(lines) + "\n")
+    expected = spark.read.json(str(path))
+    df = read_table(spark, str(path))
+    assert kinds(df) == kinds(expected)
+    assert sorted(map(repr, df.select(expected.columns).collect())) == sorted(map(repr, expected.collect()))
+
+
+def test_json_schema_takes_one_read(spark, tmp_path, monkeypatch):
+    path = tmp_path / "x.jsonl"
+    path.write_text('{"z": 1, "o": {"b": [1, 2.5], "a": null}}\n{"z": 2.5, "é": "x"}\n')
+    monkeypatch.setattr("tablecare.sources.jsonlines._merged", None)  # the way with a second read
+    df = read_table(spark, str(path))
+    assert df.dtypes == [("z", "double"), ("o", "struct<a:string,b:array<double>>"), ("é", "string")]
+
+
+def test_json_lines_that_are_no_utf8_fail(spark, tmp_path):
+    path = tmp_path / "x.jsonl"
+    path.write_bytes('{"a": "Kunjom"}\n{"a": "Ħal"}\n'.encode("iso8859-3"))
+    with pytest.raises(Exception, match="name a charset"):
+        read_table(spark, str(path)).collect()
+
+
 def test_paths_of_several_formats_are_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="differ in format"):
         read_table(spark, [csv(tmp_path, "a\n1\n"), f"{tmp_path}/x.parquet"])
