@@ -19,6 +19,7 @@ from tablecare.session import configure, scratch_path
 from tablecare.sources.charset import charset_census, paths_by_charset
 from tablecare.sources.workbook import read_workbooks
 from tablecare.streaming.latest import keep_last, read_last
+from tablecare.streaming.recipes import compact_stream_run, read_stream_run, run_stream
 from tablecare.streaming.tables import dedup_first, read_stream, write_stream
 
 try:
@@ -482,6 +483,28 @@ def q_stream_keep_last(spark, sf_dir):
     return read_last(spark, log, keys, order)
 
 
+_STREAM_RECIPE = """
+    rename_single(column="event_type", new_name="kind")
+    dedup_rows(columns=["user_id", "kind"], keep="last", order_by=["ts", "event_id"])
+    remove_columns(columns=["props"])
+    combine_columns(columns=["kind", "user_id"], new_name="label", separator=":")
+"""
+
+
+def q_stream_run(spark, sf_dir):
+    """A recipe with a deduplication over several micro-batches, with a base in between."""
+    source, log, checkpoint = (scratch_path(spark, n) for n in ("events", "log", "progress"))
+    events = _table(spark, sf_dir, "events")
+    for part in range(2):
+        rows = events.where(F.pmod(F.xxhash64("event_id"), 2) == part)
+        rows.repartition(2).write.mode("append").parquet(source)
+        stream = read_stream(spark, source, "parquet", events.schema, max_files_per_trigger=1)
+        _finish(run_stream(stream, _STREAM_RECIPE, log, checkpoint))
+        if not part:
+            compact_stream_run(spark, log, _STREAM_RECIPE)
+    return read_stream_run(spark, log, _STREAM_RECIPE)
+
+
 _QUERIES = [
     q_date_normalize,
     q_date_only,
@@ -526,6 +549,7 @@ _QUERIES = [
     q_stream_recipe,
     q_stream_keep_first,
     q_stream_keep_last,
+    q_stream_run,
 ]
 
 
@@ -681,5 +705,8 @@ def oracle_sql() -> dict[str, str]:
             split_part(p_name, ' ', 1) as first, split_part(p_name, ' ', 2) as p_name_2,
             concat_ws('-', p_brand, cast(p_size as varchar)) as label from part""",
         "q_stream_keep_first": "select distinct user_id, event_type from events",
+        "q_stream_run": f"""select event_id, ts, user_id, event_type as kind, value,
+            concat_ws(':', event_type, user_id) as label
+            from ({_dedup("ts desc, event_id desc")})""",
         "q_stream_keep_last": _dedup("event_id desc"),
     }

@@ -160,7 +160,7 @@ def _touched(steps: Sequence[Step]) -> set[str]:
     return names - {None}
 
 
-def _write_observed(
+def write_observed(
     source: DataFrame,
     steps: tuple[Step, ...],
     write: Callable[[DataFrame], None],
@@ -229,7 +229,7 @@ def run_recipe(
         )
         check_steps(Shape.of(table), steps)
         resolved = _fold(table, steps)[1]
-        return resolved, _write_observed(
+        return resolved, write_observed(
             table,
             resolved,
             lambda df: write_table(df, destination, destination_format, overwrite),

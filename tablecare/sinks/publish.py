@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import SparkSession
 
 
-def _locate(spark: SparkSession, path: str):
+def locate(spark: SparkSession, path: str):
     """File system and full path, so that every task means the same place."""
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -31,7 +31,7 @@ def publish(
     one is replaced only after its successor is complete: that is written beside
     it, under a name with an underscore, which readers of the parent skip.
     """
-    file_system, target = _locate(spark, path)
+    file_system, target = locate(spark, path)
     exists = file_system.exists(target)
     if exists and not overwrite:
         raise FileExistsError(f"{path} exists; overwrite it explicitly")

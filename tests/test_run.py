@@ -139,3 +139,29 @@ def test_command_line(spark, staff, tmp_path, capsys):
     recipe.write_text('trim_collapse(columns=["Nope"])')
     assert main([str(staff), "--recipe", str(recipe)]) == 1
     assert "step 1 of 1" in capsys.readouterr().err
+
+
+def test_job_has_the_options_of_a_read(spark, tmp_path, capsys):
+    folder = tmp_path / "in" / "deep"
+    folder.mkdir(parents=True)
+    (folder / "a.csv").write_bytes("kodiċi,isem\n007, Ġorġ  B \n".encode("iso8859-3"))
+    recipe = tmp_path / "r.txt"
+    recipe.write_text('trim_collapse(columns=["isem"])\n', encoding="utf-8")
+    out = str(tmp_path / "out.parquet")
+    job = [str(tmp_path / "in"), "--recipe", str(recipe), "--format", "csv", "--output", out]
+    assert main(job + ["--recursive"]) == 1
+    assert "name a charset" in capsys.readouterr().err
+    job += ["--recursive", "--charset", "ISO-8859-3"]
+    assert main(job) == 0
+    assert [tuple(r) for r in spark.read.parquet(out).collect()] == [(7, "Ġorġ B")]
+    for types in ("string", '{"kodiċi": "string", "isem": "string"}'):
+        assert main(job + ["--types", types]) == 0
+        assert [tuple(r) for r in spark.read.parquet(out).collect()] == [("007", "Ġorġ B")]
+    assert main(job + ["--keep-existing"]) == 1
+    assert "exists" in capsys.readouterr().err
+    copy = str(tmp_path / "copy")
+    job = [out, "--recipe", str(recipe), "--output", copy]
+    assert main(job + ["--output-format", "jsonl"]) == 0
+    assert [r.isem for r in read_table(spark, copy, "jsonl").collect()] == ["Ġorġ B"]
+    assert main(job + ["--charset", "UTF-16"]) == 1
+    assert "no option encoding" in capsys.readouterr().err

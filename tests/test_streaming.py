@@ -1,10 +1,12 @@
 """Recipes over streams agree with batch once all input has been read."""
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecare import StepError, apply_recipe, clean, dedup_rows, read_table, write_table
 from tablecare.streaming.latest import compact, keep_last, read_last
+from tablecare.streaming.recipes import compact_stream_run, read_stream_run, run_stream
 from tablecare.streaming.tables import dedup_first, read_stream, write_stream
 
 RECIPE = """
@@ -120,3 +122,70 @@ def test_keep_last(spark, events, tmp_path):
     compact(spark, log, str(tmp_path / "log2"), keys, order)
     assert rows(spark.read.parquet(str(tmp_path / "log2")).drop("__batch__")) == expected
     assert rows(read_last(spark, str(tmp_path / "log2"), keys, order)) == expected
+
+
+DEDUP_RECIPE = """
+    date_normalize(column="ts")
+    rename_single(column="event_type", new_name="kind")
+    dedup_rows(columns=["user_id", "kind"], keep="last", order_by=["event_id"])
+    remove_columns(columns=["props"])
+    dedup_rows(columns=["kind"], keep="first", order_by=["user_id"])
+"""
+
+
+@pytest.mark.parametrize("recipe", [DEDUP_RECIPE, 'remove_columns(columns=["event_id", "ts", "value", "props"])\ndedup_rows()', 'trim_collapse(columns=["props"])'])
+def test_run_with_dedup_equals_the_batch(spark, events, tmp_path, recipe):
+    batch, path = events
+    log, lineage = str(tmp_path / "log"), str(tmp_path / "lineage")
+
+    def run():
+        stream = read_stream(spark, path, "parquet", batch.schema, max_files_per_trigger=2)
+        finish(run_stream(stream, recipe, log, str(tmp_path / "c"), lineage))
+
+    run()
+    assert rows(read_stream_run(spark, log, recipe)) == rows(clean(batch, recipe))
+    compact_stream_run(spark, log, recipe)
+    assert rows(read_stream_run(spark, log, recipe)) == rows(clean(batch, recipe))
+    # a restart takes new files up where the first run ended
+    more = batch.limit(300).withColumn("event_id", F.col("event_id") + 10**6)
+    more.repartition(3).write.mode("append").parquet(path)
+    whole = spark.read.parquet(path)
+    run()
+    run()
+    assert rows(read_stream_run(spark, log, recipe)) == rows(clean(whole, recipe))
+    compact_stream_run(spark, log, recipe)
+    compact_stream_run(spark, log, recipe)
+    assert rows(read_stream_run(spark, log, recipe)) == rows(clean(whole, recipe))
+    kept = sorted(p.name.split("-")[0] for p in (tmp_path / "log").iterdir())
+    assert kept == ["base=2", "base=4", "batch=3", "batch=4"]
+    record = spark.read.parquet(lineage)
+    assert sorted(r.batch_id for r in record.collect()) == [0, 1, 2, 3, 4]
+    assert record.agg(F.sum("rows_in")).first()[0] == whole.count()
+
+
+def test_a_repeated_batch_replaces_itself(spark, events, tmp_path):
+    """A stream whose last commit is lost runs that batch again, also after a compaction."""
+    batch, path = events
+    log, progress = str(tmp_path / "log"), tmp_path / "c"
+    for _ in range(2):
+        stream = read_stream(spark, path, "parquet", batch.schema, max_files_per_trigger=3)
+        finish(run_stream(stream, DEDUP_RECIPE, log, str(progress), str(tmp_path / "lineage")))
+        compact_stream_run(spark, log, DEDUP_RECIPE)
+        for name in ("1", ".1.crc"):
+            (progress / "commits" / name).unlink()
+    assert rows(read_stream_run(spark, log, DEDUP_RECIPE)) == rows(clean(batch, DEDUP_RECIPE))
+    assert spark.read.parquet(str(tmp_path / "lineage")).count() == 2
+
+
+def test_stream_runs_that_are_refused(spark, events, tmp_path):
+    batch, path = events
+    stream = read_stream(spark, path, "parquet", batch.schema)
+    for recipe, problem in (
+        ('dedup_rows(columns=["user_id"])', "order_by"),
+        ('split_column(column="props")', "needs a width"),
+        ('trim_collapse(columns=["none"])', "none"),
+    ):
+        with pytest.raises(StepError, match=problem):
+            run_stream(stream, recipe, str(tmp_path / "l"), str(tmp_path / "c"))
+    with pytest.raises(ValueError, match="no batch"):
+        read_stream_run(spark, str(tmp_path / "l"), "dedup_rows()")
