@@ -107,3 +107,34 @@ def test_preview_does_not_favour_repeated_values(spark, tmp_path):
     df = read_table(spark, str(tmp_path / "a.csv"), row_order=True)
     shown = preview(df).where(F.col("v") == "same").count()
     assert 80 < shown < 170
+
+
+def test_preview_does_not_depend_on_splits(spark, tmp_path):
+    path = str(tmp_path / "t.csv")
+    with open(path, "w") as out:
+        out.write("n,v\n")
+        out.writelines(f"{i},value {i % 7}\n" for i in range(3000))
+    samples = []
+    for size in ("300", "4k", "64m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            df = read_table(spark, path, row_order=True)
+            samples.append([r["n"] for r in preview(df).collect()])
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert samples[0] == samples[1] == samples[2]
+    assert len(set(samples[0])) == 250 and samples[0] == sorted(samples[0])
+
+
+def test_preview_weighs_copies_by_their_number(spark, tmp_path):
+    # one content with two thirds of all rows, among them more copies than the sample
+    path = str(tmp_path / "t.csv")
+    with open(path, "w") as out:
+        out.write("v,w\n")
+        out.writelines(f"{i if i % 3 == 0 else 'same'},\n" for i in range(3000))
+    df = read_table(spark, path, row_order=True)
+    got = [[r["v"] for r in preview(df, seed=s).collect()] for s in (1, 2, 3, 4)]
+    assert all(len(g) == 250 for g in got)
+    shares = [g.count("same") / 250 for g in got]
+    assert all(0.55 < s < 0.78 for s in shares) and got[0] != got[1]
+    assert preview(df.limit(0)).count() == 0
