@@ -69,7 +69,7 @@ def traversal(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough:
 def _best(ids: np.ndarray, rows: np.ndarray, cells: np.ndarray, queries: pd.DataFrame, k: int) -> pd.DataFrame | None:
     """The k nearest of ``rows`` to each query, in the cells it goes through."""
     wanted = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
-    about = _squares(wanted, rows)
+    about, norms = _squares(wanted, rows), (rows**2).sum(1)
     query_ids = queries["id"].to_numpy()
     out = []
     for number, visited in enumerate(queries["cells"]):
@@ -81,7 +81,9 @@ def _best(ids: np.ndarray, rows: np.ndarray, cells: np.ndarray, queries: pd.Data
             # the k-th smallest and all that rounding could put in front of it
             values = about[number, place]
             bound = np.partition(values, k - 1)[k - 1]
-            place = place[values <= bound + 1e-9 * (1 + abs(bound))]
+            rounding = 1e-15 * (wanted.shape[1] + 8) * ((wanted[number] ** 2).sum() + norms[place])
+            # written so that values past the range of doubles stay in
+            place = place[~(values - rounding > bound + rounding.max())]
         exact = np.sqrt(((rows[place] - wanted[number]) ** 2).sum(1))
         order = np.lexsort((ids[place], exact))[:k]
         out.append((query_ids[number], ids[place][order], exact[order]))
@@ -97,21 +99,75 @@ def _best(ids: np.ndarray, rows: np.ndarray, cells: np.ndarray, queries: pd.Data
     )
 
 
+def _true_neighbours(index: DataFrame, ids: np.ndarray, asks: np.ndarray, k: int) -> pd.DataFrame:
+    """``number`` of the query, and the cell (``first``, ``second``) of each of its ``k``
+    nearest rows: a bounded number of queries against all rows, in blocks, of which
+    each task passes on the ``k`` best at most."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.iloc[at : at + 4096]
+                held = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+                about = _squares(asks, held)
+                about[ids[:, None] == part["vec_id"].to_numpy()[None, :]] = np.inf
+                use = min(k, len(part))
+                near = np.argpartition(about, use - 1, axis=1)[:, :use]
+                place = near.ravel()
+                found = pd.DataFrame(
+                    {
+                        "number": np.repeat(np.arange(len(asks)), use),
+                        "score": np.take_along_axis(about, near, 1).ravel(),
+                        "vec_id": part["vec_id"].to_numpy()[place],
+                        "first": part["first"].to_numpy()[place],
+                        "second": part["second"].to_numpy()[place],
+                    }
+                )
+                found = found[np.isfinite(found["score"])]
+                best = found if best is None else pd.concat([best, found])
+                best = best.sort_values(["number", "score", "vec_id"]).groupby("number").head(k)
+        if best is not None:
+            yield best
+
+    schema = "number int, score double, vec_id long, first int, second int"
+    found = index.select("vec_id", "embedding", "first", "second").mapInPandas(compare, schema)
+    rank = F.row_number().over(Window.partitionBy("number").orderBy("score", "vec_id"))
+    # ``k`` rows per query of a bounded number
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.select("number", "first", "second").toPandas()
+
+
+def _listed_before(first: np.ndarray, second: np.ndarray, counts: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Rows that are listed before or with each of ``cells`` (pairs), by the order of
+    ``traversal`` up to ties."""
+    sums = (first[:, None] + second[None, :]).ravel()
+    order = np.argsort(sums, kind="stable")
+    listed = np.cumsum(counts.ravel()[order])
+    wanted = first[cells[:, 0]] + second[cells[:, 1]]
+    return listed[np.searchsorted(sums[order], wanted, "right") - 1]
+
+
 def nearest_neighbours(
-    vectors: DataFrame, queries: Column, k: int = 10, share: float = 0.5, least: int = 1000,
-    centroids: int = 64, sample_rows: int = 16_384, seed: int = 3,
+    vectors: DataFrame, queries: Column, k: int = 10, share: float | None = None,
+    recall: float = 0.96, least: int = 1000, centroids: int = 1024,
+    sample_rows: int = 16_384, sample_queries: int = 256, seed: int = 3,
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` (Euclidean distance in double
     precision) of the ``k`` nearest candidates found for each row that ``queries`` selects.
 
     Candidates are all rows but the query's own id. A query lists cells until they
-    hold ``share`` of the rows, ``least`` at least: vectors without any structure need
-    that much, see the README for the recall measured. Ties go to the smaller id.
+    hold ``share`` of the rows, ``least`` at least. Where ``share`` is not given it is
+    the smallest that lists ``recall`` of the true neighbours of ``sample_queries``
+    rows, those with the smallest hash, which are compared with all rows: vectors with
+    structure need little, others up to half. Ties go to the smaller id.
     Vectors that are null or empty, hold null or non-finite components, are zero, or
     are not as long as most, take no part; neither do null ids. Rows that repeat an id
     with one vector are one candidate.
 
-    The codebooks have at most ``centroids`` entries a half, fitted on the
+    Space is moved to the mean of the sample and turned at random before it is halved, so
+    that both halves tell rows apart. There is a cell per 16 rows, up to ``centroids``
+    entries in the codebook of a half, fitted on the
     ``sample_rows`` rows with the smallest hash; all rows are indexed. The index is cut
     by the first centroid into chunks of bounded size, however full a cell is. A task
     holds one chunk, past which the queries that go through it stream, and returns the
@@ -128,15 +184,21 @@ def nearest_neighbours(
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
     known = np.stack(sample["embedding"].to_numpy()).astype(np.float64)
     cut = known.shape[1] // 2
-    size = int(min(centroids, max(1, round(total**0.5 / 2))))
-    books = [codebook(half, size, seed) for half in (known[:, :cut], known[:, cut:])]
+    size = int(min(centroids, max(1, round(total**0.5 / 4))))
+    centre = known.mean(0)
+    turn = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(centre), len(centre))))[0]
+
+    def halves(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        turned = (held - centre) @ turn
+        return turned[:, :cut], turned[:, cut:]
+
+    books = [codebook(half, size, seed) for half in halves(known)]
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 held = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-                batch["first"] = nearest(held[:, :cut], books[0])
-                batch["second"] = nearest(held[:, cut:], books[1])
+                batch["first"], batch["second"] = map(nearest, halves(held), books)
                 yield batch
 
     index = rows.mapInPandas(
@@ -149,14 +211,26 @@ def nearest_neighbours(
     for cell in filled:
         counts[cell["first"], cell["second"]] = cell["count"]
     chunks = np.maximum(1, -(-counts.sum(1) // _CHUNK_ROWS)).tolist()
-    enough = max(least, int(np.ceil(share * total)))
+    if share is None:
+        asks = known[:sample_queries]
+        true = _true_neighbours(index, sample["vec_id"].to_numpy()[:sample_queries], asks, k)
+        scores = [_squares(half, book) for half, book in zip(halves(asks), books, strict=True)]
+        needed = [
+            _listed_before(scores[0][number], scores[1][number], counts, part[["first", "second"]].to_numpy())
+            for number, part in true.groupby("number")
+        ]
+        needed = np.sort(np.concatenate([np.zeros(0, np.int64), *needed]))
+        enough = int(needed[int(np.ceil(recall * len(needed))) - 1]) if len(needed) else total
+        enough = max(least, enough)
+    else:
+        enough = max(least, int(np.ceil(share * total)))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
             held = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            firsts, seconds = _squares(held[:, :cut], books[0]), _squares(held[:, cut:], books[1])
+            firsts, seconds = map(_squares, halves(held), books)
             out = []
             for number, (vec_id, embedding) in enumerate(
                 zip(batch["vec_id"], batch["embedding"], strict=True)

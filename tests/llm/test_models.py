@@ -292,6 +292,37 @@ def test_search(spark, share, recall):
     assert hits >= recall * 10 * len(by_query)
 
 
+def _recall(found, rows: np.ndarray, step: int) -> float:
+    answers, hits, asked = {}, 0, range(0, len(rows), step)
+    for r in found:
+        answers.setdefault(r.query_id, set()).add(r.vec_id)
+    for query in asked:
+        distance = ((rows - rows[query]) ** 2).sum(1)
+        distance[query] = np.inf
+        hits += len(answers[query] & set(np.argsort(distance, kind="stable")[:10].tolist()))
+    return hits / (10 * len(asked))
+
+
+@pytest.mark.parametrize("structured", [True, False])
+def test_search_calibrates_its_share(spark, structured):
+    rng = np.random.default_rng(4)
+    rows = rng.standard_normal((6000, 32))
+    if structured:
+        rows = rng.standard_normal((60, 32))[rng.integers(0, 60, 6000)] * 4 + 0.3 * rows
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    found = nearest_neighbours(table, llm.F.col("vec_id") % 50 == 0, least=100).collect()
+    assert _recall(found, rows, 50) >= 0.9
+
+
+def test_search_far_from_the_origin(spark):
+    """Squares of norms are far larger than distances."""
+    rng = np.random.default_rng(5)
+    rows = rng.standard_normal((300, 8)) + 1e7
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    found = nearest_neighbours(table, llm.F.col("vec_id") % 100 == 0, share=1.0).collect()
+    assert _recall(found, rows, 100) == 1.0
+
+
 def test_search_few_rows(spark):
     table = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.5]), (100, [0.0, 1.0])], "vec_id long, embedding array<double>")
     found = nearest_neighbours(table, llm.F.col("vec_id") % 100 == 0).collect()
