@@ -12,6 +12,7 @@ by list-decoding: combining only the codewords that can still reach the threshol
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,11 +22,22 @@ from pyspark.sql import functions as F
 from tablecare.llm.buckets import colliding, grouped, in_blocks, roots
 from tablecare.llm.components import connected_components
 from tablecare.llm.tables import Scratch
-from tablecare.llm.vectors import usable
+from tablecare.llm.vectors import measurable
 from tablecare.session import configure
 
-#: rows by which the threshold is calibrated
+#: rows by which the threshold and the number of filters are calibrated
 SAMPLE_ROWS = 512
+#: vectors of a length that fewer vectors have than this are one bucket
+CODED_ROWS = 2048
+
+
+@lru_cache(maxsize=64)
+def _leading(first: int, second: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places in two falling lists whose sums can be among the ``count`` largest: a
+    sum comes after all of those at smaller places."""
+    sizes = np.minimum(second, count // np.arange(1, min(first, count) + 1))
+    i = np.repeat(np.arange(len(sizes)), sizes)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 class ProductCode:
@@ -39,7 +51,10 @@ class ProductCode:
         self.words = []
         for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
             book = random.standard_normal((words, b - a))
-            self.words.append(book / np.linalg.norm(book, axis=1, keepdims=True))
+            # in one dimension there are two directions only
+            book /= np.linalg.norm(book, axis=1, keepdims=True)
+            self.words.append(np.unique(book, axis=0))
+        self.size = int(np.prod([len(book) for book in self.words], dtype=object))
         self.threshold, self.least = 0.0, 1
 
     def _scores(self, rows: np.ndarray) -> list[np.ndarray]:
@@ -53,22 +68,51 @@ class ProductCode:
         """The ``filters`` best sums of one row, in no order, all if there are fewer."""
         total = np.zeros(1)
         for own in scores:
-            # a sum among the best is of parts that are among the best of their blocks
-            top = own if len(own) <= filters else np.partition(own, -filters)[-filters:]
-            total = (total[:, None] + top[None, :]).ravel()
+            i, j = _leading(len(total), len(own), filters)
+            total = -np.sort(-total)[i] + -np.sort(-own)[j]
             if len(total) > filters:
-                # a copy, so that the many other sums are let go
+                # a copy, so that the other sums are let go
                 total = np.partition(total, -filters)[-filters:].copy()
         return total
 
     def calibrate(self, rows: np.ndarray, filters: float) -> None:
         """Set the threshold at which ``rows`` are in ``filters`` filters on average, and
         half of that as the number that every row is in at least."""
-        self.least = max(1, int(filters) // 2)
+        self._settle(self._pooled(rows, 64 * int(filters)), len(rows), filters)
+
+    def _pooled(self, rows: np.ndarray, each: int) -> np.ndarray:
+        """The best sums of all rows, ``each`` of a row at most, in falling order."""
         scores = self._scores(rows)
-        pooled = [self._best([s[n] for s in scores], 64 * int(filters)) for n in range(len(rows))]
-        pooled = np.sort(np.concatenate(pooled))[::-1]
-        self.threshold = float(pooled[min(len(pooled) - 1, int(filters * len(rows)))])
+        pooled = [self._best([s[n] for s in scores], each) for n in range(len(rows))]
+        return -np.sort(-np.concatenate(pooled))
+
+    def _settle(self, pooled: np.ndarray, rows: int, filters: float) -> None:
+        self.least = max(1, int(filters) // 2)
+        self.threshold = float(pooled[min(len(pooled) - 1, int(filters * rows))])
+
+    def tune(self, rows: np.ndarray, similarity: float, recall: float, most: int) -> int:
+        """Calibrate to the fewest filters, in steps of a quarter and ``most`` at most, that share one
+        between ``recall`` of the ``rows`` and made partners at exactly ``similarity``."""
+        random = np.random.default_rng(11)
+        # enough pairs for a share of a few in a thousand, whatever the rows
+        rows = rows[random.integers(0, len(rows), SAMPLE_ROWS)]
+        away = random.standard_normal(rows.shape)
+        away -= (away * rows).sum(1, keepdims=True) * rows
+        away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
+        partners = similarity * rows + np.sqrt(1 - similarity**2) * away
+        filters, pooled = 32, self._pooled(rows, 16 * most)
+        while True:
+            filters = min(filters, most)
+            self._settle(pooled, len(rows), filters)
+            if filters == most or self.size <= filters:
+                return filters
+            shared = [
+                len(np.intersect1d(a, b, assume_unique=True)) > 0
+                for a, b in zip(self.decode(rows), self.decode(partners), strict=True)
+            ]
+            if np.mean(shared) >= recall:
+                return filters
+            filters += -(-filters // 4)
 
     def decode(self, rows: np.ndarray) -> list[np.ndarray]:
         """The filters that hold each row: all that reach the threshold. A row that is far
@@ -103,7 +147,7 @@ def _links(similarity: float):
         right = left if lo == hi else np.flatnonzero(block == hi)
         if not len(left) or not len(right) or len(rows) < 2:
             return None
-        held = np.stack(rows["unit"].to_numpy())
+        held = _units(rows["embedding"])
         close = held[left] @ held[right].T >= similarity
         nodes = rows["node"].to_numpy()
         close &= nodes[left][:, None] != nodes[right][None, :]
@@ -142,57 +186,80 @@ def _links(similarity: float):
 
 
 def embedding_components(
-    vectors: DataFrame, similarity: float = 0.95, filters: int = 80, spread: int = 4096,
-    seed: int = 5,
+    vectors: DataFrame, similarity: float = 0.95, filters: int | None = None, recall: float = 0.995,
+    most_filters: int = 512, spread: int = 4096, seed: int = 5,
 ) -> DataFrame:
     """One row per vector: ``vec_id``, ``n_links`` (other vectors found at a cosine of
     ``similarity`` or more, each compared in double precision), ``component_id`` (the
     smallest id reachable by links) and ``kept`` (it is the vector's own).
 
     A vector is in about ``filters`` filters of some ``spread`` times as many as there are
-    vectors, so that buckets stay small at any size; the threshold is calibrated on
-    SAMPLE_ROWS rows. Vectors that are null, empty, zero, hold null or non-finite
-    components, or are not as long as most link with nothing. Equal vectors are one
+    vectors, so that buckets stay small at any size. Where ``filters`` is not given, as
+    many are used (``most_filters`` at most) as find ``recall`` of made pairs at exactly
+    ``similarity``, so that their number grows with the table. Both are calibrated on
+    SAMPLE_ROWS rows. Vectors of different lengths have no cosine; those of each length
+    link among themselves, and where fewer than CODED_ROWS have a length, these are one
+    bucket. Vectors that are null, empty, zero, or hold null or non-finite
+    components link with nothing. Equal vectors are one
     node that counts for all of them. Null ids have no component, and no part in any.
     Rows that repeat an id and a vector are one row. Other columns are not read.
     """
     spark = configure(vectors.sparkSession)
     scratch, result = Scratch(spark, "caps-work"), Scratch(spark, "caps")
     every = vectors.select("vec_id", "embedding").distinct()
-    rows = usable(every.where("vec_id is not null"))
+    rows = measurable(every.where("vec_id is not null"))
     nodes = rows.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("size"))
-    nodes = scratch.keep(nodes)
-    total = nodes.count()
-    if not total:
+    # an id that has several vectors is a node with each of them
+    nodes = scratch.keep(nodes.withColumn("of", F.xxhash64("embedding")))
+    if nodes.isEmpty():
         return every.select(
             "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
             F.lit(True).alias("kept"),
         )
-    sample = nodes.orderBy(F.xxhash64("node")).limit(SAMPLE_ROWS).toPandas()
-    known = _units(sample["embedding"])
-    words = max(4, int(np.ceil((spread * total) ** (1 / 3))))
-    code = ProductCode(known.shape[1], words, seed=seed)
-    code.calibrate(known, filters)
+    lengths = nodes.groupBy(F.size("embedding").alias("length")).count()
+    # lengths with less than CODED_ROWS vectors need no code
+    lengths = dict(map(tuple, lengths.where(F.col("count") >= CODED_ROWS).collect()))
+    codes: dict[int, tuple[ProductCode, int]] = {}
+    offset = 0
+    for length, total in sorted(lengths.items()):
+        sample = nodes.where(F.size("embedding") == length)
+        known = _units(sample.orderBy(F.xxhash64("node")).limit(SAMPLE_ROWS).toPandas()["embedding"])
+        words = max(4, int(np.ceil((spread * total) ** (1 / 3))))
+        code = ProductCode(length, words, seed=seed)
+        if filters is None:
+            code.tune(known, similarity, recall, most_filters)
+        else:
+            code.calibrate(known, filters)
+        codes[length] = code, offset
+        offset += code.size
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
-                units = _units(part["embedding"])
-                yield pd.DataFrame(
-                    {
-                        "node": part["node"].to_numpy(),
-                        "size": part["size"].to_numpy(),
-                        "unit": list(units),
-                        "filters": code.decode(units),
-                    }
-                )
-
-    decoded = scratch.keep(
-        nodes.mapInPandas(decode, "node long, size long, unit array<double>, filters array<long>")
-    )
-    index = decoded.select(F.explode("filters").alias("key"), "node")
-    members = colliding(index).select("key", "node", "n").join(decoded, "node")
+            sizes = batch["embedding"].map(len)
+            for length, held in batch.groupby(sizes, sort=False):
+                for at in range(0, len(held), 1024):
+                    part = held.iloc[at : at + 1024]
+                    if length in codes:
+                        code, first = codes[length]
+                        found = [first + f for f in code.decode(_units(part["embedding"]))]
+                    else:
+                        found = [np.array([-length], np.int64)] * len(part)
+                    yield pd.DataFrame(
+                        {"node": part["node"].to_numpy(), "of": part["of"].to_numpy(), "filters": found}
+                    )
+
+    read = nodes.select("node", "of", "embedding")
+    decoded = scratch.keep(read.mapInPandas(decode, "node long, of long, filters array<long>"))
+    index = decoded.select(F.explode("filters").alias("key"), "node", "of")
+    # ids and keys first; a vector then travels once for each filter that it shares, in
+    # the type it came in, with the shared ones only
+    shared = colliding(index).groupBy("node", "of")
+    shared = shared.agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("in"))
+    came = nodes.withColumn("embedding", F.col("embedding").cast(vectors.schema["embedding"].dataType))
+    members = shared.join(came.select("node", "of", "size", "embedding"), ["node", "of"])
+    members = members.select(
+        "node", "size", "embedding", F.col("in.key").alias("filters"), F.explode("in").alias("at")
+    ).select("node", "size", "embedding", "filters", "at.key", "at.n")
     found = grouped(
         in_blocks(members), ["key", "lo", "hi"], _links(similarity), "node long, links long, root long"
     )

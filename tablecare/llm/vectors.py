@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame) -> DataFrame:
+def measurable(vectors: DataFrame) -> DataFrame:
     """The rows whose ``embedding`` (as doubles) is not null or empty, has no null or
-    non-finite component, is not zero, and is as long as most (ties: the shorter)."""
+    non-finite component, and is not zero."""
     rows = vectors.withColumn("embedding", F.col("embedding").cast("array<double>"))
     infinite = float("inf")
     good = (
@@ -16,7 +16,12 @@ def usable(vectors: DataFrame) -> DataFrame:
         & F.forall("embedding", lambda x: F.coalesce(F.abs(x) < infinite, F.lit(False)))
         & F.exists("embedding", lambda x: x != 0)
     )
-    rows = rows.where(F.coalesce(good, F.lit(False)))
+    return rows.where(F.coalesce(good, F.lit(False)))
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """The ``measurable`` rows that are as long as most (ties: the shorter)."""
+    rows = measurable(vectors)
     sizes = rows.groupBy(F.size("embedding").alias("size")).count()
     usual = sizes.orderBy(F.desc("count"), "size").select("size").first()
     return rows.where(F.size("embedding") == (usual["size"] if usual else 0))

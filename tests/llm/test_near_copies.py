@@ -269,6 +269,49 @@ def test_caps_like_brute_force(spark):
     assert embedding_components(empty).count() == 0
 
 
+def test_caps_of_several_lengths_and_few_dimensions(spark, monkeypatch):
+    """Lengths with a code of their own, a rare one, and an id with several vectors."""
+    from tablecare.llm import caps
+
+    monkeypatch.setattr(caps, "CODED_ROWS", 20)
+    rng = np.random.default_rng(8)
+    vectors = []
+    for dimension, count in ((3, 60), (4, 40), (1, 25), (24, 30), (2, 5)):
+        vectors += [rng.standard_normal(dimension) for _ in range(count)]
+    vectors += [v + 0.01 for v in vectors[100::7]]
+    n = len(vectors)
+    close = np.zeros((n, n), bool)
+    for i, a in enumerate(vectors):
+        for j, b in enumerate(vectors):
+            if i != j and len(a) == len(b):
+                close[i, j] = a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.95
+    reached = smallest_reached(range(n), zip(*np.nonzero(close), strict=True))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    # far from all vectors of its length, as another vector of id 0
+    rows.append((0, [1.0, -1.0] * 6))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = embedding_components(table).collect()
+    assert len(found) == n + 1
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in found)
+    expected = sorted([(i, int(close[i].sum()), reached[i]) for i in range(n)])
+    assert [g for g in got if g[0]] == [e for e in expected if e[0]]
+    assert sorted({g[2] for g in got if not g[0]}) == [0]
+
+
+def test_filters_are_as_many_as_pairs_need():
+    rng = np.random.default_rng(9)
+    rows = rng.standard_normal((512, 32))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    few, many = (ProductCode(32, words, seed=1) for words in (20, 120))
+    assert 32 <= few.tune(rows, 0.95, 0.99, 512) <= many.tune(rows, 0.95, 0.99, 512) <= 512
+    away = rng.standard_normal(rows.shape)
+    away -= (away * rows).sum(1, keepdims=True) * rows
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    partners = 0.95 * rows + (1 - 0.95**2) ** 0.5 * away
+    pairs = zip(many.decode(rows), many.decode(partners), strict=True)
+    assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in pairs]) >= 0.97
+
+
 def test_decoding_finds_all_filters():
     code = ProductCode(12, 5, seed=1)
     rng = np.random.default_rng(0)
