@@ -27,6 +27,8 @@ from tablecare.session import configure
 
 #: rows by which the threshold and the number of filters are calibrated
 SAMPLE_ROWS = 512
+#: made pairs that the number of filters is tuned with
+TUNING_PAIRS = 2048
 #: vectors of a length that fewer vectors have than this are one bucket
 CODED_ROWS = 2048
 
@@ -94,16 +96,17 @@ class ProductCode:
         """Calibrate to the fewest filters, in steps of a quarter and ``most`` at most, that share one
         between ``recall`` of the ``rows`` and made partners at exactly ``similarity``."""
         random = np.random.default_rng(11)
+        pooled, each = self._pooled(rows, 16 * most), len(rows)
         # enough pairs for a share of a few in a thousand, whatever the rows
-        rows = rows[random.integers(0, len(rows), SAMPLE_ROWS)]
+        rows = np.tile(rows, (-(-TUNING_PAIRS // each), 1))[:TUNING_PAIRS]
         away = random.standard_normal(rows.shape)
         away -= (away * rows).sum(1, keepdims=True) * rows
         away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
         partners = similarity * rows + np.sqrt(1 - similarity**2) * away
-        filters, pooled = 32, self._pooled(rows, 16 * most)
+        filters = 32
         while True:
             filters = min(filters, most)
-            self._settle(pooled, len(rows), filters)
+            self._settle(pooled, each, filters)
             if filters == most or self.size <= filters:
                 return filters
             shared = [
@@ -186,7 +189,7 @@ def _links(similarity: float):
 
 
 def embedding_components(
-    vectors: DataFrame, similarity: float = 0.95, filters: int | None = None, recall: float = 0.995,
+    vectors: DataFrame, similarity: float = 0.95, filters: int | None = None, recall: float = 0.99,
     most_filters: int = 512, spread: int = 4096, seed: int = 5,
 ) -> DataFrame:
     """One row per vector: ``vec_id``, ``n_links`` (other vectors found at a cosine of
@@ -209,8 +212,8 @@ def embedding_components(
     every = vectors.select("vec_id", "embedding").distinct()
     rows = measurable(every.where("vec_id is not null"))
     nodes = rows.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("size"))
-    # an id that has several vectors is a node with each of them
-    nodes = scratch.keep(nodes.withColumn("of", F.xxhash64("embedding")))
+    # an id that has several vectors is a node with each of them; the numbers are written
+    nodes = scratch.keep(nodes.withColumn("row", F.monotonically_increasing_id()))
     if nodes.isEmpty():
         return every.select(
             "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
@@ -244,19 +247,17 @@ def embedding_components(
                         found = [first + f for f in code.decode(_units(part["embedding"]))]
                     else:
                         found = [np.array([-length], np.int64)] * len(part)
-                    yield pd.DataFrame(
-                        {"node": part["node"].to_numpy(), "of": part["of"].to_numpy(), "filters": found}
-                    )
+                    yield pd.DataFrame({"row": part["row"].to_numpy(), "filters": found})
 
-    read = nodes.select("node", "of", "embedding")
-    decoded = scratch.keep(read.mapInPandas(decode, "node long, of long, filters array<long>"))
-    index = decoded.select(F.explode("filters").alias("key"), "node", "of")
-    # ids and keys first; a vector then travels once for each filter that it shares, in
-    # the type it came in, with the shared ones only
-    shared = colliding(index).groupBy("node", "of")
+    read = nodes.select("row", "embedding")
+    decoded = scratch.keep(read.mapInPandas(decode, "row long, filters array<long>"))
+    index = decoded.select(F.explode("filters").alias("key"), F.col("row").alias("node"))
+    # numbers and keys first; a vector then travels once for each filter that it shares,
+    # in the type it came in, with the shared ones only
+    shared = colliding(index).groupBy(F.col("node").alias("row"))
     shared = shared.agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("in"))
     came = nodes.withColumn("embedding", F.col("embedding").cast(vectors.schema["embedding"].dataType))
-    members = shared.join(came.select("node", "of", "size", "embedding"), ["node", "of"])
+    members = shared.join(came.select("row", "node", "size", "embedding"), "row")
     members = members.select(
         "node", "size", "embedding", F.col("in.key").alias("filters"), F.explode("in").alias("at")
     ).select("node", "size", "embedding", "filters", "at.key", "at.n")
