@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tablecare.session import configure
 
-#: labelled rows that a model is fitted on at most, those with the smallest hash
-SAMPLE_ROWS = 10_000
+#: labelled rows that a model is fitted on at most unless another number is asked for
+SAMPLE_ROWS = 20_000
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -178,19 +178,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame) -> RuleModel:
-    """Fit on the labelled documents that are not held out, SAMPLE_ROWS of them at most.
+def learn_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> RuleModel:
+    """Fit on the labelled documents that are not held out, ``sample_rows`` of them at
+    most, those with the smallest hash of their id.
 
     Rows with a null id or label, or without a document, are not used; an id with
-    different labels counts once for each; without any use the score is 0.5.
+    different labels counts once for each, and rows that repeat an id count as one
+    (that with the smallest statistics); without any use the score is 0.5.
     """
     configure(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     known = known.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), "quality")
-    known = known.distinct().orderBy(F.xxhash64("_id"), "quality").limit(SAMPLE_ROWS)
-    # at most SAMPLE_ROWS pairs of numbers go to the tasks
+    known = known.distinct().orderBy(F.xxhash64("_id"), "quality").limit(sample_rows)
+    # at most ``sample_rows`` pairs of numbers go to the tasks, and as many rows come back
     taught = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
-    taught = taught.select("quality", *(c.alias(n) for n, c in statistics(F.col("text")).items()))
+    taken = F.struct(*(c.alias(n) for n, c in statistics(F.col("text")).items()))
+    taught = taught.groupBy("_id", "quality").agg(F.min(taken).alias("taken")).select("quality", "taken.*")
     rows = taught.toPandas()
     names = [n for n in rows.columns if n != "quality"]
     # in one order, whatever the partitions were

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 import corpus_pipeline
 from tablecare.llm import queries as llm
 from tablecare.llm.chat import ChatTemplate, chat_digests, written_chat
-from tablecare.llm.rules import fit_rules, learn_quality, score_quality
+from tablecare.llm.rules import fit_rules, learn_quality, score_quality, statistics
 from tablecare.llm.search import nearest_neighbours, traversal
 from tablecare.llm.wrappers import _ALIGNED, align, article, fold, infer, main_text, read_page, slots
 
@@ -60,6 +60,34 @@ def test_rules_are_sparse_and_right():
     assert ((total > 0) == y).mean() > 0.97
 
 
+def test_compiled_rules_like_plain_evaluation(spark):
+    """The Spark expression against a loop over the rules."""
+    rng = np.random.default_rng(3)
+    words = ["Some", "words", "|", "and!!", "12", "stop.", "no,space", "\n"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40))) for _ in range(300)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0 or "|" in (t or ""))) for i, t in enumerate(texts)], "doc_id long, quality int")
+    model = learn_quality(docs, labels)
+    assert len(model.rules) > 5
+    taken = docs.select("doc_id", *(c.alias(n) for n, c in statistics(llm.F.col("text")).items())).collect()
+    scores = {r.doc_id: r.score for r in score_quality(docs, model).collect()}
+    for row in taken:
+        margin = model.intercept
+        for conditions, weight in model.rules:
+            if all(row[name] > at if above else row[name] <= at for name, above, at in conditions):
+                margin += weight
+        assert scores[row.doc_id] == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-12)
+
+
+def test_quality_sample_is_bounded(spark):
+    """Rows that repeat a labelled id count once; the bound is an argument."""
+    docs = spark.createDataFrame([(i % 40, "word " * (i % 40)) for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once = learn_quality(docs.distinct(), labels)
+    assert learn_quality(docs, labels) == once
+    assert learn_quality(docs, labels, sample_rows=10) != once
+
+
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame(
         [(1, None, 0.1), (2, "", 0.2), (2, "", 0.2), (None, "some words", 0.3), (3, "long " * 200_000, 0.4)],
