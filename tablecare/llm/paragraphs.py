@@ -16,9 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablecare.functions.columns import col
 from tablecare.llm.buckets import linked
 from tablecare.llm.tables import Scratch
 from tablecare.session import configure
@@ -265,27 +266,29 @@ def without_repeats(docs: DataFrame, **settings) -> DataFrame:
     names replace columns of the same name. Settings: see ``repeated_paragraphs``.
     """
     removed, _ = repeated_paragraphs(docs, **settings)
-    spans = F.sort_array(F.collect_list(F.struct("paragraph", "component_id")))
-    by_doc = removed.groupBy(F.col("doc_id").alias("_of")).agg(spans.alias("_spans"))
-    numbers = F.coalesce(F.col("_spans.paragraph"), F.array().cast("array<int>"))
-    lines = F.split("text", SEPARATOR, -1)
-    rest = F.filter(lines, lambda line, number: ~F.array_contains(numbers, number))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
-        F.array_join(rest, SEPARATOR)
-    )
-    return (
-        docs.join(by_doc, docs["doc_id"] == by_doc["_of"], "left")
-        .withColumns(
-            {
-                "text": text,
-                "removed_paragraphs": numbers,
-                "removed_components": F.coalesce(
-                    F.col("_spans.component_id"), F.array().cast("array<long>")
-                ),
-            }
-        )
-        .drop("_of", "_spans")
-    )
+    lines = _lines_by_doc(removed)
+    found = _rows(docs).join(lines, F.col("row.doc_id") == F.col("of_lines"), "left")
+    cut = _cutter()(F.when(F.col("of_lines").isNotNull(), F.col("row.text")), *_numbers(), F.array().cast(_SPANS))
+    return _with_cuts(docs, found.withColumn("cut", cut), ["removed_paragraphs", "removed_components"])
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """The rows as structs, so that no other name clashes with a column of theirs."""
+    return docs.select(F.struct(*(col(c) for c in docs.columns)).alias("row"))
+
+
+def _lines_by_doc(removed: DataFrame) -> DataFrame:
+    lines = F.sort_array(F.collect_list(F.struct("paragraph", "component_id")))
+    return removed.groupBy(F.col("doc_id").alias("of_lines")).agg(lines.alias("lines"))
+
+
+def _with_cuts(docs: DataFrame, found: DataFrame, added: list[str]) -> DataFrame:
+    """``docs`` with the text that is left and the columns ``added``, from ``row`` and ``cut``."""
+    types = {"removed_paragraphs": "array<int>", "removed_components": "array<long>", "cut_passages": _CUTS}
+    new = {"text": F.coalesce("cut.text", "row.text")}
+    new |= {name: F.coalesce(F.col("cut")[name], F.array().cast(types[name])) for name in added}
+    names = [*docs.columns, *(n for n in added if n not in docs.columns)]
+    return found.select(*(new.get(c, F.col("row")[c]).alias(c) for c in names))
 
 
 # --- passages ---------------------------------------------------------------------
@@ -407,14 +410,23 @@ def _spans(doc_id: int, runs: list) -> list[tuple[int, int, int]]:
 def _cut(text: str, removed: list[int], components: list[int], spans: list[tuple[int, int, int]]) -> dict:
     """The text without lines and spans, the lines wholly gone, and what was cut."""
     kept, cuts, gone, at = [], [], dict(zip(removed, components, strict=True)), 0
+    # spans are in order and apart, so that lines and spans are gone through together
+    spans, ahead = sorted(spans), 0
     for first_line, lines in _stretches(text, removed):
         for number, line in enumerate(lines, first_line):
+            if ahead == len(spans):
+                kept.append(line)
+                continue
             words = list(_WORD.finditer(line))
-            here = [
-                (max(b, at) - at, min(e, at + len(words)) - at, f)
-                for b, e, f in spans if b < at + len(words) and e > at
-            ]
-            at += len(words)
+            here, end = [], at + len(words)
+            while ahead < len(spans) and spans[ahead][0] < end:
+                b, e, f = spans[ahead]
+                if e > at:
+                    here.append((max(b, at) - at, min(e, end) - at, f))
+                if e > end:
+                    break
+                ahead += 1
+            at = end
             cuts += [(number, b, e - b, f) for b, e, f in here]
             if here and sum(e - b for b, e, _ in here) == len(words):
                 gone[number] = here[0][2]
@@ -434,6 +446,29 @@ def _cut(text: str, removed: list[int], components: list[int], spans: list[tuple
 
 
 _CUTS = "array<struct<paragraph:int,word:int,words:int,component_id:long>>"
+_SPANS = "array<struct<begin:int,end:int,component_id:long>>"
+
+
+def _numbers() -> tuple[Column, Column]:
+    """The removed lines and their components, empty if none."""
+    return (
+        F.coalesce(F.col("lines.paragraph"), F.array().cast("array<int>")),
+        F.coalesce(F.col("lines.component_id"), F.array().cast("array<long>")),
+    )
+
+
+def _cutter():
+    @F.pandas_udf(f"text string, removed_paragraphs array<int>, removed_components array<long>, cut_passages {_CUTS}")
+    def cut(text: pd.Series, numbers: pd.Series, components: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        names = ["text", "removed_paragraphs", "removed_components", "cut_passages"]
+        rows = [
+            dict.fromkeys(names) if t is None
+            else _cut(t, n, c, [(s["begin"], s["end"], s["component_id"]) for s in held])
+            for t, n, c, held in zip(text, numbers, components, spans, strict=True)
+        ]
+        return pd.DataFrame(rows, columns=names, dtype=object)
+
+    return cut
 
 
 def repeated_passages(docs: DataFrame) -> tuple[DataFrame, Scratch]:
@@ -514,40 +549,18 @@ def without_passages(docs: DataFrame, **settings) -> DataFrame:
     passages: see ``repeated_passages``.
     """
     removed, _ = repeated_paragraphs(docs, **settings)
-    spans = F.sort_array(F.collect_list(F.struct("paragraph", "component_id")))
-    by_doc = removed.groupBy(F.col("doc_id").alias("_of")).agg(spans.alias("_lines"))
-    numbers = F.coalesce(F.col("_lines.paragraph"), F.array().cast("array<int>"))
-    components = F.coalesce(F.col("_lines.component_id"), F.array().cast("array<long>"))
-    read = docs.select("doc_id", "text").join(by_doc, F.col("doc_id") == F.col("_of"), "left")
-    passages, _ = repeated_passages(read.select("doc_id", "text", numbers.alias("removed")))
-    passages = passages.select(F.col("doc_id").alias("_doc"), F.col("of").alias("_text"), F.col("spans").alias("_spans"))
-
-    @F.pandas_udf(f"text string, removed_paragraphs array<int>, removed_components array<long>, cut_passages {_CUTS}")
-    def cut(text: pd.Series, numbers: pd.Series, components: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        names = ["text", "removed_paragraphs", "removed_components", "cut_passages"]
-        rows = [
-            dict.fromkeys(names) if t is None
-            else _cut(t, n, c, [(s["begin"], s["end"], s["component_id"]) for s in held])
-            for t, n, c, held in zip(text, numbers, components, spans, strict=True)
-        ]
-        return pd.DataFrame(rows, columns=names, dtype=object)
-
-    lines = F.split("text", SEPARATOR, -1)
-    rest = F.filter(lines, lambda line, number: ~F.array_contains(numbers, number))
-    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(
-        F.array_join(rest, SEPARATOR)
-    )
-    cuts = F.when(F.col("_spans").isNotNull(), F.col("text"))
+    by_doc = _lines_by_doc(removed)
+    read = docs.select("doc_id", "text").join(by_doc, F.col("doc_id") == F.col("of_lines"), "left")
+    passages, _ = repeated_passages(read.select("doc_id", "text", _numbers()[0].alias("removed")))
+    passages = passages.select(F.col("doc_id").alias("of_passages"), "of", "spans")
+    same = (F.col("row.doc_id") == F.col("of_passages")) & (F.xxhash64("row.text") == F.col("of"))
     found = (
-        docs.join(by_doc, docs["doc_id"] == by_doc["_of"], "left")
-        .join(passages, (docs["doc_id"] == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_text")), "left")
-        .withColumn("_cut", cut(cuts, numbers, components, "_spans"))
+        _rows(docs)
+        .join(by_doc, F.col("row.doc_id") == F.col("of_lines"), "left")
+        .join(passages, same, "left")
     )
-    return found.withColumns(
-        {
-            "text": F.coalesce("_cut.text", text),
-            "removed_paragraphs": F.coalesce("_cut.removed_paragraphs", numbers),
-            "removed_components": F.coalesce("_cut.removed_components", components),
-            "cut_passages": F.coalesce("_cut.cut_passages", F.array().cast(_CUTS)),
-        }
-    ).drop("_of", "_lines", "_doc", "_text", "_spans", "_cut")
+    touched = F.col("of_lines").isNotNull() | F.col("of_passages").isNotNull()
+    spans = F.coalesce("spans", F.array().cast(_SPANS))
+    cut = _cutter()(F.when(touched, F.col("row.text")), *_numbers(), spans)
+    added = ["removed_paragraphs", "removed_components", "cut_passages"]
+    return _with_cuts(docs, found.withColumn("cut", cut), added)

@@ -1,6 +1,7 @@
 """SimHash, paragraphs, caps and components against brute force."""
 
 import random
+import time
 from collections import defaultdict
 from itertools import combinations
 
@@ -233,6 +234,72 @@ def test_passages_inside_lines(spark):
     ]
 
 
+def test_passages_like_brute_force(spark):
+    """Exact passages of random words, wrapped anew in each document."""
+    rng = np.random.default_rng(6)
+    vocabulary = [f"W{i}" for i in range(5000)]
+
+    def some(n):
+        return [vocabulary[i] for i in rng.integers(0, 5000, n)]
+
+    passages = [some(int(rng.integers(50, 120))) for _ in range(12)] + [some(44) for _ in range(3)]
+    held = {}
+    for doc_id in range(1, 41):
+        words = some(30)
+        for place in rng.choice(len(passages), rng.integers(0, 4), replace=False):
+            words += [w.lower() if doc_id % 2 else w for w in passages[place]] + some(30)
+        held[doc_id] = words
+    rows = []
+    for doc_id, words in held.items():
+        lines, at = [], 0
+        while at < len(words):
+            width = int(rng.integers(3, 30))
+            lines.append(" ".join(words[at : at + width]))
+            at += width
+        rows.append((doc_id, "\n".join(lines)))
+    seen, left = set(), {}
+    for doc_id, words in sorted(held.items()):
+        low, gone = [w.lower() for w in words], set()
+        for at in range(len(words) - 49):
+            run = tuple(low[at : at + 50])
+            if run in seen:
+                gone.update(range(at, at + 50))
+            seen.add(run)
+        left[doc_id] = [w for at, w in enumerate(words) if at not in gone]
+    assert sum(map(len, held.values())) > sum(map(len, left.values()))
+    found = without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text.split() for r in found} == left
+
+
+def test_passages_clashing_names(spark):
+    names = ["row", "lines", "of", "spans", "cut", "of_lines", "_spans", "a.b", "cut_passages"]
+    line = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame(
+        [(i, f"{i}\n{line}", *range(len(names))) for i in range(3)],
+        "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names),
+    )
+    found = without_passages(docs).orderBy("doc_id").collect()
+    assert [r.text for r in found] == [f"0\n{line}", "1", "2"]
+    assert [[r[n] for n in names[:-1]] for r in found] == [list(range(len(names) - 1))] * 3
+    assert found[0].__fields__ == [*docs.columns, "removed_paragraphs", "removed_components"]
+    repeats = without_repeats(docs).orderBy("doc_id").collect()
+    assert [r.text for r in repeats] == [f"0\n{line}", "1", "2"]
+
+
+def test_cutting_is_linear():
+    """Many lines and many spans are gone through once."""
+    from tablecare.llm.paragraphs import _cut
+
+    n = 60_000
+    text = "\n".join(f"a{i} b{i} c{i}" for i in range(n))
+    spans = [(3 * i, 3 * i + 2, 1) for i in range(0, n, 2)]
+    start = time.perf_counter()
+    found = _cut(text, [], [], spans)
+    assert time.perf_counter() - start < 5
+    assert found["text"].split("\n")[:3] == ["c0", "a1 b1 c1", "c2"]
+    assert len(found["cut_passages"]) == n // 2
+
+
 def test_bands():
     for similarity, recall in [(0.8, 0.998), (0.5, 0.95), (0.9, 0.99)]:
         bands, rows = tuned_bands(similarity, recall)
