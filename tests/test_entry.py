@@ -54,3 +54,13 @@ def test_query(spark, duck, sf_dir, name):
 
 def test_entry(spark):
     assert registered.entry(spark).count() > 0
+
+
+def test_documents_are_written_as_csv_by_many_tasks(spark, sf_dir, tmp_path, monkeypatch):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents.repartition(4, "doc_id").write.parquet(f"{tmp_path}/sf/documents.parquet")
+    monkeypatch.setattr(registered, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
+    found = registered.q_csv_splits(spark, f"{tmp_path}/sf")
+    assert len(glob.glob(f"{tmp_path}/splits.csv/part-*")) == 4
+    rows = documents.select("doc_id", "text", "lang").collect()
+    assert _table(found.columns, found.collect()) == _table(found.columns, rows)
