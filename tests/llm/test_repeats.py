@@ -221,6 +221,25 @@ def test_removal_is_that_of_brute_force(table, monkeypatch, key_bytes):
         assert (*got[:3], bytes(got[3])) == expected
 
 
+def test_segments_of_many_forms_are_a_row_each(spark, table, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(transforms, "_BUCKET", 500)
+    forms = list(dict.fromkeys(t.decode() for t in random_texts(rng, 24, 90) if len(t) >= 24))
+    strings = table(
+        "key long, content long, string binary",
+        *((n % 2, n - (1 << 62), t.encode()) for n, t in enumerate(forms)),
+    )
+    scratch = transforms.Scratch(spark, "forms")
+    found = rows_of(transforms._spread_ranges(strings, 24, 300, scratch))
+    assert len(found) == len({r[:2] for r in found}) > 10
+    marks = {r[1] + (1 << 62): {i for a, b in r[2] for i in range(a, b)} for r in found}
+    for key in (0, 1):
+        texts = {n: t for n, t in enumerate(forms) if n % 2 == key}
+        counts = Counter(t[i : i + 24] for t in texts.values() for i in range(len(t) - 23))
+        for n, t in texts.items():
+            assert marks.get(n, set()) == {i for i in range(len(t) - 23) if counts[t[i : i + 24]] > 1}
+
+
 def test_removal_of_odd_rows(table):
     docs = table(
         "doc_id long, text string, key int, t string, ranges int",
