@@ -3,7 +3,9 @@
 The pre-tokenizers of the two vocabularies in use never let a piece run across
 the start of white space or across the end of a run of letters. A text can thus
 be cut there, each distinct cut encoded once by the ``tokenizers`` library and
-remembered, and the ids of a text put together from remembered ones. Texts for
+remembered, and the ids of a text put together from remembered ones. Texts are cut,
+their cuts told apart and the ids put together as arrays, two million characters at
+a time; only distinct cuts become Python objects. Texts for
 which a cut could matter (rare white space, special tokens, decomposed
 characters) are encoded whole.
 """
@@ -17,13 +19,13 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 
-_SPACE = r"[ \t\n\r\x0b\x0c]"
-#: letters after white space; else anything up to the next white space; else a tail
-_CUTS = re.compile(rf"{_SPACE}*[^\W\d_]+|{_SPACE}*[^ \t\n\r\x0b\x0c]+|{_SPACE}+")
+#: what cuts begin with
+_SPACES = " \t\n\r\x0b\x0c"
 #: white space that regular-expression engines may see differently, and the one letter
 #: that is two characters in lower case
 _RARE = (
@@ -33,7 +35,7 @@ _RARE = (
 #: longer cuts are not remembered
 _LONGEST = 40
 #: characters of texts that are cut at a time
-_AT_ONCE = 1 << 20
+_AT_ONCE = 1 << 21
 #: cuts that are encoded in a row
 _ROW = 1000
 
@@ -43,6 +45,54 @@ def _any_rare(text: str) -> bool:
     return any(c in text for c in (_RARE[:4] if text.isascii() else _RARE))
 
 
+@functools.lru_cache(maxsize=3)
+def _classes(bound: int) -> np.ndarray:
+    """Of each character below ``bound``: 1 for white space, 2 for a letter, else 0."""
+    classes = np.zeros(bound, np.uint8)
+    classes[list(map(ord, _SPACES))] = 1
+    for run in re.finditer(r"[^\W\d_]+", "".join(map(chr, range(bound)))):
+        classes[run.start() : run.end()] = 2
+    return classes
+
+
+def cuts_of(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """The cuts of all texts, and the number of the cut behind each, which is a line feed.
+
+    A cut is letters with the white space before them; else anything up to the next white
+    space, with that before it; else white space at the end.
+    """
+    joined = "\n".join([*texts, ""])
+    data = joined.encode()
+    if joined.isascii():
+        chars = None
+        classes = np.frombuffer(data.translate(_classes(256).tobytes()), np.uint8)
+    else:
+        chars = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        classes = _classes(0x10000 if chars.max() < 0x10000 else 0x110000).take(chars)
+    spaces, letters = classes == 1, classes == 2
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    begins = ends[:-1] + 1
+    cut = spaces.copy()
+    cut[1:] &= ~spaces[:-1]
+    cut[0] = cut[begins] = cut[ends] = True
+    # where text follows white space or is the first
+    words = np.append(True, spaces[:-1])
+    words[begins] = True
+    words = np.flatnonzero(words & letters)
+    others = np.flatnonzero(~letters)
+    behind = others[np.searchsorted(others, words)]
+    cut[behind[~spaces[behind]]] = True
+    at = np.flatnonzero(cut)
+    closing = np.searchsorted(at, ends)
+    if chars is not None:
+        widths = np.ones(len(chars), np.int8)
+        for more in (0x80, 0x800, 0x10000):
+            widths += chars >= more
+        at = (np.cumsum(widths, dtype=np.int64) - widths)[at]
+    offsets = np.append(at, len(data)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)), closing
+
+
 class CachedEncoder:
     """``encode`` gives the ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -119,36 +169,52 @@ class CachedEncoder:
         return out + self._encode_part(part)
 
     def _encode_part(self, texts: list[str]) -> list[bytes]:
-        cut = [
-            None
-            if "<|" in text or _any_rare(text) or not unicodedata.is_normalized("NFC", text)
-            else _CUTS.findall(text)
+        whole = [
+            "<|" in text or _any_rare(text) or not unicodedata.is_normalized("NFC", text)
             for text in texts
         ]
+        joined = iter(self._put_together([t for t, w in zip(texts, whole, strict=True) if not w]))
+        return [
+            self._encode_all([text])[0] if w else next(joined)
+            for text, w in zip(texts, whole, strict=True)
+        ]
+
+    def _put_together(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        cuts, closing = cuts_of(texts)
+        cuts = cuts.dictionary_encode()
+        which = cuts.indices.to_numpy()
+        held = self._ids_of(cuts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        values = np.frombuffer(b"".join(held), "<u4")
+        counts = sizes[which]
+        counts[closing] = 0
+        ends = np.cumsum(counts)
+        # from a place among all ids to that in ``values``
+        shift = (np.cumsum(sizes) - sizes)[which] - (ends - counts)
+        ids = values[np.repeat(shift, counts) + np.arange(ends[-1])].tobytes()
+        upto = (4 * ends[closing]).tolist()
+        return [ids[a:b] for a, b in zip([0, *upto], upto, strict=False)]
+
+    def _ids_of(self, cuts: list[str]) -> list[bytes]:
+        """The ids of distinct cuts, remembered or new."""
         known, older = self._known, self._older
-        flat = list(chain.from_iterable(c for c in cut if c))
-        ids = list(map(known.get, flat))
+        ids = list(map(known.get, cuts))
         gaps = [n for n, found in enumerate(ids) if found is None]
-        missing = {flat[n] for n in gaps}
+        missing = [cuts[n] for n in gaps]
         if missing:
             moved = {c: older[c] for c in missing if c in older}
-            fresh = list(missing.difference(moved))
+            fresh = [c for c in missing if c not in moved]
+            moved |= zip(fresh, self._encode_cuts(fresh), strict=True)
             known |= moved
-            known |= zip(fresh, self._encode_cuts(fresh), strict=True)
-            for n in gaps:
-                ids[n] = known[flat[n]]
-        out, at = [], 0
-        for text, cuts in zip(texts, cut, strict=True):
-            if cuts is None:
-                out += self._encode_all([text])
-            else:
-                out.append(b"".join(ids[at : at + len(cuts)]))
-                at += len(cuts)
+            for n, c in zip(gaps, missing, strict=True):
+                ids[n] = moved[c]
         for long in [c for c in missing if len(c) > _LONGEST]:
             del known[long]
         if len(known) > self._half:
             self._known, self._older = {}, known
-        return out
+        return ids
 
 
 @contextmanager

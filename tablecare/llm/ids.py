@@ -30,13 +30,18 @@ _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 def pack_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
     values = np.ascontiguousarray(values, "<u4")
-    lengths = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    lengths = 1 + (values > 0xFF).astype(np.uint8)
+    width = 4 if len(values) and values.max() > 0xFFFF else 2
+    if width > 2:
+        lengths += values > 0xFFFF
+        lengths += values > 0xFFFFFF
     padded = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     padded[: len(values)] = lengths - 1
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    used = np.arange(4) < lengths[:, None]
-    return control.astype(np.uint8).tobytes(), values.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    used = np.arange(width) < lengths[:, None]
+    held = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width)
+    return control.astype(np.uint8).tobytes(), held[used].tobytes()
 
 
 def unpack_values(control: bytes, data: bytes, count: int) -> np.ndarray:
@@ -75,8 +80,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> No
         known, end, place = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 0
         counts, part = np.zeros(0, np.int64), -1
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                rows = batch.iloc[at : at + 512]
+            for at in range(0, len(batch), 1024):
+                rows = batch.iloc[at : at + 1024]
                 ids = [i + end for i in known.encode(rows["text"])]
                 values = np.frombuffer(b"".join(ids), "<u4")
                 yield pd.DataFrame(

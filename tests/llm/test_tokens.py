@@ -1,6 +1,7 @@
 """Token ids, packing and mixing."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -262,3 +263,31 @@ def test_the_encoder_keeps_few_cuts_between_tasks():
         first = known.encode(texts)
     assert len(known._known) <= 10 and not known._older
     assert known.encode(texts) == first
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*PARTS, "𝒳", "x2y", "٣"]), max_size=9).map("".join), min_size=1, max_size=4))
+def test_cuts_of_many_texts(texts):
+    from tablecare.llm.encoding import cuts_of
+
+    # letters after white space; else anything up to the next white space; else a tail
+    space = "[ \t\n\r\x0b\x0c]"
+    pattern = re.compile(rf"{space}*[^\W\d_]+|{space}*[^ \t\n\r\x0b\x0c]+|{space}+")
+    cuts, closing = cuts_of(texts)
+    found, at = cuts.to_pylist(), 0
+    for text, end in zip(texts, closing.tolist(), strict=True):
+        assert found[at:end] == pattern.findall(text) and found[end] == "\n"
+        at = end + 1
+    assert at == len(found)
+
+
+def test_cuts_are_looked_up_once_for_many_texts():
+    known = CachedEncoder(tokenizer_path(WORDS))
+    asked = []
+    ids_of = known._ids_of
+    known._ids_of = lambda cuts: asked.append(cuts) or ids_of(cuts)
+    texts = ["one two two", "two one \u200b", "", " two"] * 50
+    whole = Tokenizer.from_file(tokenizer_path(WORDS))
+    expected = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in known.encode(texts)] == expected
+    assert len(asked) == 1 and len(asked[0]) == len(set(asked[0]))
