@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,18 +34,19 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def tuned_bands(similarity: float, recall: float, most: int = 256) -> tuple[int, int]:
-    """Bands and rows per band: of the settings that find a pair of just that similarity
-    with probability ``recall``, the most selective one that needs no more than twice
-    the hashes of the cheapest."""
+    """Bands and rows per band that find a pair of just that similarity with probability
+    ``recall``: the fewest hashes with which a pair of a quarter of it meets in one case
+    of twenty at most, so that buckets don't fill up as the corpus grows; else the most
+    selective setting of up to ``most`` hashes."""
     settings = []
     for rows in range(1, 17):
         miss = 1 - similarity**rows
-        bands = 1 if miss <= 0 else int(np.ceil(np.log(1 - recall) / np.log(miss)))
+        bands = 1 if miss <= 0 else max(1, int(np.ceil(np.log(1 - recall) / np.log(miss))))
         if bands * rows <= most:
-            settings.append((rows, max(1, bands)))
-    cheapest = min(rows * bands for rows, bands in settings)
-    rows, bands = max(s for s in settings if s[0] * s[1] <= 2 * cheapest)
-    return bands, rows
+            settings.append((bands, rows))
+        if 1 - (1 - (similarity / 4) ** rows) ** bands <= 0.05:
+            break
+    return settings[-1]
 
 
 class _Powers:
@@ -124,7 +126,8 @@ class _Reader:
         for band in range(self.bands):
             key = np.full(len(paragraphs), band + 1, np.uint64)
             for row in range(self.rows):
-                permuted = _mixed(hashes * self.factors[band * self.rows + row])
+                # the hashes are mixed, so that a product orders them anew
+                permuted = hashes * self.factors[band * self.rows + row]
                 key = _mixed(key * np.uint64(31) + np.minimum.reduceat(permuted, begins))
             keys[:, band] = key
         return keys.view(np.int64)
@@ -205,9 +208,15 @@ def repeated_paragraphs(
     place = F.struct("doc_id", "paragraph")
     nodes = found.groupBy("node").agg(F.min(place).alias("first"), F.first("keys").alias("keys"))
     index = nodes.select(F.explode("keys").alias("key"), "node")
+    # most keys are alone; told by a count, before nodes are compared to find pivots
+    again = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    index = scratch.keep(index.join(again, "key"))
+
+    sets_of: list[DataFrame] = []
 
     def attach(members: DataFrame) -> DataFrame:
-        return members.join(_shingles(members), "node")
+        # all members are an end of a pair that was verified
+        return members.join(sets_of[0], "node")
 
     def _shingles(members: DataFrame) -> DataFrame:
         """The shingle sets of some nodes, from the texts that hold them first."""
@@ -237,6 +246,7 @@ def repeated_paragraphs(
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select("node").union(pairs.select("pivot"))
         shingles = _shingles(ends)
+        sets_of.append(shingles)
         left = shingles.withColumnRenamed("shingles", "left")
         right = shingles.select(F.col("node").alias("pivot"), F.col("shingles").alias("right"))
         common = F.size(F.array_intersect("left", "right"))
@@ -303,6 +313,8 @@ _RUN, _SEED = 24, 16
 _NEIGHBOURS = _RUN - _SEED + 1
 #: words that may differ between two runs of a passage
 _GAP = 8
+#: times that a seed is selected, after which its runs are dealt by their own hash
+HOT_SEED = 1000
 
 
 def _stretches(text: str, removed: list[int]) -> Iterator[tuple[int, list[str]]]:
@@ -333,48 +345,193 @@ def _words(text: str, removed: list[int]) -> tuple[list[bytes], np.ndarray]:
     return found, np.array(starts, np.int64)
 
 
-def _windows(stretches: list[bytes], starts: np.ndarray, width: int, powers: _Powers):
-    """Positions and hashes of all runs of ``width`` words, per stretch."""
-    for stretch, start in zip(stretches, starts, strict=True):
-        if stretch.count(b" ") + 1 >= width:
-            hashes, _ = shingle_hashes([stretch], width, powers)
-            yield start + np.arange(len(hashes)), hashes
-
-
-def _seeds(stretches: list[bytes], starts: np.ndarray, powers: _Powers) -> tuple[np.ndarray, np.ndarray]:
-    at, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for positions, hashes in _windows(stretches, starts, _SEED, powers):
-        near = np.lib.stride_tricks.sliding_window_view(hashes, _NEIGHBOURS)
-        chosen = np.unique(near.argmin(axis=1) + np.arange(len(near)))
-        at.append(positions[chosen])
-        keys.append(hashes[chosen])
-    return np.concatenate(at), np.concatenate(keys).view(np.int64)
-
-
-def _repeatable(
-    stretches: list[bytes], starts: np.ndarray, seeds: np.ndarray, powers: _Powers
-) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The runs, of _RUN and of PASSAGE words, all of whose seeds occur elsewhere."""
-    top = int(starts[-1]) + stretches[-1].count(b" ") + 2 + PASSAGE if stretches else 0
-    seeded = np.zeros(top + 1, np.int64)
-    seeded[np.asarray(seeds, np.int64) + 1] = 1
-    seeded = np.cumsum(seeded)
-    short = np.zeros(top + 1, np.int64)
-    for positions, hashes in _windows(stretches, starts, _RUN, powers):
-        use = seeded[positions + _NEIGHBOURS] > seeded[positions]
-        short[positions[use] + 1] = 1
-        yield _RUN, positions[use], hashes[use].view(np.int64)
-    short = np.cumsum(short)
-    inner = PASSAGE - _RUN + 1
-    for positions, hashes in _windows(stretches, starts, PASSAGE, powers):
-        use = short[positions + inner] - short[positions] == inner
-        yield PASSAGE, positions[use], _mixed(hashes[use]).view(np.int64)
-
-
-def _spans(doc_id: int, runs: list) -> list[tuple[int, int, int]]:
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the first smallest of each ``width`` values in a row, by doubling."""
+    at, reach = np.arange(len(values)), 1
+    while reach < width:
+        step = min(reach, width - reach)
+        left, right = at[:-step], at[step:]
+        at = np.where(values[right] < values[left], right, left)
+        reach += step
+    return at
+
+
+class _Runs:
+    """The words of some texts, one behind another, and the hashes of their runs."""
+
+    def __init__(self, texts: list[str], removed: list[list[int]], powers: _Powers):
+        held, places, owners = [], [], []
+        for number, (text, gone) in enumerate(zip(texts, removed, strict=True)):
+            stretches, starts = _words(text, gone)
+            held += stretches
+            places += starts.tolist()
+            owners += [number] * len(stretches)
+        data = np.frombuffer(b" ".join(held) + b" ", np.uint8)
+        up, self._down = powers.upto(len(data) + 1)
+        self._sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self._sums[1:])
+        self._ends = np.flatnonzero(data == 32) if held else np.zeros(0, np.int64)
+        self._begins = np.concatenate([[0], self._ends[:-1] + 1])[: len(self._ends)]
+        counts = np.array([s.count(b" ") + 1 for s in held], np.int64)
+        after = np.cumsum(counts)
+        #: of each word its text, its position there and the words up to its stretch's end
+        self.owner = np.repeat(np.array(owners, np.int64), counts)
+        self.at = np.arange(len(self._ends)) - np.repeat(after - counts - np.array(places, np.int64), counts)
+        self.room = np.repeat(after, counts) - np.arange(len(self._ends))
+
+    def hashes(self, width: int) -> np.ndarray:
+        """Of the run from each word on, as by ``shingle_hashes``; the largest number
+        where the stretch ends before."""
+        found = np.full(len(self._ends), np.iinfo(np.uint64).max)
+        count = max(0, len(found) - width + 1)
+        a, b = self._begins[:count], self._ends[width - 1 :]
+        whole = self.room[:count] >= width
+        found[:count][whole] = _mixed((self._sums[b] - self._sums[a]) * self._down[a])[whole]
+        return found
+
+    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Selected words, in order, and the hashes of the seeds that begin there."""
+        hashes = self.hashes(_SEED)
+        if len(hashes) < _RUN:
+            return np.zeros(0, np.int64), hashes[:0]
+        least = _least(hashes, _NEIGHBOURS)
+        marked = np.zeros(len(hashes), bool)
+        marked[least[self.room[: len(least)] >= _RUN]] = True
+        chosen = np.flatnonzero(marked)
+        return chosen, hashes[chosen]
+
+    def words_at(self, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The words with these positions in these texts."""
+        wide = int(max(self.at.max(initial=0), at.max(initial=0))) + 1
+        return np.searchsorted(self.owner * wide + self.at, owner * wide + at)
+
+    def segments(self, again: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """The runs of _RUN and of PASSAGE words whose smallest seed is marked in ``again``:
+        the width, first words, hashes, and the places of the smallest seeds."""
+        seeds = self.hashes(_SEED)
+        inner, short = PASSAGE - _RUN + 1, None
+        for width in (_RUN, PASSAGE):
+            if len(seeds) < width:
+                return
+            least = _least(seeds, width - _SEED + 1)
+            use = (self.room[: len(least)] >= width) & again[least]
+            if short is None:
+                short = np.concatenate([[0], np.cumsum(use)])
+            else:  # all runs of a repeated passage are repeated
+                use &= short[inner : inner + len(use)] - short[: len(use)] == inner
+            first = np.flatnonzero(use)
+            hashes = self.hashes(width)[first]
+            yield width, first, hashes if width == _RUN else _mixed(hashes), least[first]
+
+
+def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Rows from, and up to, that have about as many bytes as are hashed at a time."""
+    at, held = 0, 0
+    for n, size in enumerate(sizes, 1):
+        held += size
+        if held >= _AT_ONCE or n == len(sizes):
+            yield at, n
+            at, held = n, 0
+
+
+def _first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of runs that occur before, and where, from segments in the order of key,
+    doc_id and position. What is known of a key is carried from batch to batch."""
+    known = {n: np.zeros(0, np.int64) for n in ("hash", "doc_id", "at")}
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, docs, ofs, starts, widths = (_column(batch, n) for n in ("key", "doc_id", "of", "at", "width"))
+        lists = batch.column("hashes")
+        offsets = lists.offsets.to_numpy()
+        counts = np.diff(offsets)
+        hashes = lists.values.to_numpy()[offsets[0] : offsets[-1]]
+        row = np.repeat(np.arange(len(counts)), counts)
+        at = starts[row] + np.arange(len(row)) - (offsets[:-1] - offsets[0])[row]
+        if last is not None and keys[0] != last:
+            known = {n: v[:0] for n, v in known.items()}
+        before = len(known["hash"])
+        hashes = np.concatenate([known["hash"], hashes])
+        doc = np.concatenate([known["doc_id"], docs[row]])
+        place = np.concatenate([known["at"], at])
+        order = np.argsort(hashes, kind="stable")
+        new = np.append(True, hashes[order[1:]] != hashes[order[:-1]])
+        first = np.empty(len(order), np.int64)
+        first[order] = order[new][np.cumsum(new) - 1]
+        last = keys[-1]
+        held = np.concatenate([np.full(before, keys[0] == last), (keys == last)[row]])
+        held &= first == np.arange(len(first))
+        following = {"hash": hashes[held], "doc_id": doc[held], "at": place[held]}
+        of, there = doc[first][before:], place[first][before:]
+        use = np.flatnonzero((docs[row] != of) | (at != there))
+        known = following
+        if not len(use):
+            continue
+        row, at, of, there = row[use], at[use], of[use], there[use]
+        change = (np.diff(row) != 0) | (np.diff(at) != 1) | (np.diff(of) != 0) | (np.diff(there) != 1)
+        begins = np.concatenate([[0], np.flatnonzero(change) + 1])
+        here = row[begins]
+        yield pa.RecordBatch.from_pydict(
+            {
+                "doc_id": docs[here], "of": ofs[here], "width": widths[here], "at": at[begins].astype(np.int32),
+                "runs": np.diff(np.append(begins, len(row))).astype(np.int32), "first": of[begins],
+                "there": there[begins].astype(np.int32),
+            }
+        )
+
+
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
+def _doc_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of each document, from its stretches of runs, which stand together."""
+    names = ("doc_id", "of", "width", "at", "runs", "first", "there")
+    rest = [np.zeros(0, np.int64) for _ in names]
+    for last, batch in _and_last(batches):
+        if batch is not None:
+            rest = [np.concatenate([r, _column(batch, n)]) for r, n in zip(rest, names, strict=True)]
+        change = (np.diff(rest[0]) != 0) | (np.diff(rest[1]) != 0)
+        edges = [0, *(np.flatnonzero(change) + 1).tolist()]
+        if last:
+            edges.append(len(rest[0]))
+        found = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            doc_id, of = int(rest[0][a]), int(rest[1][a])
+            width, at, runs, first, there = (r[a:b] for r in rest[2:])
+            inside = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+            width, at, first, there = (np.repeat(v, runs) for v in (width, at, first, there))
+            spans = _spans(doc_id, width, at + inside, first, there + inside)
+            if spans:
+                found.append({"doc_id": doc_id, "of": of, "spans": [dict(zip(_SPAN, s, strict=True)) for s in spans]})
+        rest = [r[edges[-1] :] for r in rest]
+        if found:
+            yield pa.RecordBatch.from_pylist(found, schema=_DOC_SPANS)
+
+
+def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch | None]]:
+    for batch in batches:
+        yield False, batch
+    yield True, None
+
+
+_SPAN = ("begin", "end", "component_id")
+_DOC_SPANS = pa.schema(
+    {
+        "doc_id": pa.int64(), "of": pa.int64(),
+        "spans": pa.list_(pa.struct(dict(zip(_SPAN, (pa.int32(), pa.int32(), pa.int64()), strict=True)))),
+    }
+)
+
+
+def _spans(
+    doc_id: int, width: np.ndarray, at: np.ndarray, of: np.ndarray, there: np.ndarray
+) -> list[tuple[int, int, int]]:
     """Begin, end and first document of what goes, from the runs of a document that
-    occur before: (width, position, first doc_id, position there)."""
-    width, at, of, there = (np.array(c, np.int64) for c in zip(*runs, strict=True))
+    occur before: width, position, first doc_id and position there."""
     spans = []
     long = width == PASSAGE
     # where a run overlaps its own first occurrence, that stays whole
@@ -447,6 +604,7 @@ def _cut(text: str, removed: list[int], components: list[int], spans: list[tuple
 
 _CUTS = "array<struct<paragraph:int,word:int,words:int,component_id:long>>"
 _SPANS = "array<struct<begin:int,end:int,component_id:long>>"
+_AGAIN = "doc_id long, of long, width int, at int, runs int, first long, there int"
 
 
 def _numbers() -> tuple[Column, Column]:
@@ -482,58 +640,97 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, Scratch]:
     it and no gap is longer than _GAP words. A first occurrence that the repeat overlaps
     stays whole.
 
-    One in five runs of _SEED words is selected by content. Only runs around those
-    selected twice are hashed at every word.
+    One in five runs of _SEED words is selected by content. Only runs whose smallest seed is
+    selected twice are hashed at every word. Equal runs have an equal smallest seed, so
+    neighbours that share it travel as one row to where that seed is dealt. The runs of
+    seeds selected over HOT_SEED times are dealt one by one, by their own hash.
     """
     spark = configure(docs.sparkSession)
     result, scratch = Scratch(spark, "passages"), Scratch(spark, "passages-work")
     texts = docs.where("doc_id is not null and text is not null")
     texts = texts.select("doc_id", F.xxhash64("text").alias("of"), "text", "removed")
 
-    def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
         for batch in batches:
-            rows = []
-            for doc_id, of, text, removed in batch.itertuples(index=False):
-                at, keys = _seeds(*_words(text, removed), powers)
-                if len(at):
-                    rows.append((doc_id, of, at, keys))
-            yield pd.DataFrame(rows, columns=["doc_id", "of", "at", "keys"])
-
-    found = scratch.keep(texts.mapInPandas(seeds, "doc_id long, of long, at array<int>, keys array<long>"))
-    every = found.select("doc_id", "of", F.explode(F.arrays_zip("at", "keys")).alias("seed"))
-    every = every.select("doc_id", "of", "seed.at", F.col("seed.keys").alias("key"))
-    often = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    wanted = every.join(often, "key").groupBy("doc_id", "of").agg(F.collect_set("at").alias("seeds"))
-
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            docs_, ofs = _column(batch, "doc_id"), _column(batch, "of")
+            held, removed = batch.column("text").to_pylist(), batch.column("removed").to_pylist()
+            for a, b in _parts([len(t) for t in held]):
+                runs = _Runs(held[a:b], removed[a:b], powers)
+                chosen, keys = runs.seeds()
+                row = a + runs.owner[chosen]
+                at = runs.at[chosen].astype(np.int32)
+                yield pa.RecordBatch.from_pydict(
+                    {"doc_id": docs_[row], "of": ofs[row], "at": at, "key": keys.view(np.int64)}
+                )
+
+    every = scratch.keep(texts.mapInArrow(seeds, "doc_id long, of long, at int, key long"))
+    often = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    often = often.select("key", (F.col("n") > HOT_SEED).alias("hot"))
+    wanted = every.join(often, "key")
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("of", "at", "hot")).alias("seeds"))
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
         for batch in batches:
-            for doc_id, text, removed, of, chosen in batch.itertuples(index=False):
-                for width, at, keys in _repeatable(*_words(text, removed), chosen, powers):
-                    if len(at):
-                        yield pd.DataFrame({"doc_id": doc_id, "of": of, "width": width, "at": at, "key": keys})
+            docs_, ofs = _column(batch, "doc_id"), _column(batch, "of")
+            held, removed = batch.column("text").to_pylist(), batch.column("removed").to_pylist()
+            lists = batch.column("seeds")
+            offsets = lists.offsets.to_numpy()
+            owner = np.repeat(np.arange(len(held)), np.diff(offsets))
+            marks = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+            seed_of, seed_at, hot = (marks.field(n).to_numpy(zero_copy_only=False) for n in ("of", "at", "hot"))
+            own = seed_of == ofs[owner]  # rows of one id may differ in text
+            for a, b in _parts([len(t) for t in held]):
+                runs = _Runs(held[a:b], removed[a:b], powers)
+                here = own & (owner >= a) & (owner < b)
+                places = runs.words_at(owner[here] - a, seed_at[here].astype(np.int64))
+                again = np.zeros(len(runs.at), bool)
+                often_ = again.copy()
+                again[places] = True
+                often_[places] = hot[here]
+                for width, first, hashes, least in runs.segments(again):
+                    if not len(first):
+                        continue
+                    alone = often_[least]
+                    change = (np.diff(first) != 1) | (np.diff(least) != 0) | alone[1:]
+                    begins = np.concatenate([[0], np.flatnonzero(change) + 1])
+                    key = np.where(alone, hashes, runs_key(runs, least))[begins].view(np.int64)
+                    row = a + runs.owner[first[begins]]
+                    lists = pa.ListArray.from_arrays(
+                        np.append(begins, len(first)).astype(np.int32), pa.array(hashes.view(np.int64))
+                    )
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "key": key, "doc_id": docs_[row], "of": ofs[row],
+                            "at": runs.at[first[begins]].astype(np.int32),
+                            "width": np.full(len(row), width, np.int32), "hot": alone[begins], "hashes": lists,
+                        }
+                    )
 
-    taken = texts.join(wanted, ["doc_id", "of"]).select("doc_id", "text", "removed", "of", "seeds")
-    taken = scratch.keep(taken.mapInPandas(runs, "doc_id long, of long, width int, at int, key long"))
-    place = F.struct("doc_id", "at")
-    firsts = taken.groupBy("width", "key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    again = taken.join(firsts.where("first != last"), ["width", "key"]).where(place != F.col("first"))
-    run = F.struct("width", "at", F.col("first.doc_id").alias("first"), F.col("first.at").alias("there"))
-    by_doc = again.groupBy("doc_id", "of").agg(F.collect_set(run).alias("runs"))
+    def runs_key(runs: _Runs, least: np.ndarray) -> np.ndarray:
+        return runs.hashes(_SEED)[least]
 
-    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, of, held in batch.itertuples(index=False):
-                spans = _spans(doc_id, [(r["width"], r["at"], r["first"], r["there"]) for r in held])
-                names = ("begin", "end", "component_id")
-                if spans:
-                    rows.append((doc_id, of, [dict(zip(names, s, strict=True)) for s in spans]))
-            yield pd.DataFrame(rows, columns=["doc_id", "of", "spans"])
-
-    schema = "doc_id long, of long, spans array<struct<begin:int,end:int,component_id:long>>"
-    passages = result.keep(by_doc.mapInPandas(spans, schema))
+    taken = texts.join(wanted, "doc_id").select("doc_id", "of", "text", "removed", "seeds")
+    taken = scratch.keep(
+        taken.mapInArrow(
+            segments, "key long, doc_id long, of long, at int, width int, hot boolean, hashes array<long>"
+        )
+    )
+    dealt = taken.where("not hot").drop("hot").repartition("key").sortWithinPartitions("key", "doc_id", "at")
+    again = dealt.mapInArrow(_first_runs, _AGAIN)
+
+    place = F.struct("doc_id", "at")
+    alone = taken.where("hot").drop("hot", "hashes")
+    firsts = alone.groupBy("width", "key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    alone = alone.join(firsts.where("first != last"), ["width", "key"]).where(place != F.col("first"))
+    alone = alone.select(
+        "doc_id", "of", "width", "at", F.lit(1).alias("runs"),
+        F.col("first.doc_id").alias("first"), F.col("first.at").alias("there"),
+    )
+    by_doc = again.union(alone).repartition("doc_id").sortWithinPartitions("doc_id", "of")
+    schema = f"doc_id long, of long, spans {_SPANS}"
+    passages = result.keep(by_doc.mapInArrow(_doc_spans, schema))
     scratch.drop()
     return passages, result
 
@@ -547,20 +744,23 @@ def without_passages(docs: DataFrame, **settings) -> DataFrame:
     Null and empty texts stay what they are, as do rows with a null id. The added
     names replace columns of the same name. Settings: see ``repeated_paragraphs``;
     passages: see ``repeated_passages``.
+
+    The rows are dealt by doc_id once. What is found of a document meets its text there,
+    by joins on doc_id alone, so that texts are not shuffled again.
     """
-    removed, _ = repeated_paragraphs(docs, **settings)
-    by_doc = _lines_by_doc(removed)
-    read = docs.select("doc_id", "text").join(by_doc, F.col("doc_id") == F.col("of_lines"), "left")
-    passages, _ = repeated_passages(read.select("doc_id", "text", _numbers()[0].alias("removed")))
-    passages = passages.select(F.col("doc_id").alias("of_passages"), "of", "spans")
-    same = (F.col("row.doc_id") == F.col("of_passages")) & (F.xxhash64("row.text") == F.col("of"))
-    found = (
-        _rows(docs)
-        .join(by_doc, F.col("row.doc_id") == F.col("of_lines"), "left")
-        .join(passages, same, "left")
-    )
-    touched = F.col("of_lines").isNotNull() | F.col("of_passages").isNotNull()
-    spans = F.coalesce("spans", F.array().cast(_SPANS))
+    spark = configure(docs.sparkSession)
+    rows = _rows(docs).select(F.col("row.doc_id").alias("doc_id"), "row")
+    rows = Scratch(spark, "passages-rows").dealt(rows, "doc_id")
+    texts = rows.select("doc_id", F.col("row.text").alias("text"))
+    removed, _ = repeated_paragraphs(texts, **settings)
+    by_doc = _lines_by_doc(removed).withColumnRenamed("of_lines", "doc_id")
+    read = texts.join(by_doc, "doc_id", "left").select("doc_id", "text", _numbers()[0].alias("removed"))
+    passages, _ = repeated_passages(read)
+    passages = passages.groupBy("doc_id").agg(F.collect_list(F.struct("of", "spans")).alias("passages"))
+    found = rows.join(by_doc, "doc_id", "left").join(passages, "doc_id", "left")
+    own = F.filter("passages", lambda p: p["of"] == F.xxhash64(F.col("row.text")))
+    spans = F.coalesce(F.get(own, F.lit(0))["spans"], F.array().cast(_SPANS))
+    touched = F.col("lines").isNotNull() | (F.size(spans) > 0)
     cut = _cutter()(F.when(touched, F.col("row.text")), *_numbers(), spans)
     added = ["removed_paragraphs", "removed_components", "cut_passages"]
     return _with_cuts(docs, found.withColumn("cut", cut), added)

@@ -286,6 +286,73 @@ def test_passages_clashing_names(spark):
     assert [r.text for r in repeats] == [f"0\n{line}", "1", "2"]
 
 
+def test_passages_of_frequent_seeds(spark, monkeypatch):
+    """Runs dealt by their own hash give what runs dealt by their seed give."""
+    from tablecare.llm import paragraphs
+
+    rng = np.random.default_rng(16)
+    common, other = ([f"{c}{i}" for i in range(70)] for c in "cd")
+    rows = []
+    for i in range(40):
+        words = [f"a{i}x{k}" for k in range(30)]
+        for passage in (common, other)[: 1 + i % 2]:
+            cut = [*passage[: int(rng.integers(20, 70))], f"new{i}", *passage[int(rng.integers(0, 20)) :]]
+            words += cut + [f"b{i}x{k}" for k in range(30)]
+        rows.append((i // 2, " ".join(words)))  # two texts to an id
+    rows.append(rows[3])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for most in (1, 7, 1000):
+        monkeypatch.setattr(paragraphs, "HOT_SEED", most)
+        found.append(sorted(map(str, without_passages(docs).collect())))
+    assert found[0] == found[1] == found[2]
+    assert any("cut_passages=[Row" in row for row in found[0])
+
+
+def test_first_runs_over_batches():
+    """What is known of a key goes on in the next batch and ends with the key."""
+    import pyarrow as pa
+
+    from tablecare.llm.paragraphs import _first_runs
+
+    rows = [(1, d, 10 * d, [7, 8, 9][d % 2 :]) for d in range(6)] + [(2, 9, 0, [17, 17]), (2, 9, 5, [17])]
+    names = {"key": pa.int64(), "doc_id": pa.int64(), "of": pa.int64(), "at": pa.int32(), "width": pa.int32()}
+    schema = pa.schema(names | {"hashes": pa.list_(pa.int64())})
+    held = [dict(zip(schema.names, (k, d, 0, at, 24, h), strict=True)) for k, d, at, h in rows]
+    seen, expected = {}, []
+    for key, doc_id, at, hashes in rows:
+        for n, h in enumerate(hashes):
+            first = seen.setdefault((key, h), (doc_id, at + n))
+            if first != (doc_id, at + n):
+                expected.append((doc_id, at + n, *first))
+    for size in (1, 2, 3, len(held)):
+        batches = [pa.RecordBatch.from_pylist(held[a : a + size], schema) for a in range(0, len(held), size)]
+        found = [
+            (r["doc_id"], r["at"] + n, r["first"], r["there"] + n)
+            for batch in _first_runs(iter(batches))
+            for r in batch.to_pylist()
+            for n in range(r["runs"])
+        ]
+        assert found == expected
+
+
+def test_texts_are_dealt_once(spark):
+    """Lines and passages meet the dealt rows, which are not shuffled again."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        line = " ".join(f"w{i}" for i in range(60))
+        docs = spark.createDataFrame([(i, f"{i} {line}") for i in range(3)], "doc_id long, text string")
+        tables = spark.catalog.listTables()
+        cleaned = without_passages(docs)
+        assert spark.catalog.listTables() == tables
+        plan = cleaned._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan
+        assert len(cleaned.collect()) == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_cutting_is_linear():
     """Many lines and many spans are gone through once."""
     from tablecare.llm.paragraphs import _cut
@@ -306,6 +373,12 @@ def test_bands():
         assert 1 - (1 - similarity**rows) ** bands >= recall
 
 
+def test_bands_are_selective():
+    """Unlike paragraphs hardly ever meet, so that buckets don't grow with the corpus."""
+    bands, rows = tuned_bands(0.8, 0.998)
+    assert 1 - (1 - 0.2**rows) ** bands <= 0.05
+
+
 # --- embeddings -------------------------------------------------------------------
 
 
