@@ -12,13 +12,14 @@ characters) are encoded whole.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from itertools import islice
 
 import numpy as np
@@ -219,12 +220,16 @@ class CachedEncoder:
 
 @contextmanager
 def encoding(path: str, kept: int = 100_000) -> Iterator[CachedEncoder]:
-    """The encoder for one task; ``kept`` cuts stay in the worker for the next one."""
+    """The encoder for one task; ``kept`` cuts stay in the worker for the next one. What
+    they don't need goes back to the system, as workers live on beside later stages."""
     known = encoder(path)
     try:
         yield known
     finally:
         known.forget(kept)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 @functools.lru_cache(maxsize=4)

@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import pandas as pd
 import pytest
 
 from tablecare import date_normalize, rename_single, write_table
@@ -56,3 +57,17 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_path(Session("yarn"), "x")
     assert "/x-" in scratch_path(Session("local[2]"), "x")
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    """Ten thousand whole texts would make a batch of 100 MB."""
+    configure(spark)
+    texts = spark.range(3000, numPartitions=1).selectExpr("repeat('x', 10000) text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [int(batch["text"].str.len().sum())]})
+
+    held = [r.n for r in texts.mapInPandas(sizes, "n long").collect()]
+    assert sum(held) == 30_000_000
+    assert max(held) <= 5 << 20
