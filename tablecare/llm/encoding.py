@@ -4,7 +4,7 @@ The pre-tokenizers of the two vocabularies in use never let a piece run across
 the start of white space or across the end of a run of letters. A text can thus
 be cut there, each distinct cut encoded once by the ``tokenizers`` library and
 remembered, and the ids of a text put together from remembered ones. Texts are cut,
-their cuts told apart and the ids put together as arrays, two million characters at
+their cuts told apart and the ids put together as arrays, four million characters at
 a time; only distinct cuts become Python objects. Texts for
 which a cut could matter (rare white space, special tokens, decomposed
 characters) are encoded whole.
@@ -36,7 +36,7 @@ _RARE = (
 #: longer cuts are not remembered
 _LONGEST = 40
 #: characters of texts that are cut at a time
-_AT_ONCE = 1 << 21
+_AT_ONCE = 1 << 22
 #: cuts that are encoded in a row
 _ROW = 1000
 
@@ -76,12 +76,13 @@ def cuts_of(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
     cut = spaces.copy()
     cut[1:] &= ~spaces[:-1]
     cut[0] = cut[begins] = cut[ends] = True
-    # where text follows white space or is the first
-    words = np.append(True, spaces[:-1])
-    words[begins] = True
-    words = np.flatnonzero(words & letters)
-    others = np.flatnonzero(~letters)
-    behind = others[np.searchsorted(others, words)]
+    # runs of letters that follow white space (each text has some before it) are cut off;
+    # every run ends, as the last character is a line feed
+    edges = np.flatnonzero(letters[1:] != letters[:-1]) + 1
+    if letters[0]:
+        edges = np.append(0, edges)
+    runs, behind = edges[::2], edges[1::2]
+    behind = behind[(runs == 0) | spaces[runs - 1]]
     cut[behind[~spaces[behind]]] = True
     at = np.flatnonzero(cut)
     closing = np.searchsorted(at, ends)

@@ -80,25 +80,25 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> No
         known, end, place = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 0
         counts, part = np.zeros(0, np.int64), -1
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                rows = batch.iloc[at : at + 1024]
-                ids = [i + end for i in known.encode(rows["text"])]
-                values = np.frombuffer(b"".join(ids), "<u4")
-                yield pd.DataFrame(
-                    {
-                        "part": rows["part"],
-                        "place": np.arange(place, place + len(rows)),
-                        "doc_id": rows["doc_id"],
-                        "ids": _narrowed(ids, values),
-                        "wide": bool(values.max() > 0xFFFF),
-                    }
-                )
-                place += len(rows)
-                here = np.bincount(values)
-                if len(here) > len(counts):
-                    counts, here = here, counts
-                counts[: len(here)] += here
-                part = rows["part"].iloc[0]
+            if not len(batch):
+                continue
+            ids = [i + end for i in known.encode(batch["text"])]
+            values = np.frombuffer(b"".join(ids), "<u4")
+            yield pd.DataFrame(
+                {
+                    "part": batch["part"],
+                    "place": np.arange(place, place + len(batch)),
+                    "doc_id": batch["doc_id"],
+                    "ids": _narrowed(ids, values),
+                    "wide": bool(values.max() > 0xFFFF),
+                }
+            )
+            place += len(batch)
+            here = np.bincount(values)
+            if len(here) > len(counts):
+                counts, here = here, counts
+            counts[: len(here)] += here
+            part = batch["part"].iloc[0]
         # the counts of the range follow its documents
         tally = counts.astype("<i8").tobytes()
         yield pd.DataFrame({"part": [part], "place": [-1], "doc_id": [None], "ids": [tally], "wide": [True]})

@@ -214,17 +214,15 @@ def document_pieces(
 
     def cut_with(known, batches, end, step) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                out = []
-                rows = batch.iloc[at : at + 1024]
-                encoded = known.encode(rows["text"])
-                for row, ids in zip(rows.itertuples(index=False), encoded, strict=True):
-                    ids += end
-                    for piece, start in enumerate(range(0, len(ids), step)):
-                        part = ids[start : start + step]
-                        out.append((row.row, row.doc_id, piece, start // 4, len(part) // 4, part, zlib.crc32(part)))
-                table = pd.DataFrame(out, columns=names)
-                yield table if with_ids else table.drop(columns="ids")
+            out = []
+            encoded = known.encode(batch["text"])
+            for row, ids in zip(batch.itertuples(index=False), encoded, strict=True):
+                ids += end
+                for piece, start in enumerate(range(0, len(ids), step)):
+                    part = ids[start : start + step]
+                    out.append((row.row, row.doc_id, piece, start // 4, len(part) // 4, part, zlib.crc32(part)))
+            table = pd.DataFrame(out, columns=names)
+            yield table if with_ids else table.drop(columns="ids")
 
     names = ["row", "doc_id", "piece", "start", "length", "ids", "ids_crc32"]
     held = "ids binary, " if with_ids else ""

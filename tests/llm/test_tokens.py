@@ -96,6 +96,31 @@ def test_token_files_of_odd_rows(spark, tmp_path):
     assert id_digests(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_cuts_are_what_they_say():
+    """Letters with the white space before them, else anything up to the next white space."""
+    import random
+    import re
+
+    from tablecare.llm.encoding import cuts_of
+
+    said = re.compile(r"[ \t\n]*[^\W\d_]+|[ \t\n]*[^ \t\n]+|[ \t\n]+")
+    chance = random.Random(4)
+    for alphabet in (" \n\tab1.", " \nab1.\u00e9\u754c\U0001f600"):
+        for _ in range(500):
+            texts = ["".join(chance.choices(alphabet, k=chance.randrange(12))) for _ in range(4)]
+            cuts, closing = cuts_of(texts)
+            held, at = cuts.to_pylist(), 0
+            for text, end in zip(texts, closing.tolist(), strict=True):
+                found = []
+                while sum(map(len, found)) < len(text):
+                    rest = text[sum(map(len, found)) :]
+                    begins = not found or rest[0] in " \t\n"
+                    found.append((said if begins else re.compile(r"[^ \t\n]+")).match(rest).group())
+                assert held[at:end] == found
+                assert held[end][0] == "\n"
+                at = end + 1
+
+
 # --- packing ----------------------------------------------------------------------
 
 
